@@ -1,7 +1,7 @@
 """Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
 
 A line is normalised to its lower-cased words; lines of fewer than MIN_WORDS words are left alone.  Two lines are
-near if their 64-bit SimHashes (voted by words) differ in at most MAX_BITS bits and the edit similarity of their word
+near if their 64-bit SimHashes (voted by their distinct words) differ in at most MAX_BITS bits and the edit similarity of their word
 sequences, 1 - distance / longer length, is at least SIMILARITY.  Lines that chains of near lines connect form a
 group, of which the first occurrence (by doc_id, then line number) stays.
 
@@ -60,7 +60,8 @@ def line_table(docs: DataFrame) -> DataFrame:
                 if not len(keep):
                     continue
                 whole = line_hashes(h, woff)[keep]
-                fp = K.simhash(h, woff, 1)[keep, 0]
+                once = first_of_line(h, at)
+                fp = K.simhash(h[once], K.bounds(at[once], len(row)), 1)[keep, 0]
                 number = np.arange(len(row)) - np.searchsorted(row, row)
                 ix = pa.array(row[keep] + lo)
                 yield pa.RecordBatch.from_arrays(
@@ -72,6 +73,15 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.filter("text is not null").select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("rev"), text.alias("text")).mapInArrow(run, LINE_DDL)
 
 
+def first_of_line(h: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Marks the first of equal words of each line."""
+    key = K.mix(h + K.mix(line.astype(np.uint64) + K.U64(1)))
+    order = np.argsort(key, kind="stable")
+    fresh = np.ones(len(h), bool)
+    fresh[order[1:]] = key[order[1:]] != key[order[:-1]]
+    return fresh
+
+
 def line_hashes(h: np.ndarray, woff: np.ndarray) -> np.ndarray:
     """A hash of the word sequence of each line."""
     size = np.diff(woff)
