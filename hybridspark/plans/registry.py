@@ -2,9 +2,439 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import chunking as C
+from ..functions import text as X
+from ..functions import vectors as V
+from ..operators import chunkers, fulltext, fusion, knn, store
+from ..operators.embedding import HashingBackend, embed_column
+from ..sources import files, html, tables
+from ..types import SearchFilters
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+TOP = 10
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def anchor(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The query vector: that of vec_id 0."""
+    row = read(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()
+    return list(row[0]) if row else [0.0] * 64
+
+
+# -- vectors
+
+_Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
+_METRIC = {"l2": f"1 - list_distance(embedding::DOUBLE[], {_Q})", "cosine": f"list_cosine_similarity(embedding::DOUBLE[], {_Q})", "dot": f"list_inner_product(embedding::DOUBLE[], {_Q})"}
+
+
+def _scored(df: DataFrame, *cols: str) -> DataFrame:
+    return df.select(*cols, F.round("score", 6).alias("score"))
+
+
+def _knn(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    return _scored(knn.nearest(read(spark, sf_dir, "embeddings"), anchor(spark, sf_dir), TOP, key="vec_id", **how), "vec_id")
+
+
+def _knn_sql(metric: str, where: str = "") -> str:
+    return f"SELECT vec_id, round({_METRIC[metric]}, 6) AS score FROM embeddings {where} ORDER BY {_METRIC[metric]} DESC, vec_id LIMIT {TOP}"
+
+
+@query(_knn_sql("l2"))
+def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(spark, sf_dir)
+
+
+@query(_knn_sql("cosine"))
+def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(spark, sf_dir, metric="cosine")
+
+
+@query(_knn_sql("dot"))
+def knn_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(spark, sf_dir, metric="dot")
+
+
+@query(f"SELECT vec_id, score FROM (SELECT vec_id, label, round({_METRIC['l2']}, 6) AS score, {_METRIC['l2']} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT {5 * TOP}) WHERE label = 3 ORDER BY s DESC, vec_id LIMIT {TOP}")
+def knn_filter_post(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(spark, sf_dir, filters=F.col("label") == 3)
+
+
+@query(_knn_sql("l2", "WHERE label = 3"))
+def knn_filter_pre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(spark, sf_dir, filters=F.col("label") == 3, filter_mode="pre")
+
+
+@query(f"SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, {_METRIC['l2']} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT {TOP}) WHERE round(s, 6) >= 0.1")
+def knn_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(spark, sf_dir).filter("score >= 0.1")
+
+
+@query(f"SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, {_METRIC['l2']} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT {TOP + 1}) WHERE vec_id <> 0 ORDER BY s DESC, vec_id LIMIT {TOP}")
+def find_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(knn.similar(read(spark, sf_dir, "embeddings"), 0, TOP, key="vec_id"), "vec_id")
+
+
+@query(f"""
+WITH c AS (SELECT label, list(m ORDER BY i) AS q FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) GROUP BY label, i) GROUP BY label),
+s AS (SELECT c.label::VARCHAR AS query_id, vec_id, 1 - list_distance(embedding::DOUBLE[], q) AS s FROM embeddings, c)
+SELECT query_id, vec_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INTEGER AS rank FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= {TOP}
+""")
+def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of each label's mean vector."""
+    emb = read(spark, sf_dir, "embeddings")
+    means = emb.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m")))["m"].alias("q"))
+    queries = [(r["label"], r["q"]) for r in means.orderBy("label").collect()]  # one row for each label
+    return _scored(knn.nearest_batch(emb, queries, TOP, key="vec_id", key_type="bigint"), "query_id", "vec_id", "rank")
+
+
+@query("""
+WITH t AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: x::DOUBLE) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS s FROM t)
+SELECT vec_id, list_transform(v, lambda x: round(CASE WHEN s > 0 THEN x / s ELSE x END, 6)) AS embedding FROM n
+""")
+def mrl_truncate_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.transform(V.truncated(F.col("embedding"), 16), lambda x: F.round(x, 6)).alias("embedding"))
+
+
+# -- chunks
+
+_WS = r"'[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'"
+_WORDS = f"list_filter(regexp_split_to_array(text, {_WS}), lambda x: x <> '')"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '^' || {_WS}, ''), {_WS} || '$', '')"
+
+
+def _count(c: str) -> str:
+    return f"len(list_filter(regexp_split_to_array({c}, {_WS}), lambda x: x <> ''))"
+
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 50 THEN 1 ELSE ceil((len(w) - 50) / 40.0)::BIGINT + 1 END)) AS i FROM w)
+SELECT doc_id, i::INTEGER AS chunk_index, array_to_string(w[i * 40 + 1 : i * 40 + 50], ' ') AS content FROM s
+""")
+def chunk_token_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.token_windows(F.col("text"), 50, 10)).alias("chunk_index", "content"))
+
+
+_PARAGRAPHS = f"list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda p: {_strip('p')}), lambda p: p <> '')"
+
+
+@query(f"SELECT doc_id, (generate_subscripts(p, 1) - 1)::INTEGER AS chunk_index, unnest(p) AS content FROM (SELECT doc_id, {_PARAGRAPHS} AS p FROM documents)")
+def chunk_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    double = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.paragraphs(double)).alias("chunk_index", "content"))
+
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, {_PARAGRAPHS} AS p FROM documents),
+f AS (SELECT doc_id, list_reduce(list_transform(p, lambda x: {{'o': [x], 'b': x}}), lambda a, x:
+    CASE WHEN {_count("CASE WHEN a.b = '' THEN x.b ELSE a.b || chr(10) || chr(10) || x.b END")} >= 20
+      THEN {{'o': list_append(a.o, CASE WHEN a.b = '' THEN x.b ELSE a.b || chr(10) || chr(10) || x.b END), 'b': ''}}
+      ELSE {{'o': a.o, 'b': CASE WHEN a.b = '' THEN x.b ELSE a.b || chr(10) || chr(10) || x.b END}} END,
+    {{'o': []::VARCHAR[], 'b': ''}}) AS r FROM p),
+g AS (SELECT doc_id, CASE WHEN r.b = '' THEN r.o WHEN len(r.o) = 0 THEN [r.b] ELSE list_append(r.o[1 : len(r.o) - 1], r.o[len(r.o)] || chr(10) || chr(10) || r.b) END AS c FROM f)
+SELECT doc_id, (generate_subscripts(c, 1) - 1)::INTEGER AS chunk_index, unnest(c) AS content FROM g
+""")
+def chunk_paragraph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    double = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.merged(C.paragraphs(double), 20)).alias("chunk_index", "content"))
+
+
+def markdown_of_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, text): every turn as a section whose heading has 1 to 3 signs."""
+    turn = F.concat(F.repeat(F.lit("#"), (1 + F.col("turn") % 3).cast("int")), F.lit(" "), F.col("role"), F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), F.col("text"))
+    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("turn", turn.alias("t"))))["t"], "\n").alias("text"))
+
+
+@query(f"""
+WITH m AS (SELECT conv_id, string_agg(repeat('#', (1 + turn % 3)::INTEGER) || ' ' || role || ' ' || turn || chr(10) || chr(10) || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+l AS (SELECT conv_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM m),
+h AS (SELECT *, regexp_matches(s, '^#{{1,2}}\\s+.+$')::INTEGER AS head, sum(regexp_matches(s, '^#{{1,2}}\\s+.+$')::INTEGER) OVER (PARTITION BY conv_id ORDER BY i) AS g FROM l),
+k AS (SELECT conv_id, g, max(CASE WHEN head = 1 THEN regexp_extract(s, '^#+\\s+(.+)$', 1) END) AS name, string_agg(s, chr(10) ORDER BY i) AS body FROM h GROUP BY conv_id, g),
+n AS (SELECT conv_id, g, {_strip("name")} AS name, {_strip("body")} AS content FROM k)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY g) - 1)::INTEGER AS chunk_index, name, content FROM n WHERE content <> ''
+""")
+def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = markdown_of_conversations(spark, sf_dir).select("conv_id", F.posexplode(C.markdown_sections(F.col("text"), 2)).alias("chunk_index", "s"))
+    return df.select("conv_id", "chunk_index", "s.name", "s.content")
+
+
+@query()
+def chunk_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the docstring of a function in a Python source, chunked."""
+    source = F.concat(F.lit("import os\n\n"), F.lit("def f"), F.col("doc_id").cast("string"), F.lit('():\n    r"""'), F.replace("text", F.lit('"'), F.lit("'")), F.lit('"""\n    return 1\n\nclass A:\n    x = 1\n'))
+    docs = read(spark, sf_dir, "documents").select("doc_id", source.alias("text"), F.lit("python").alias("content_type"))
+    return chunkers.chunked(docs).select("doc_id", "chunk_index", "content", "chunk_type", "name", "start_line", "end_line")
+
+
+@query()
+def chunk_rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages turned to text and chunked under their headings."""
+    docs = read(spark, sf_dir, "pages").select("page_id", html.text_of(F.col("html")).alias("text"), F.lit("docling").alias("content_type"))
+    return chunkers.chunked(docs).select("page_id", "chunk_index", "content", "name", "metadata")
+
+
+# -- scalars, sources, aggregates
+
+
+@query(f"SELECT doc_id, len({_WORDS})::INTEGER AS tokens, (length(text) - length(replace(text, chr(10), '')))::INTEGER AS newlines FROM documents")
+def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", X.token_count(F.col("text")).alias("tokens"), X.newlines(F.col("text")).alias("newlines"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash, count(*) AS copies FROM documents GROUP BY text")
+def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", X.content_hash(F.col("text")).alias("content_hash")).groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("SELECT d.doc_id FROM documents d WHERE sha256(d.text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+def dedup_against_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose content none of those with even ids has: the anti-join of ingest, even ids standing for what is stored."""
+    hashed = read(spark, sf_dir, "documents").select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+    return hashed.join(hashed.filter("doc_id % 2 = 0").select("content_hash").distinct(), "content_hash", "left_anti").select("doc_id")
+
+
+_URL = "page_id::VARCHAR || CASE page_id % 8 WHEN 0 THEN '.py' WHEN 1 THEN '.MD' WHEN 2 THEN '.txt' WHEN 3 THEN '.tar.html' WHEN 4 THEN '' WHEN 5 THEN '.rs' WHEN 6 THEN '.cpp' ELSE '.jsx' END"
+_KINDS = " ".join(f"WHEN '{s}' THEN '{k}'" for s, k in X.TYPE_OF.items())
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = F.array(*(F.lit(x) for x in (".py", ".MD", ".txt", ".tar.html", "", ".rs", ".cpp", ".jsx")))
+    return read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/a.b/"), F.col("page_id").cast("string"), F.element_at(ends, (F.col("page_id") % 8 + 1).cast("int"))).alias("path"))
+
+
+@query(f"SELECT page_id, CASE lower(regexp_extract(p, '^.+(\\.[^.]+)$', 1)) {_KINDS} ELSE 'generic' END AS content_type, lower(regexp_extract(p, '^.+(\\.[^.]+)$', 1)) IN ({', '.join(repr(s) for s in X.SUFFIXES['docling'].split())}) AS rich FROM (SELECT page_id, {_URL} AS p FROM pages)")
+def detect_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).select("page_id", X.content_type(F.col("path")).alias("content_type"), X.is_rich(F.col("path")).alias("rich"))
+
+
+@query(f"SELECT page_id FROM (SELECT page_id, {_URL} AS p FROM pages) WHERE (p LIKE '%.py' OR p LIKE '1%') AND NOT p LIKE '%.rs'")
+def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.glob_filter(_paths(spark, sf_dir), ["*.py", "1*"], ["*.rs"]).select("page_id")
+
+
+@query("SELECT count(*) AS chunk_count, count(DISTINCT source) AS source_count FROM documents")
+def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.stats(read(spark, sf_dir, "documents").select(F.col("source").alias("source_path")))
+
+
+@query("SELECT DISTINCT source AS source_path FROM documents WHERE source IS NOT NULL")
+def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.sources(read(spark, sf_dir, "documents").select(F.col("source").alias("source_path")))
+
+
+@query("SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND starts_with(source, 'src1') AND n_chars >= 0")
+def search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicate of search filters: types, a path prefix and metadata."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("content_type"), F.col("source").alias("source_path"), F.lit("x").alias("chunk_type"), F.to_json(F.struct(F.lit("doc").alias("kind"))).alias("metadata"))
+    return docs.filter(SearchFilters(("en", "fr"), "src1", ("x",), (("kind", "doc"),)).predicate()).select("doc_id")
+
+
+@query("""
+SELECT role, count(*) AS messages, sum(n)::BIGINT AS tokens, round(avg(n), 6) AS avg_tokens, round(sum(n) * 0.5 / 1000, 6) AS cost
+FROM (SELECT role, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM conversations) GROUP BY role
+""")
+def chat_role_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.role_stats(read(spark, sf_dir, "conversations"), 0.5).select("role", "messages", "tokens", F.round("avg_tokens", 6).alias("avg_tokens"), F.round("cost", 6).alias("cost"))
+
+
+@query(f"""
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS message, role, {_strip("text")} AS text FROM conversations WHERE {_strip("text")} <> ''
+""")
+def chat_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as a log and parsed again."""
+    line = F.concat(F.initcap("role"), F.lit(": "), F.col("text"))
+    logs = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("turn", line.alias("l"))))["l"], "\n").alias("log"))
+    return tables.chat_messages(logs, F.col("log"), "conv_id")
+
+
+@query("SELECT round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events")
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").agg(F.round(F.avg("value"), 6).alias("mean"), *(F.round(F.percentile("value", p), 6).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)))
+
+
+@query("SELECT 'wikipedia:' || doc_id AS path, '# ' || source || chr(10) || chr(10) || text AS text, 'markdown' AS content_type FROM documents WHERE length(text) >= 100")
+def article_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = read(spark, sf_dir, "documents").select(F.col("source").alias("title"), "text", F.col("doc_id").cast("string").alias("article_id"))
+    return tables.article_documents(articles.filter(F.length("text") >= 100))
+
+
+@query()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", html.text_of(F.col("html")).alias("text"))
+
+
+@query()
+def embed_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", embed_column(F.col("text"), HashingBackend(64)).alias("embedding"))
+
+
+@query()
+def fts_postings_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.index(read(spark, sf_dir, "documents"), key="doc_id", content="text", name=None).postings
+
+
+# -- full text
+
+_TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}\p{M}\p{Co}]+'), lambda x: x <> '')"
+
+
+def bm25_sql(tfs: Sequence[str], match: str, tail: str = "", source: str = "SELECT doc_id, text FROM documents", key: str = "doc_id") -> str:
+    """BM25 over phrases whose occurrences in the token list t are ``tfs``."""
+    d = ", ".join(f"sum((f{i} > 0)::INTEGER) AS d{i}" for i in range(len(tfs)))
+    part = " + ".join(f"(CASE WHEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) > 0 THEN ln((n - d{i} + 0.5) / (d{i} + 0.5)) ELSE 1e-6 END) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / a))" for i in range(len(tfs)))
+    return f"""
+WITH tok AS (SELECT {key}, {_TOKENS} AS t FROM ({source})),
+f AS (SELECT {key}, len(t) AS dl, {', '.join(f'({x})::DOUBLE AS f{i}' for i, x in enumerate(tfs))} FROM tok),
+c AS (SELECT count(*) AS n, avg(dl) AS a, {d} FROM f)
+SELECT {key}, round({part}, 6) AS score FROM f, c WHERE {match} {tail}"""
+
+
+def _tf(term: str) -> str:
+    return f"len(list_filter(t, lambda x: x = '{term}'))"
+
+
+def _index(spark: SparkSession, sf_dir: str) -> fulltext.Index:
+    return fulltext.index(read(spark, sf_dir, "documents"), key="doc_id", content="text", name=None, stemmed=False)
+
+
+def _fts(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return _scored(fulltext.matches(_index(spark, sf_dir), text), "doc_id")
+
+
+@query(bm25_sql([_tf("the")], "f0 > 0"))
+def fts_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fts(spark, sf_dir, "the")
+
+
+@query(bm25_sql([_tf("the"), _tf("with")], "f0 > 0 AND f1 > 0"))
+def fts_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fts(spark, sf_dir, "the with")
+
+
+@query(bm25_sql([_tf("los"), _tf("und")], "f0 > 0 OR f1 > 0"))
+def fts_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fts(spark, sf_dir, "los OR und")
+
+
+@query(bm25_sql([_tf("the"), _tf("idiot")], "f0 > 0 AND f1 = 0"))
+def fts_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fts(spark, sf_dir, "the NOT idiot")
+
+
+@query(bm25_sql(["len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the'))"], "f0 > 0"))
+def fts_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fts(spark, sf_dir, '"of the"')
+
+
+@query(bm25_sql(["len(list_filter(t, lambda x: starts_with(x, 'licen')))"], "f0 > 0"))
+def fts_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fts(spark, sf_dir, "licen*")
+
+
+@query(bm25_sql(["CASE WHEN len(t) > 0 AND t[1] = 'the' THEN 1 ELSE 0 END"], "f0 > 0"))
+def fts_initial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fts(spark, sf_dir, "^the")
+
+
+@query()
+def fts_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fts(spark, sf_dir, "NEAR(the with, 3)")
+
+
+@query(f"SELECT doc_id, score FROM ({bm25_sql([_tf('the'), _tf('and')], 'f0 > 0 AND f1 > 0')}) ORDER BY score DESC, doc_id LIMIT {TOP}")
+def fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best ten; scores are rounded before they are ranked so that both engines break ties alike."""
+    hits = _fts(spark, sf_dir, "the and")
+    return hits.orderBy(F.desc("score"), "doc_id").limit(TOP)
+
+
+# -- hybrid
+
+_CHUNKS = f"""
+SELECT doc_id * 100000 + i AS chunk_id, array_to_string(w[i * 40 + 1 : i * 40 + 50], ' ') AS text, lang, source, embedding FROM (
+  SELECT *, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 50 THEN 1 ELSE ceil((len(w) - 50) / 40.0)::BIGINT + 1 END)) AS i
+  FROM (SELECT doc_id, {_WORDS} AS w, lang, source, embedding FROM documents JOIN embeddings ON doc_id = vec_id))"""
+
+
+def hybrid_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token windows of the documents that have a vector, each with its document's vector."""
+    docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    made = docs.select("doc_id", "embedding", F.col("lang").alias("content_type"), F.col("source").alias("source_path"), F.posexplode(C.token_windows(F.col("text"), 50, 10)).alias("i", "content"))
+    return made.select((F.col("doc_id") * 100000 + F.col("i")).alias("chunk_id"), "content", "content_type", "source_path", "embedding")
+
+
+def _hybrid_sql(fused: str, keep: str = "true", fetch: int = 3 * TOP) -> str:
+    inner = fetch * 5 if keep != "true" else fetch
+    text = bm25_sql([_tf("the"), _tf("with")], "f0 > 0 AND f1 > 0", source="SELECT chunk_id, text FROM ch", key="chunk_id").replace("round(", "(").replace(", 6) AS score", ") AS score").strip()
+    return f"""
+WITH ch AS MATERIALIZED ({_CHUNKS}),
+v0 AS (SELECT chunk_id, {_METRIC['l2']} AS s FROM ch ORDER BY round({_METRIC['l2']}, 9) DESC, chunk_id LIMIT {inner}),
+v AS (SELECT chunk_id, s FROM v0 JOIN ch USING (chunk_id) WHERE {keep} ORDER BY round(s, 9) DESC, chunk_id LIMIT {fetch}),
+t0 AS (SELECT chunk_id, score AS s FROM ({text}) ORDER BY round(score, 9) DESC, chunk_id LIMIT {inner}),
+t AS (SELECT chunk_id, s FROM t0 JOIN ch USING (chunk_id) WHERE {keep} ORDER BY round(s, 9) DESC, chunk_id LIMIT {fetch}),
+vr AS (SELECT *, row_number() OVER (ORDER BY round(s, 9) DESC, chunk_id) AS r, min(s) OVER () AS lo, max(s) OVER () AS hi FROM v),
+tr AS (SELECT *, row_number() OVER (ORDER BY round(s, 9) DESC, chunk_id) AS r, min(s) OVER () AS lo, max(s) OVER () AS hi FROM t),
+j AS (SELECT coalesce(vr.chunk_id, tr.chunk_id) AS chunk_id, {fused} AS f FROM vr FULL JOIN tr ON vr.chunk_id = tr.chunk_id)
+SELECT chunk_id, round(f, 6) AS score FROM j ORDER BY round(f, 9) DESC, chunk_id LIMIT {TOP}"""
+
+
+_RRF = "coalesce(1.0 / (60 + vr.r), 0)::DOUBLE + coalesce(1.0 / (60 + tr.r), 0)::DOUBLE"
+_WEIGHTED = "0.7 * coalesce(CASE WHEN vr.hi > vr.lo THEN (vr.s - vr.lo) / (vr.hi - vr.lo) ELSE 0 END, 0) + 0.3 * coalesce(CASE WHEN tr.hi > tr.lo THEN (tr.s - tr.lo) / (tr.hi - tr.lo) ELSE 0 END, 0)"
+
+
+def _hybrid(spark: SparkSession, sf_dir: str, how: str, filters: SearchFilters | None = None) -> DataFrame:
+    chunks = hybrid_chunks(spark, sf_dir)
+    exact = F.round("score", 9)  # both engines rank by rounded scores, as they sum in different orders
+    v = knn.nearest(chunks, anchor(spark, sf_dir), 3 * TOP, filters)
+    ix = fulltext.index(chunks, name=None, stemmed=False)
+    t = fulltext.search(ix, chunks, "the with", 3 * TOP, filters)
+    v, t = v.withColumn("score", exact), t.withColumn("score", exact)
+    made = fusion.rrf(v, t) if how == "rrf" else fusion.weighted(v, t, 0.7)
+    return _scored(made.orderBy(F.desc(F.round("score", 9)), "chunk_id").limit(TOP), "chunk_id")
+
+
+@query(_hybrid_sql(_RRF))
+def search_hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir, "rrf")
+
+
+@query(_hybrid_sql(_WEIGHTED))
+def search_hybrid_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir, "weighted")
+
+
+@query(_hybrid_sql(_RRF, "lang = 'en' AND starts_with(source, 'src1')"))
+def search_hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir, "rrf", SearchFilters(("en",), "src1"))
