@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow (ids and numbers only) join side is broadcast; above it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Rows and stored bytes up to which a join side is broadcast; above either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,8 +41,9 @@ class Shared:
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast if it has at most ``rows`` rows.  Give it stored tables: it counts them."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df``, marked for broadcast if it is stored in few bytes and has at most ``rows`` rows.  Give it stored tables: it counts them."""
+    stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if stored <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -307,4 +307,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     out = both.withColumn("text", rest).filter(F.col(tag + "l").isNull() | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(tag + "l").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -33,50 +33,49 @@ def rank(doc_id: Column, p: Column) -> Column:
 
 
 def copies(docs: DataFrame, total: int | None = None) -> DataFrame:
-    """``docs`` (all columns) with ``_copies``: how often each row is in the mixture, 0 if it is not.
+    """(row, copies): each row of ``docs`` as a struct of all its columns, and how often it is in the mixture, 0 if it is not.
 
     A null source is a source of its own; a null or negative n_chars counts as 0.  Rows that repeat a doc_id in a source
     draw alike and are taken or left together, so at the cut a source may exceed its target by such ties.  An
-    empty table gives an empty result.  Columns whose names begin with _ and are used here must not be in ``docs``."""
-    source, z = F.coalesce(F.col("source").cast("string"), F.lit("\0")), measure(F.col("n_chars"))
-    narrow = docs.select(source.alias("_source"), F.col("doc_id"), z.alias("_z"), F.greatest(F.coalesce(F.col("n_chars").cast("bigint"), F.lit(0)), F.lit(0)).alias("_chars"))
-    sums = Shared(narrow.groupBy("_source").agg(F.count("*").alias("_n"), F.sum("_z").alias("_zs"), F.floor(F.sqrt(F.sum("_chars") + 1)).alias("_share")))
+    empty table gives an empty result.  Further columns of any name ride in the struct and can't clash."""
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    source = F.coalesce(F.col("row.source").cast("string"), F.lit("\0"))
+    chars = F.greatest(F.coalesce(F.col("row.n_chars").cast("bigint"), F.lit(0)), F.lit(0))
+    wide = row.select("row", source.alias("source"), F.col("row.doc_id").alias("doc_id"), measure(F.col("row.n_chars")).alias("z"), chars.alias("chars"))
+    narrow = wide.drop("row")
+    sums = Shared(narrow.groupBy("source").agg(F.count("*").alias("n"), F.sum("z").alias("zs"), F.floor(F.sqrt(F.sum("chars") + 1)).alias("share")))
     # One row over all sources; the number of sources is not bounded, so sources join by their size.
-    whole = sums.df.agg(F.sum("_n").alias("_rows"), F.sum("_share").alias("_shares"))
-    rows = "_rows" if total is None else str(int(total))
-    target = F.expr(f"{rows} * _share div _shares")
-    goals = Shared(sums.df.crossJoin(F.broadcast(whole)).select("_source", "_zs", target.alias("_target")))
+    whole = sums.df.agg(F.sum("n").alias("all_rows"), F.sum("share").alias("shares"))
+    rows = "all_rows" if total is None else str(int(total))
+    goals = Shared(sums.df.crossJoin(F.broadcast(whole)).select("source", "zs", F.expr(f"{rows} * share div shares").alias("target")))
 
     def expected(df: DataFrame, add: DataFrame) -> DataFrame:
-        df = df.join(sized(add), "_source")
-        p = F.expr("(_target * _z) % _zs").cast("double") / F.col("_zs").cast("double")
-        return df.withColumn("_whole", F.expr("_target * _z div _zs")).withColumn("_rank", rank(F.col("doc_id"), p))
+        df = df.join(sized(add), "source")
+        p = F.expr("(target * z) % zs").cast("double") / F.col("zs").cast("double")
+        return df.withColumn("sure", F.expr("target * z div zs")).withColumn("rank", rank(F.col("doc_id"), p))
 
     drawn = expected(narrow, goals.df)
-    bucket = F.floor(F.col("_rank") / (1 + F.col("_rank")) * BUCKETS)
-    counts = Shared(drawn.groupBy("_source", bucket.alias("_bucket")).agg(F.count("_rank").alias("_n"), F.sum("_whole").alias("_sure"), F.first("_target").alias("_target")))
-    w = Window.partitionBy("_source")
-    below = F.coalesce(F.sum("_n").over(w.orderBy(F.col("_bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cuts = counts.df.withColumn("_need", F.col("_target") - F.sum("_sure").over(w)).withColumn("_below", below)
-    cuts = cuts.filter("_bucket is not null and _below < _need and _need <= _below + _n").select("_source", F.col("_bucket").alias("_at"), (F.col("_need") - F.col("_below")).alias("_take"))
-    cuts = Shared(cuts)
-    inside = drawn.withColumn("_bucket", bucket).join(sized(cuts.df), "_source").filter("_bucket = _at")
-    order = F.row_number().over(w.orderBy("_rank"))
-    last = inside.withColumn("_order", order).filter("_order = _take").select("_source", F.col("_rank").alias("_cut"))
-    final = Shared(goals.df.join(last, "_source", "left"))
-    out = expected(docs.withColumn("_source", source).withColumn("_z", z), final.df)
-    return out.select(*[out[c] for c in docs.columns], (F.col("_whole") + F.when(F.col("_rank") <= F.col("_cut"), 1).otherwise(0)).alias("_copies"))
+    bucket = F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS)
+    counts = Shared(drawn.groupBy("source", bucket.alias("bucket")).agg(F.count("rank").alias("n"), F.sum("sure").alias("sure"), F.first("target").alias("target")))
+    w = Window.partitionBy("source")
+    below = F.coalesce(F.sum("n").over(w.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = counts.df.withColumn("need", F.col("target") - F.sum("sure").over(w)).withColumn("below", below)
+    cuts = Shared(cuts.filter("bucket is not null and below < need and need <= below + n").select("source", F.col("bucket").alias("at"), (F.col("need") - F.col("below")).alias("take")))
+    inside = drawn.withColumn("bucket", bucket).join(sized(cuts.df), "source").filter("bucket = at")
+    last = inside.withColumn("place", F.row_number().over(w.orderBy("rank"))).filter("place = take").select("source", F.col("rank").alias("cut"))
+    final = Shared(goals.df.join(last, "source", "left"))
+    return expected(wide, final.df).select("row", (F.col("sure") + F.when(F.col("rank") <= F.col("cut"), 1).otherwise(0)).alias("copies"))
 
 
 def sample(docs: DataFrame, total: int | None = None) -> DataFrame:
     """(doc_id, source, copies) of every document that is in the mixture."""
-    return copies(docs.select("doc_id", "source", "n_chars"), total).filter("_copies > 0").select("doc_id", "source", F.col("_copies").cast("bigint").alias("copies"))
+    return copies(docs.select("doc_id", "source", "n_chars"), total).filter("copies > 0").select("row.doc_id", "row.source", F.col("copies").cast("bigint").alias("copies"))
 
 
 def mixed(docs: DataFrame, total: int | None = None) -> DataFrame:
     """The rows of the mixture with the columns of ``docs``, each as often as it has copies."""
-    out = copies(docs, total).filter("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    out = copies(docs, total).filter("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 ORACLE = f"""

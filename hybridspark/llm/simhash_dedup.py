@@ -168,8 +168,8 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
     Rows that repeat both doc_id and text of a kept document are given once; rows with a null doc_id all stay."""
     lost = Shared(groups(docs, **how).filter("doc_id <> group_id").select("doc_id"))
     twice = Shared(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
-    kept = docs.join(sized(lost.df), "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(sized(lost.df), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
     if twice.df.isEmpty():
         return kept
     again = sized(twice.df)
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    return kept.join(again, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(kept.join(again, "doc_id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns)).dropDuplicates(["doc_id", "text"]))

@@ -125,12 +125,13 @@ def scored(docs: DataFrame, terms: dict[str, float]) -> DataFrame:
 
 
 def clean(docs: DataFrame, terms: dict[str, float]) -> DataFrame:
-    """The rows of ``docs`` that are not toxic, with all their columns."""
+    """The rows of ``docs`` that are not toxic, with all their columns; null and blank texts are not."""
     at = docs.columns.index("text")
+    named = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # any name may stand in ``docs``, dots too
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = automaton(terms)
         for batch in batches:
             yield batch.filter(pa.array([not score(x.as_py(), made)[4] for x in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return named.mapInArrow(run, named.schema).toDF(*docs.columns)
