@@ -1 +1,3 @@
 """hybridspark: document retrieval and analytics on Spark DataFrames."""
+
+__version__ = "0.1.0"
