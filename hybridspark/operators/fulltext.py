@@ -93,23 +93,33 @@ def _near(n: Near, c: str, starts: list[Column]) -> list[Column]:
     return [_taking_part(s, ends, w) for s, w in zip(starts, low, strict=True)]
 
 
-def _plan(node: Q.Node, ids: dict[tuple[str, bool], int]) -> tuple[Column, list[tuple[Phrase, Column]]]:
-    """(whether a row matches, occurrences of each phrase in it)."""
+def _size(cols: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, (F.size(x) for x in cols))
 
-    def size(cols: list[Column]) -> Column:
-        return reduce(lambda a, b: a + b, (F.size(x) for x in cols))
 
+def _nears(node: Q.Node) -> list[Near]:
+    if isinstance(node, Op):
+        return _nears(node.left) + _nears(node.right)
+    return [node] if isinstance(node, Near) else []
+
+
+def _plan(node: Q.Node, phrase: dict[Phrase, int], near: dict[Near, int]) -> tuple[Column, list[tuple[Phrase, Column]]]:
+    """(whether a row matches, occurrences of each phrase in it), by the columns of starts that ``matches`` has laid out."""
     if isinstance(node, Phrase):
-        n = size([_starts(node, c, ids) for c in COLUMNS])
+        n = _size([F.col(f"_s{phrase[node]}_{c}") for c in COLUMNS])
         return n > 0, [(node, n)]
     if isinstance(node, Near):
-        by = [_near(node, c, [_starts(p, c, ids) for p in node.phrases]) for c in COLUMNS]
-        counts = [size([b[i] for b in by]) for i in range(len(node.phrases))]
+        counts = [_size([F.col(f"_r{near[node]}_{c}")[i] for c in COLUMNS]) for i in range(len(node.phrases))]
         return counts[0] > 0, list(zip(node.phrases, counts, strict=True))
-    a, pa = _plan(node.left, ids)
-    b, pb = _plan(node.right, ids)
-    whole = a & b if node.kind == "AND" else a | b if node.kind == "OR" else a & ~b
-    return whole, pa + [(p, F.when(b, n).otherwise(F.lit(0))) for p, n in pb] if node.kind != "OR" else [(p, F.when(a, n).otherwise(F.lit(0))) for p, n in pa] + [(p, F.when(b, n).otherwise(F.lit(0))) for p, n in pb]
+    a, pa = _plan(node.left, phrase, near)
+    b, pb = _plan(node.right, phrase, near)
+
+    def only(where: Column, found: list[tuple[Phrase, Column]]) -> list[tuple[Phrase, Column]]:
+        return [(p, F.when(where, n).otherwise(F.lit(0))) for p, n in found]
+
+    if node.kind == "AND":
+        return a & b, pa + pb
+    return (a | b, only(a, pa) + only(b, pb)) if node.kind == "OR" else (a & ~b, pa + only(b, pb))
 
 
 def matches(ix: Index, query: str, syntax: str = "fts5") -> DataFrame | None:
@@ -141,16 +151,19 @@ def matches(ix: Index, query: str, syntax: str = "fts5") -> DataFrame | None:
     ]
     # one row for each chunk that holds any of the terms; joined with its length
     held = ix.postings.filter(wanted).groupBy(ix.key).agg(*cols)
-    matched, counts = _plan(tree, ids)
-    alone = {p: reduce(lambda a, b: a + b, (F.size(_starts(p, c, ids)) for c in COLUMNS)) for p in dict.fromkeys(listed)}
-    rows = held.select(ix.key, matched.alias("_m"), *(n.alias(f"_f{i}") for i, (_, n) in enumerate(counts)), *((n > 0).cast("long").alias(f"_h{i}") for i, n in enumerate(alone.values())))
+    phrase = {p: i for i, p in enumerate(dict.fromkeys(listed))}
+    near = {n: i for i, n in enumerate(dict.fromkeys(_nears(tree)))}
+    # starts, then those that take part in a NEAR: each is computed once, in a projection of its own
+    laid = held.select(ix.key, *(_starts(p, c, ids).alias(f"_s{i}_{c}") for p, i in phrase.items() for c in COLUMNS))
+    laid = laid.select("*", *(F.array(*_near(n, c, [F.col(f"_s{phrase[p]}_{c}") for p in n.phrases])).alias(f"_r{i}_{c}") for n, i in near.items() for c in COLUMNS))
+    matched, counts = _plan(tree, phrase, near)
+    rows = laid.select(ix.key, matched.alias("_m"), *(n.alias(f"_f{i}") for i, (_, n) in enumerate(counts)), *((_size([F.col(f"_s{i}_{c}") for c in COLUMNS]) > 0).cast("long").alias(f"_h{i}") for i in phrase.values()))
     corpus = ix.lengths.agg(F.count("*").alias("_n"), F.avg("dl").alias("_avg"))
-    df = rows.agg(*(F.coalesce(F.sum(f"_h{i}"), F.lit(0)).alias(f"_d{i}") for i in range(len(alone))))
-    place = {p: i for i, p in enumerate(alone)}
+    df = rows.agg(*(F.coalesce(F.sum(f"_h{i}"), F.lit(0)).alias(f"_d{i}") for i in phrase.values()))
     hits = rows.filter("_m").join(ix.lengths, ix.key).crossJoin(F.broadcast(corpus)).crossJoin(F.broadcast(df))  # one row each
     total = F.lit(0.0)
     for i, (p, _) in enumerate(counts):
-        d, f = F.col(f"_d{place[p]}"), F.col(f"_f{i}").cast("double")
+        d, f = F.col(f"_d{phrase[p]}"), F.col(f"_f{i}").cast("double")
         idf = F.ln((F.col("_n") - d + 0.5) / (d + 0.5))
         idf = F.when(idf > 0, idf).otherwise(F.lit(FLOOR))
         total = total + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("_avg")))
