@@ -14,7 +14,7 @@ from .operators.embedding import Embedder, HashingBackend, RemoteBackend
 from .operators.pipeline import Ingest
 from .operators.search import Search
 from .operators.store import Store
-from .types import RetrievalError, SearchFilters
+from .types import Fusion, RetrievalError, SearchFilters, SearchMode
 
 
 def embedder(c: config.EmbedderConfig) -> Embedder:
@@ -45,8 +45,8 @@ def parser() -> argparse.ArgumentParser:
     search = sub.add_parser("search")
     search.add_argument("query")
     search.add_argument("-k", "--top-k", type=int, default=10)
-    search.add_argument("--mode", choices=["vector", "fulltext", "hybrid"], default="hybrid")
-    search.add_argument("--fusion", choices=["rrf", "weighted"], default="rrf")
+    search.add_argument("--mode", choices=[str(m) for m in SearchMode], default="hybrid")
+    search.add_argument("--fusion", choices=[str(f) for f in Fusion], default="rrf")
     search.add_argument("--min-score", type=float)
     search.add_argument("--content-type", action="append", default=[])
     search.add_argument("--source-prefix")

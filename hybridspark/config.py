@@ -11,7 +11,7 @@ from typing import Any
 from .operators.chunkers import ChunkConfig
 from .types import ConfigError
 
-_TRUE, _FALSE = {"1", "true", "yes", "on"}, {"0", "false", "no", "off"}
+_TRUE, _FALSE = set("1 true yes on".split()), set("0 false no off".split())
 
 
 def boolean(text: str) -> bool:
@@ -59,7 +59,7 @@ class StoreConfig:
 class PipelineConfig:
     collection: str = "default"
     include_patterns: tuple[str, ...] = ()
-    exclude_patterns: tuple[str, ...] = (".*", "__pycache__", "node_modules", ".git", "*.pyc", "*.pyo")
+    exclude_patterns: tuple[str, ...] = tuple(".* __pycache__ node_modules .git *.pyc *.pyo".split())
 
     def __post_init__(self) -> None:
         _check(bool(self.collection.strip()), "collection is blank")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..types import HIT_COLUMNS, QueryError, SearchFilters, SearchResults
 from . import fulltext, fusion, knn
 
-HYBRID_FETCH = 3
+HYBRID_FETCH, TOP_K = 3, 10
+Filters, Least = SearchFilters | None, float | None
 
 
 class Search:
@@ -33,30 +34,30 @@ class Search:
     def _shown(self, hits: DataFrame) -> DataFrame:
         return hits.select(*(c for c in HIT_COLUMNS if c in hits.columns))
 
-    def _vector_hits(self, query: str, top_k: int, filters: SearchFilters | None) -> DataFrame:
+    def _vector_hits(self, query: str, top_k: int, filters: Filters) -> DataFrame:
         if self.embed is None:
             raise QueryError("vector search needs an embedder")
         return knn.nearest(self.chunks, self.embed(query), top_k, filters, self.metric, self.filter_mode)
 
-    def _final(self, hits: DataFrame, top_k: int, min_score: float | None) -> DataFrame:
+    def _final(self, hits: DataFrame, top_k: int, min_score: Least) -> DataFrame:
         if min_score is not None:
             hits = hits.filter(F.col("score") >= min_score)
         return self._shown(hits).orderBy(F.desc("score"), "chunk_id").limit(top_k)
 
-    def vector(self, query: str, top_k: int = 10, filters: SearchFilters | None = None, min_score: float | None = None) -> DataFrame:
+    def vector(self, query: str, top_k: int = TOP_K, filters: Filters = None, min_score: Least = None) -> DataFrame:
         return self._final(self._vector_hits(query, top_k, filters), top_k, min_score)
 
-    def fulltext(self, query: str, top_k: int = 10, filters: SearchFilters | None = None, min_score: float | None = None) -> DataFrame:
+    def fulltext(self, query: str, top_k: int = TOP_K, filters: Filters = None, min_score: Least = None) -> DataFrame:
         return self._final(fulltext.search(self.index, self.chunks, query, top_k, filters, self.syntax, self.filter_mode), top_k, min_score)
 
-    def hybrid(self, query: str, top_k: int = 10, filters: SearchFilters | None = None, min_score: float | None = None, alpha: float = 0.7, how: str = "rrf") -> DataFrame:
+    def hybrid(self, query: str, top_k: int = TOP_K, filters: Filters = None, min_score: Least = None, alpha: float = 0.7, how: str = "rrf") -> DataFrame:
         """Both lists of 3 * top_k, fused; ``min_score`` applies to fused scores (those of rrf are at most 2 / 61)."""
         v = self._vector_hits(query, HYBRID_FETCH * top_k, filters)
         t = fulltext.search(self.index, self.chunks, query, HYBRID_FETCH * top_k, filters, self.syntax, self.filter_mode)
         made = fusion.rrf(v, t) if str(how) == "rrf" else fusion.weighted(v, t, alpha)
         return self._final(made, top_k, min_score)
 
-    def similar(self, chunk_id: str, top_k: int = 10, exclude_self: bool = True, reembed: bool = False) -> DataFrame:
+    def similar(self, chunk_id: str, top_k: int = TOP_K, exclude_self: bool = True, reembed: bool = False) -> DataFrame:
         """Neighbours of a stored chunk, by its stored vector, or with ``reembed`` by embedding its text as a query."""
         if not reembed:
             return self._shown(knn.similar(self.chunks, chunk_id, top_k, exclude_self, self.metric))
@@ -66,7 +67,7 @@ class Search:
         hits = self._vector_hits(row["content"], top_k + bool(exclude_self), None)
         return self._final(hits.filter(F.col("chunk_id") != chunk_id) if exclude_self else hits, top_k, None)
 
-    def search(self, query: str, top_k: int = 10, mode: str = "hybrid", filters: SearchFilters | None = None, min_score: float | None = None, hybrid_alpha: float = 0.7, fusion: str = "rrf") -> DataFrame:
+    def search(self, query: str, top_k: int = TOP_K, mode: str = "hybrid", filters: Filters = None, min_score: Least = None, fusion: str = "rrf", hybrid_alpha: float = 0.7) -> DataFrame:
         """Dispatch by mode; a blank query has no hits."""
         if not query or not query.strip():
             return self._none()

@@ -76,17 +76,20 @@ CHUNK = _struct("chunk_id string, collection_id string, content string, content_
 HIT_COLUMNS = ("chunk_id", "content", "score", "source_path", "content_type", "chunk_type", "start_line", "end_line", "name", "metadata")
 
 
+Text = str | None
+
+
 @dataclass(frozen=True)
 class EmbedInput:
     """One thing to embed: at least one of text, image, video."""
 
-    text: str | None = None
-    image: str | None = None
-    video: str | None = None
-    instruction: str | None = None
+    text: Text = None
+    image: Text = None
+    video: Text = None
+    instruction: Text = None
 
     def __post_init__(self) -> None:
-        if self.text is None and self.image is None and self.video is None:
+        if all(x is None for x in (self.text, self.image, self.video)):
             raise InputError("text, image or video is required")
 
 
@@ -126,7 +129,7 @@ class SearchFilters:
     """Conditions on hits; an empty list or string is no condition."""
 
     content_types: tuple[str, ...] = ()
-    source_path_prefix: str | None = None
+    source_path_prefix: Text = None
     chunk_types: tuple[str, ...] = ()
     metadata_match: tuple[tuple[str, Any], ...] = ()
 
@@ -153,7 +156,7 @@ class SearchResults:
     query: str
     collection: str
     mode: str
-    elapsed_ms: float = 0.0
+    elapsed_ms: float = 0
 
     def __post_init__(self) -> None:
         scores = [r["score"] for r in self.results]
