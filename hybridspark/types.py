@@ -105,13 +105,14 @@ class Embedding:
         if not self.vector:
             raise InputError("a vector has at least one component")
 
+    def to_list(self) -> list[float]:
+        return [*self.vector]
+
     @property
     def dimension(self) -> int:
+        """How many components it has."""
         return len(self.vector)
 
-    def to_list(self) -> list[float]:
-        return list(self.vector)
-
 
 @dataclass(frozen=True, order=True)
 class SimilarityScore:
