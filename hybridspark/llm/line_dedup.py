@@ -1,14 +1,14 @@
-"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
+"""Fuzzy line deduplication: an exact join by word edit similarity, connected groups.
 
-A line is normalised to its lower-cased words; lines of fewer than MIN_WORDS words are left alone.  Two lines are
-near if their 64-bit SimHashes (voted by their distinct words) differ in at most MAX_BITS bits and the edit similarity of their word
-sequences, 1 - distance / longer length, is at least SIMILARITY.  Lines that chains of near lines connect form a
-group, of which the first occurrence (by doc_id, then line number) stays.
+A line is normalised to its lower-cased words; lines of fewer than MIN_WORDS words are left alone.  Two lines are near if the
+edit similarity of their word sequences, 1 - distance / longer length, is at least SIMILARITY.  Lines that chains of near lines
+connect form a group, of which the first occurrence (by doc_id, then line number) stays.
 
-Search.  A fingerprint is cut into MAX_BITS + m blocks; of two near ones at least m blocks agree, so all pairs meet
-under one of the choices of m blocks: nothing is missed.  m follows from the number of fingerprints, so that chance
-meetings stay few however large the table is.  Fingerprints travel in packed arrays, eight bytes for each choice.
-Only lines that a Hamming link connects are read again and compared word by word, each component in one task.
+Search.  k edits break at most 2k of a line's pairs of adjacent words, so two near lines share one of the 2k + 1 first pairs of
+each, in any one order of all pairs; k follows from the length.  The order puts pairs that are frequent in a sample last, which
+only keeps the lists of lines with a common pair short.  Lines of a list are linked if their lengths and the numbers of their
+words in BUCKETS buckets allow a distance within k.  No near pair is lost by any of these steps.  Only linked lines are read
+again and compared word by word, each component in one task.
 """
 
 from __future__ import annotations
@@ -25,8 +25,11 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import Shared, components, sized
 
-MIN_WORDS, MAX_BITS, SIMILARITY = 6, 6, 0.85
-LINE_DDL = "doc_id bigint, rev bigint, line int, h bigint, fp bigint, words int"
+MIN_WORDS, SIMILARITY = 6, 0.85
+MAX_BITS = 24  # near lines differ by about 11 of the 64 bits of a SimHash; the search doesn't use fingerprints, ``scheme`` covers this radius
+LINE_DDL = "doc_id bigint, rev bigint, line int, h bigint"
+BUCKETS, RANKS, SAMPLE = 32, 1 << 18, 20_000
+ENTRY = np.dtype([("pair", np.uint64), ("h", np.uint64), ("words", np.int32), ("sketch", np.uint8, BUCKETS // 2)])
 
 
 def split_lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +48,7 @@ def split_lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, rev, line, h, fp, words) of each line of at least MIN_WORDS words; rev tells texts of one doc_id apart."""
+    """(doc_id, rev, line, h) of each line of at least MIN_WORDS words; rev tells texts of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,13 +63,11 @@ def line_table(docs: DataFrame) -> DataFrame:
                 if not len(keep):
                     continue
                 whole = line_hashes(h, woff)[keep]
-                once = first_of_line(h, at)
-                fp = K.simhash(h[once], K.bounds(at[once], len(row)), 1)[keep, 0]
                 number = np.arange(len(row)) - np.searchsorted(row, row)
                 ix = pa.array(row[keep] + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(ix), batch.column(1).take(ix), pa.array(number[keep].astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(count[keep].astype(np.int32))],
-                    names=["doc_id", "rev", "line", "h", "fp", "words"],
+                    [batch.column(0).take(ix), batch.column(1).take(ix), pa.array(number[keep].astype(np.int32)), pa.array(whole.view(np.int64))],
+                    names=["doc_id", "rev", "line", "h"],
                 )
 
     text = F.col("text").cast("string")
@@ -105,75 +106,152 @@ def scheme(n: int) -> list[np.ndarray]:
     return [sum((1 << int(edge[i + 1])) - (1 << int(edge[i])) for i in chosen) for chosen in combinations(range(MAX_BITS + m), m)]
 
 
-def hamming_links(fps: DataFrame, n: int) -> DataFrame:
-    """Edges (a, b) that join all fingerprints which chains of pairs within MAX_BITS connect.  ``fps``: one bigint column, distinct."""
-    masks = np.array(scheme(n), np.uint64)
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def most_edits(words: np.ndarray) -> np.ndarray:
+    """The most edits between lines of so many words and any line that is near them."""
+    return (np.floor(words / SIMILARITY + 1e-9) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+
+
+def word_pairs(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line) of the adjacent words of each line."""
+    inside = np.flatnonzero(at[1:] == at[:-1])
+    return K.mix(h[inside] * K.U64(0x9FB21C651E98DF25) + K.mix(h[inside + 1])), at[inside]
+
+
+def sketches(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+    """How many words of each of ``n`` lines fall into each bucket, 15 at most."""
+    many = np.bincount(line * BUCKETS + (h >> K.U64(7)).astype(np.int64) % BUCKETS, minlength=n * BUCKETS)
+    return np.minimum(many, 15).astype(np.uint8).reshape(n, BUCKETS)
+
+
+def may_be_near(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether lines of n and m words with the sketches x and y can be near: an edit moves one word into a bucket and one out of one."""
+    d = x.view(np.int8) - y.view(np.int8)
+    k = (np.maximum(n, m) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    return (np.abs(n - m) <= k) & (np.maximum(d, 0).sum(-1, dtype=np.int32) <= k) & (np.maximum(-d, 0).sum(-1, dtype=np.int32) <= k)
+
+
+def pair_ranks(docs: DataFrame) -> np.ndarray:
+    """How often word pairs of each of RANKS hashes occur in about SAMPLE documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RANKS, np.int64)
+        for batch in batches:
+            data, off = K.buffers(batch.column(0))
+            for lo, hi in K.slices(off):
+                part = data[off[lo] : off[hi]]
+                pair, _ = word_pairs(*K.word_hashes(part, split_lines(part, off[lo : hi + 1] - off[lo])[0]))
+                total += np.bincount((pair % K.U64(RANKS)).astype(np.int64), minlength=RANKS)
+        live = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(total[live])], names=["pair", "n"])
+
+    text = docs.filter("text is not null").select(F.col("text").cast("string"))
+    some = text.sample(min(1.0, SAMPLE / max(1, docs.count())), 7)
+    found = some.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # RANKS rows at most
+    out = np.zeros(RANKS, np.uint32)
+    out[found["pair"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31)
+    return out
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """Edges (a, b) between hashes of lines; chains of them connect all near lines."""
+    often = pair_ranks(docs)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def entries(part: np.ndarray, o: np.ndarray) -> np.ndarray:
+        lines, row = split_lines(part, o)
+        h, at = K.word_hashes(part, lines)
+        woff = K.bounds(at, len(row))
+        count = np.diff(woff)
+        k = most_edits(count)
+        k[count < MIN_WORDS] = 0
+        live = k[at] > 0
+        pair, line = word_pairs(h[live], at[live])
+        order = np.lexsort((pair, often[pair % K.U64(RANKS)], line))
+        pair, line = pair[order], line[order]
+        fresh = np.ones(len(pair), bool)
+        fresh[1:] = (pair[1:] != pair[:-1]) | (line[1:] != line[:-1])
+        pair, line = pair[fresh], line[fresh]
+        take = np.arange(len(line)) - np.searchsorted(line, line) <= 2 * k[line]
+        pair, line = pair[take], line[take]
+        out = np.empty(len(pair), ENTRY)
+        sketch = sketches(h, at, len(row))
+        out["pair"], out["h"], out["words"], out["sketch"] = pair, line_hashes(h, woff)[line], count[line], (sketch[:, ::2] | sketch[:, 1::2] << 4)[line]
+        return out
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def out(held: list) -> Iterator[pa.RecordBatch]:
-            fp = np.concatenate(held)
-            for c, mask in enumerate(masks):
-                part = (K.mix((fp & mask) + K.U64(c)) % K.U64(parts)).astype(np.uint32)
-                order = np.argsort(part, kind="stable")
-                packed, cut = fp[order], np.searchsorted(part[order], np.arange(parts + 1))
-                live = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), pa.array(np.full(len(live), c, np.int32)), pa.array([packed[cut[p] : cut[p + 1]].tobytes() for p in live], pa.binary())], names=["part", "choice", "fps"])
+        def out(held: list) -> pa.RecordBatch:
+            all_ = np.concatenate(held)
+            part = (K.mix(all_["pair"]) % K.U64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            packed, cut = all_[order], np.searchsorted(part[order], np.arange(parts + 1))
+            live = np.flatnonzero(np.diff(cut))
+            return pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), pa.array([packed[cut[p] : cut[p + 1]].tobytes() for p in live], pa.binary())], names=["part", "entries"])
 
         for batch in batches:
-            if len(batch):
-                held.append(batch.column(0).to_numpy().view(np.uint64))
-                size += len(batch)
+            data, off = K.buffers(batch.column(0))
+            for lo, hi in K.slices(off):
+                held.append(entries(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))
+                size += len(held[-1])
                 if size >= 1 << 18:
-                    yield from out(held)
+                    yield out(held)
                     held, size = [], 0
-        if held:
-            yield from out(held)
+        if size:
+            yield out(held)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[tuple[int, int], list] = {}
+        by: dict[int, list] = {}
         for batch in batches:
-            for p, c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                by.setdefault((p, c), []).append(np.frombuffer(x.as_buffer(), np.uint64))
-        for p, c in sorted(by):
-            fp = np.concatenate(by.pop((p, c)))
-            key = fp & masks[c]
-            order = np.lexsort((fp, key))
-            fp, key = fp[order], key[order]
-            a, b = near_in_runs(fp, key)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-    return fps.mapInArrow(spread, "part int, choice int, fps binary").repartition(parts, "part").mapInArrow(meet, "a bigint, b bigint").distinct()
-
-
-def near_in_runs(fp: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges within runs of equal keys: all near pairs of small runs, a walk through the near ones of a large run."""
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(start, len(key)))
+            for p, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                by.setdefault(p, []).append(np.frombuffer(x.as_buffer(), ENTRY))
+        for p in sorted(by):
+            e = np.concatenate(by.pop(p))
+            pair, h = e["pair"].copy(), e["h"].copy()
+            order = np.lexsort((h, pair))
+            same = (pair[order][1:] == pair[order][:-1]) & (h[order][1:] == h[order][:-1])
+            order = order[np.concatenate([[True], ~same])]
+            start = np.flatnonzero(np.concatenate([[True], pair[order][1:] != pair[order][:-1]]))
+            size = np.diff(np.append(start, len(order)))
+            order, start, size = order[np.repeat(size > 1, size)], None, size[size > 1]
+            if len(order):
+                e, start = e[order], np.concatenate([[0], np.cumsum(size)[:-1]])
+                half = e["sketch"]
+                sketch = np.stack([half & 15, half >> 4], 2).reshape(len(e), BUCKETS)
+                a, b = linked(start, size, e["h"].copy(), e["words"].astype(np.int64), sketch)
+                if len(a):
+                    edges = np.unique(np.stack([a, b], 1).view(np.int64), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+
+    text = docs.filter("text is not null").select(F.col("text").cast("string"))
+    return text.mapInArrow(spread, "part int, entries binary").repartition(parts, "part").mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def linked(start: np.ndarray, size: np.ndarray, h: np.ndarray, words: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges within runs: all possible pairs of small runs, a walk through those of a large run."""
     a, b = [], []
-    for m in np.unique(size[(size > 1) & (size <= 64)]):
+    for m in np.unique(size[size <= 64]):
         i, j = np.triu_indices(m, 1)
         first = start[size == m]
-        step = max(1, (1 << 19) // len(i))
+        step = max(1, (1 << 17) // len(i))
         for lo in range(0, len(first), step):
-            block = fp[first[lo : lo + step, None] + np.arange(m)]
-            x, y = np.nonzero(np.bitwise_count(block[:, i] ^ block[:, j]) <= MAX_BITS)
-            a.append(block[x, i[y]])
-            b.append(block[x, j[y]])
+            x, y = ((first[lo : lo + step, None] + z).ravel() for z in (i, j))
+            close = np.abs(words[x] - words[y]) <= np.maximum(words[x], words[y]) * (1 - SIMILARITY) + 1e-9
+            x, y = x[close], y[close]
+            hit = may_be_near(words[x], sketch[x], words[y], sketch[y])
+            a.append(h[x[hit]])
+            b.append(h[y[hit]])
     for s, m in zip(start[size > 64], size[size > 64], strict=True):
-        left = fp[s : s + m]
+        left = np.arange(s, s + m)
         while len(left):
             queue, left = [left[0]], left[1:]
             while queue and len(left):
                 at = queue.pop()
-                near = np.bitwise_count(left ^ at) <= MAX_BITS
+                near = may_be_near(words[at], sketch[at], words[left], sketch[left])
                 if near.any():
                     hit, left = left[near], left[~near]
-                    a.append(np.full(len(hit), at))
-                    b.append(hit)
+                    a.append(np.full(len(hit), h[at]))
+                    b.append(h[hit])
                     queue += list(hit)
     none = np.zeros(0, np.uint64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
@@ -213,16 +291,16 @@ def word_masks(a: list[int]) -> dict[int, int]:
 
 
 def verified(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(h, member_of): the lines of ``lines`` (h, fp, doc_id, rev, line, root) in groups by near pairs within each root; member_of is a group's least h."""
+    """(h, member_of): the lines of ``lines`` (h, doc_id, rev, line, root) in groups by near pairs within each root; member_of is a group's least h."""
     text = F.col("text").cast("string")
-    asked = lines.groupBy("doc_id", "rev").agg(F.sort_array(F.collect_list(F.struct("line", "h", "fp", "root"))).alias("asked"))
+    asked = lines.groupBy("doc_id", "rev").agg(F.sort_array(F.collect_list(F.struct("line", "h", "root"))).alias("asked"))
     asked = Shared(asked)
     given = docs.filter("text is not null").select(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64(text).alias("r"), text.alias("text"))
     found = given.join(sized(asked.df), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("rev"))).select("text", "asked")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            root, h, fp, seq = [], [], [], []
+            root, h, seq = [], [], []
             for t, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 cut = t.split("\n")
                 raw = [cut[r["line"]].encode() for r in rows]
@@ -232,20 +310,21 @@ def verified(lines: DataFrame, docs: DataFrame) -> DataFrame:
                 for i, r in enumerate(rows):
                     root.append(r["root"])
                     h.append(r["h"])
-                    fp.append(r["fp"])
                     seq.append(hashes[woff[i] : woff[i + 1]].astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array(h, pa.int64()), pa.array(fp, pa.int64()), pa.array(seq, pa.binary())], names=["root", "h", "fp", "seq"])
+            yield pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array(h, pa.int64()), pa.array(seq, pa.binary())], names=["root", "h", "seq"])
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, dict[int, tuple[int, bytes]]] = {}
+        by: dict[int, dict[int, bytes]] = {}
         for batch in batches:
-            for root, h, fp, seq in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                by.setdefault(root, {})[h] = fp, seq
+            for root, h, seq in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                by.setdefault(root, {})[h] = seq
         for root in sorted(by):
             members = sorted(by.pop(root).items())
             out_h, out_g = [], []
-            fps = np.array([fp for _, (fp, _) in members], np.int64).view(np.uint64)
-            words = [np.frombuffer(seq, np.uint32).tolist() for _, (_, seq) in members]
+            hashes = [np.frombuffer(seq, np.uint32) for _, seq in members]
+            size = np.array([len(x) for x in hashes])
+            sketch = sketches(np.concatenate(hashes).astype(np.uint64), np.repeat(np.arange(len(size)), size), len(size))
+            words = [x.tolist() for x in hashes]
             left = np.arange(len(members))
             while len(left):
                 queue, name, left = [left[0]], members[left[0]][0], left[1:]
@@ -253,7 +332,7 @@ def verified(lines: DataFrame, docs: DataFrame) -> DataFrame:
                     at = queue.pop()
                     out_h.append(members[at][0])
                     out_g.append(name)
-                    near = left[np.bitwise_count(fps[left] ^ fps[at]) <= MAX_BITS]
+                    near = left[may_be_near(size[at], sketch[at], size[left], sketch[left])]
                     if len(near):
                         masks = word_masks(words[at])
                         hit = [i for i in near if similar(words[at], words[i], masks=masks)]
@@ -261,7 +340,7 @@ def verified(lines: DataFrame, docs: DataFrame) -> DataFrame:
                         left = left[~np.isin(left, hit)]
             yield pa.RecordBatch.from_arrays([pa.array(out_h, pa.int64()), pa.array(out_g, pa.int64())], names=["h", "member_of"])
 
-    return found.mapInArrow(read, "root bigint, h bigint, fp bigint, seq binary").repartition("root").mapInArrow(group, "h bigint, member_of bigint")
+    return found.mapInArrow(read, "root bigint, h bigint, seq binary").repartition("root").mapInArrow(group, "h bigint, member_of bigint")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -271,13 +350,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     doc_id and text are one document.  An empty table gives an empty result; columns other than doc_id and text are not looked at."""
     seen = Shared(line_table(docs))
     first = F.min(F.struct("doc_id", "rev", "line")).alias("first")
-    lines = Shared(seen.df.groupBy("h", "fp").agg(first, F.count("*").alias("times")).select("h", "fp", "first.*", "times"))
-    prints = Shared(lines.df.select("fp").distinct())
-    links = Shared(hamming_links(prints.df, prints.df.count()))
-    root = components(links.df)
-    twins = lines.df.groupBy("fp").count().filter("count > 1").select(F.col("fp").alias("node"))
-    named = root.unionByName(twins.select("node", F.col("node").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
-    tied = Shared(lines.df.join(sized(Shared(named).df), F.col("fp") == F.col("node")).select("h", "fp", "doc_id", "rev", "line", "root", "times"))
+    lines = Shared(seen.df.groupBy("h").agg(first, F.count("*").alias("times")).select("h", "first.*", "times"))
+    root = Shared(components(Shared(links(docs)).df))
+    tied = Shared(lines.df.join(sized(root.df), F.col("h") == F.col("node")).select("h", "doc_id", "rev", "line", "root", "times"))
     groups = Shared(verified(tied.df, docs))
     member = tied.df.join(sized(groups.df), "h").select("h", "member_of", "doc_id", "rev", "line")
     kept = member.groupBy("member_of").agg(F.min(F.struct("doc_id", "rev", "line")).alias("kept"), F.count("*").alias("size")).filter("size > 1")

@@ -280,6 +280,31 @@ def test_line_groups_equal_brute_force(spark):
         assert left.get(i, "") == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in want)
 
 
+def test_all_lines_of_like_words_are_grouped(spark):
+    r = random.Random(12)
+    lines = []
+    for n in [6, 7, 8, 10, 13, 14, 20, 27, 40, 80] * 4:
+        base = prose(r, n).split()
+        lines.append(" ".join(base))
+        for _ in range(3):
+            w = list(base)
+            for _ in range(r.randint(1, max(1, int(0.15 * n)))):
+                at = r.randrange(len(w))
+                w[at : at + 1] = r.choice([[r.choice(WORDS)], [w[at], r.choice(WORDS)], []])
+            lines.append(" ".join(w))
+    lines += ["la " * k + "end" for k in (20, 21, 22)] + ["la " * 9 + "di " + "la " * 11 + "end"]
+    root, pairs = list(range(len(lines))), 0
+    words = [x.split() for x in lines]
+    for i, a in enumerate(words):
+        for j, b in enumerate(words[:i]):
+            if min(len(a), len(b)) >= line_dedup.MIN_WORDS and lev(a, b) <= 0.15 * max(len(a), len(b)) + 1e-9:
+                pairs += 1
+                x, y = sorted((root[i], root[j]))
+                root = [x if v == y else v for v in root]
+    rows = line_dedup.repeats(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()
+    assert pairs > 100 and {x["doc_id"]: x["kept_doc_id"] for x in rows} == {i: v for i, v in enumerate(root) if i != v}
+
+
 @pytest.mark.parametrize("n", [100, 400_000, 10**8])
 def test_every_near_pair_meets_under_some_choice(n):
     r = random.Random(9)
