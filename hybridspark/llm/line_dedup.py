@@ -1,6 +1,7 @@
 """Fuzzy line deduplication: an exact join by word edit similarity, connected groups.
 
-A line is normalised to its lower-cased words; lines of fewer than MIN_WORDS words are left alone.  Two lines are near if the
+A line is normalised to its lower-cased words; of scripts written without spaces each character is a word.  Lines without a
+word are left alone.  Short lines are near only if equal: up to five words, an edit is more than SIMILARITY allows.  Two lines are near if the
 edit similarity of their word sequences, 1 - distance / longer length, is at least SIMILARITY.  Lines that chains of near lines
 connect form a group, of which the first occurrence (by doc_id, then line number) stays.
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import Shared, components, sized
 
-MIN_WORDS, SIMILARITY = 6, 0.85
+MIN_WORDS, SIMILARITY = 1, 0.85
 MAX_BITS = 24  # near lines differ by about 11 of the 64 bits of a SimHash; the search doesn't use fingerprints, ``scheme`` covers this radius
 LINE_DDL = "doc_id bigint, rev bigint, line int, h bigint"
 BUCKETS, RANKS, SAMPLE = 32, 1 << 18, 20_000
@@ -47,8 +48,27 @@ def split_lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.append(cuts, off[-1]), row
 
 
+#: First and last two leading bytes of characters of scripts without spaces: Thai and Lao, Burmese, Khmer, kana and Chinese characters.
+UNSPACED = (0xE0B8, 0xE0BB), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE381, 0xE9BF), (0xEFA4, 0xEFAB), (0xF0A0, 0xF0B2)
+
+
+def line_words(data: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line) of each lower-cased word, and of each character of a script without spaces."""
+    start, end, row = K.words(data, lines)
+    lead = np.flatnonzero(data[:-1] >= 0xE0)
+    if len(lead):
+        code = data[lead].astype(np.int32) << 8 | data[lead + 1]
+        at = lead[np.any([(code >= lo) & (code <= hi) for lo, hi in UNSPACED], axis=0)]
+        cut = np.unique(np.concatenate([at, at + 3 + (data[at] >= 0xF0)]))
+        word = np.searchsorted(start, cut, "right") - 1
+        cut = cut[(word >= 0) & (cut > start[word]) & (cut < end[word])]
+        start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
+        row = np.searchsorted(lines, start, "right") - 1
+    return K.span_hashes(K.lower(data), start, end), row
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, rev, line, h) of each line of at least MIN_WORDS words; rev tells texts of one doc_id apart."""
+    """(doc_id, rev, line, h) of each line that has words; rev tells texts of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,7 +76,7 @@ def line_table(docs: DataFrame) -> DataFrame:
             for lo, hi in K.slices(off):
                 part, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 lines, row = split_lines(part, o)
-                h, at = K.word_hashes(part, lines)
+                h, at = line_words(part, lines)
                 woff = K.bounds(at, len(row))
                 count = np.diff(woff)
                 keep = np.flatnonzero(count >= MIN_WORDS)
@@ -139,7 +159,7 @@ def pair_ranks(docs: DataFrame) -> np.ndarray:
             data, off = K.buffers(batch.column(0))
             for lo, hi in K.slices(off):
                 part = data[off[lo] : off[hi]]
-                pair, _ = word_pairs(*K.word_hashes(part, split_lines(part, off[lo : hi + 1] - off[lo])[0]))
+                pair, _ = word_pairs(*line_words(part, split_lines(part, off[lo : hi + 1] - off[lo])[0]))
                 total += np.bincount((pair % K.U64(RANKS)).astype(np.int64), minlength=RANKS)
         live = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(total[live])], names=["pair", "n"])
@@ -159,7 +179,7 @@ def links(docs: DataFrame) -> DataFrame:
 
     def entries(part: np.ndarray, o: np.ndarray) -> np.ndarray:
         lines, row = split_lines(part, o)
-        h, at = K.word_hashes(part, lines)
+        h, at = line_words(part, lines)
         woff = K.bounds(at, len(row))
         count = np.diff(woff)
         k = most_edits(count)
@@ -290,6 +310,44 @@ def word_masks(a: list[int]) -> dict[int, int]:
     return masks
 
 
+def near_groups(lines: list[np.ndarray]) -> list[int]:
+    """For each of some word sequences, the first of those that chains of near ones connect with it.
+
+    Only lines that share one of their first pairs, the rarest of these lines first, are compared."""
+    size = np.array([len(x) for x in lines])
+    flat, line = np.concatenate(lines).astype(np.uint64), np.repeat(np.arange(len(size)), size)
+    sketch = sketches(flat, line, len(size))
+    pair, line = word_pairs(flat, line)
+    _, pair, often = np.unique(pair, return_inverse=True, return_counts=True)
+    order = np.lexsort((pair, often[pair], line))
+    pair, line = pair[order], line[order]
+    fresh = np.ones(len(pair), bool)
+    fresh[1:] = (pair[1:] != pair[:-1]) | (line[1:] != line[:-1])
+    pair, line = pair[fresh], line[fresh]
+    take = np.arange(len(line)) - np.searchsorted(line, line) <= 2 * most_edits(size)[line]
+    pair, line = pair[take], line[take]
+    own = np.searchsorted(line, np.arange(len(size) + 1))
+    order = np.argsort(pair, kind="stable")
+    holders, lists = line[order], np.searchsorted(pair[order], np.arange(len(often) + 1))
+    words, left, out = [x.tolist() for x in lines], np.ones(len(size), bool), [0] * len(size)
+    for i in range(len(size)):
+        if not left[i]:
+            continue
+        queue, left[i] = [i], False
+        while queue:
+            at = queue.pop()
+            out[at] = i
+            near = np.concatenate([np.zeros(0, np.int64), *(holders[lists[p] : lists[p + 1]] for p in pair[own[at] : own[at + 1]])])
+            near = np.unique(near[left[near]])
+            near = near[may_be_near(size[at], sketch[at], size[near], sketch[near])]
+            if len(near):
+                masks = word_masks(words[at])
+                hit = [j for j in near.tolist() if similar(words[at], words[j], masks=masks)]
+                queue += hit
+                left[hit] = False
+    return out
+
+
 def verified(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(h, member_of): the lines of ``lines`` (h, doc_id, rev, line, root) in groups by near pairs within each root; member_of is a group's least h."""
     text = F.col("text").cast("string")
@@ -305,7 +363,7 @@ def verified(lines: DataFrame, docs: DataFrame) -> DataFrame:
                 cut = t.split("\n")
                 raw = [cut[r["line"]].encode() for r in rows]
                 off = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-                hashes, at = K.word_hashes(np.frombuffer(b"".join(raw), np.uint8), off)
+                hashes, at = line_words(np.frombuffer(b"".join(raw), np.uint8), off)
                 woff = K.bounds(at, len(raw))
                 for i, r in enumerate(rows):
                     root.append(r["root"])
@@ -320,24 +378,8 @@ def verified(lines: DataFrame, docs: DataFrame) -> DataFrame:
                 by.setdefault(root, {})[h] = seq
         for root in sorted(by):
             members = sorted(by.pop(root).items())
-            out_h, out_g = [], []
-            hashes = [np.frombuffer(seq, np.uint32) for _, seq in members]
-            size = np.array([len(x) for x in hashes])
-            sketch = sketches(np.concatenate(hashes).astype(np.uint64), np.repeat(np.arange(len(size)), size), len(size))
-            words = [x.tolist() for x in hashes]
-            left = np.arange(len(members))
-            while len(left):
-                queue, name, left = [left[0]], members[left[0]][0], left[1:]
-                while queue:
-                    at = queue.pop()
-                    out_h.append(members[at][0])
-                    out_g.append(name)
-                    near = left[may_be_near(size[at], sketch[at], size[left], sketch[left])]
-                    if len(near):
-                        masks = word_masks(words[at])
-                        hit = [i for i in near if similar(words[at], words[i], masks=masks)]
-                        queue += hit
-                        left = left[~np.isin(left, hit)]
+            first = near_groups([np.frombuffer(seq, np.uint32) for _, seq in members])
+            out_h, out_g = [h for h, _ in members], [members[i][0] for i in first]
             yield pa.RecordBatch.from_arrays([pa.array(out_h, pa.int64()), pa.array(out_g, pa.int64())], names=["h", "member_of"])
 
     return found.mapInArrow(read, "root bigint, h bigint, seq binary").repartition("root").mapInArrow(group, "h bigint, member_of bigint")

@@ -305,6 +305,13 @@ def test_all_lines_of_like_words_are_grouped(spark):
     assert pairs > 100 and {x["doc_id"]: x["kept_doc_id"] for x in rows} == {i: v for i, v in enumerate(root) if i != v}
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    han = "我们今天在城里看见了很多新的书和旧的画并且买了一些"
+    docs = [(1, f"Read more\n{han}\n---\nx\nสวัสดีครับท่านผู้อ่าน"), (2, f"read  MORE\n{han.replace('新', '好')}\n---\ny\nx"), (3, "สวัสดีครับท่านผู้อ่าน\nread on\n我们走"), (4, "我们走\n他们走")]
+    rows = line_dedup.repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {(x["doc_id"], x["line"]): (x["kept_doc_id"], x["kept_line"]) for x in rows} == {(2, 0): (1, 0), (2, 1): (1, 1), (2, 4): (1, 3), (3, 0): (1, 4), (4, 0): (3, 2)}
+
+
 @pytest.mark.parametrize("n", [100, 400_000, 10**8])
 def test_every_near_pair_meets_under_some_choice(n):
     r = random.Random(9)
