@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _MUL = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MUL, -1, 1 << 64)
 _pow_cache: dict[int, np.ndarray] = {}
@@ -63,13 +63,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers, SLICE_BYTES + 1 at most."""
     have = _pow_cache.get(base)
-    if have is None or len(have) < n:
-        a = np.full(max(n, SLICE_BYTES + 1024), base, U64)
+    if have is None:
+        a = np.full(SLICE_BYTES + 1, base, U64)
         a[0] = 1
-        have = np.multiply.accumulate(a)
-        if len(have) <= 4 * SLICE_BYTES:
-            _pow_cache[base] = have
+        have = _pow_cache[base] = np.multiply.accumulate(a)
     return have[:n]
 
 
@@ -84,14 +83,30 @@ def lower(data: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, by prefix sums of a polynomial."""
-    n = len(data)
-    if n == 0 or len(starts) == 0:
-        return np.zeros(len(starts), U64)
-    acc = np.zeros(n + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * powers(_MUL, n), out=acc[1:])
-    h = (acc[ends] - acc[starts]) * powers(_INV, n)[np.minimum(starts, n - 1)]
-    return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each span of bytes, by prefix sums of a polynomial; spans in the order of their starts and ends.
+
+    Spans are taken in blocks of at most SLICE_BYTES, so that memory beside the result is bounded; a longer span is summed in pieces."""
+    out = np.zeros(len(starts), U64)
+    lo = 0
+    while lo < len(starts):
+        base = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+        last = int(ends[hi - 1])
+        if last - base <= SLICE_BYTES:
+            n = last - base
+            acc = np.zeros(n + 1, U64)
+            np.cumsum((data[base:last].astype(U64) + U64(1)) * powers(_MUL, n), out=acc[1:])
+            s = starts[lo:hi] - base
+            out[lo:hi] = (acc[ends[lo:hi] - base] - acc[s]) * powers(_INV, SLICE_BYTES + 1)[s]
+        else:
+            total, far = 0, 1
+            for at in range(base, last, SLICE_BYTES):
+                piece = data[at : min(at + SLICE_BYTES, last)]
+                total = total + far * int(((piece.astype(U64) + U64(1)) * powers(_MUL, len(piece))).sum(dtype=U64)) & (1 << 64) - 1
+                far = far * pow(_MUL, SLICE_BYTES, 1 << 64) & (1 << 64) - 1
+            out[lo] = total
+        lo = hi
+    return mix(out + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import arrow
 from .line_dedup import split_lines
 
 CONTAINMENT = 0.8
@@ -82,7 +83,7 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(vocabulary))), pa.array(total)], names=["token", "n"])
 
     out = np.zeros(len(vocabulary), np.int64)
-    for r in docs.select(F.col("text").cast("string")).mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():  # as many rows as the templates have tokens
+    for r in arrow(docs.select(F.col("text").cast("string")), run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():  # as many rows as the templates have tokens
         out[r["token"]] = r["n"]
     return out
 
@@ -143,7 +144,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, con
                     names=["doc_id", "line", "license", "template", "shared", "containment"],
                 )
 
-    return docs.filter("text is not null").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return arrow(docs.filter("text is not null").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), run, SCHEMA)
 
 
 def oracle(templates: dict[str, tuple[str, ...]] = TEMPLATES, containment: float = CONTAINMENT) -> str:

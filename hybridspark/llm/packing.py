@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared
+from .common import Shared, arrow
 
 #: Tokens of a bin; fill from which a bin is emitted at once; partitions merged into one by a round.
 CAPACITY, FULL, FAN = 2048, 0.98, 16
@@ -92,13 +92,13 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, full: float = FULL, fan: i
 
         return run
 
-    level, table = 0, Shared(cut.mapInArrow(first, PACKED_DDL))
+    level, table = 0, Shared(arrow(cut, first, PACKED_DDL))
     out = table.df.filter("done")
     parts = max(1, cut.rdd.getNumPartitions())
     while True:
         level, parts = level + 1, -(-parts // fan)
         rest = table.df.filter("not done").repartition(parts, "bin")
-        table = Shared(rest.mapInArrow(merge(parts == 1, level), PACKED_DDL))
+        table = Shared(arrow(rest, merge(parts == 1, level), PACKED_DDL))
         out = out.unionByName(table.df.filter("done"))
         if parts == 1:
             break

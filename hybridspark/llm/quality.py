@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import arrow
 
 SAMPLE, SLOTS, KEEP, EPOCHS, SEED = 6_000, 1 << 16, 0.5, 12, 1
 LABELLERS = ("symbols", "capitals", "shouting", "odd gaps", "function words", "repeated pairs", "variety", "sentences", "prose")
@@ -191,7 +192,7 @@ def scored(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         live = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(total[live])], names=["pattern", "n"])
 
-    seen = narrow.select("text").mapInArrow(pattern, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    seen = arrow(narrow.select("text"), pattern, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     if not seen:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     known, times = np.array([r["pattern"] for r in seen]), np.array([r["n"] for r in seen])
@@ -214,7 +215,7 @@ def scored(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     part = min(1.0, sample / max(int(times.sum()), 1))
     drawn = narrow.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000_007)) < F.lit(int(part * 1_000_000_007) + 1)).select("text")
-    rows = drawn.repartition(1).sortWithinPartitions(F.xxhash64("text")).mapInArrow(fit, "w binary").collect()
+    rows = arrow(drawn.repartition(1).sortWithinPartitions(F.xxhash64("text")), fit, "w binary").collect()
     weights = np.frombuffer(rows[0]["w"]) if rows else np.zeros(SLOTS + 1)
     letters = np.array(["b", "g", "-"])
 
@@ -227,4 +228,4 @@ def scored(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 names = ["".join(x) for x in letters[digits_of(p)]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(names), pa.array(np.where(np.diff(o) > 0, posterior[p], 0.0)), pa.array(q), pa.array(q >= KEEP)], names=["doc_id", "votes", "posterior", "score", "keep"])
 
-    return narrow.mapInArrow(run, SCHEMA)
+    return arrow(narrow, run, SCHEMA)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import arrow
 
 MIN_RUN, MIN_VALUE, BEFORE, WIDTH, AFTER, RECALL, SEED = 16, 8, 32, 64, 16, 0.98, 8
 TRAIN, HELD, EPOCHS, EMBED, FILTERS, SPAN = 6_000, 2_000, 6, 10, 32, 5
@@ -275,4 +276,4 @@ def scanned(docs: DataFrame, net: Network | None = None) -> DataFrame:
                     names=["doc_id", "start", "length", "score", "secret"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return arrow(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), run, SCHEMA)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow
+
 MIN_WEIGHT, MIN_RATE = 2.0, 2.0
 #: Labelled documents that the learnt part looks at, at most; least left neighbours and over-representation of a term; its size.
 SAMPLE, SUPPORT, RATIO, LEARNT = 10_000, 5, 12.0, 5_000
@@ -121,7 +123,7 @@ def scored(docs: DataFrame, terms: dict[str, float]) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "words", "hits", "weight", "rate", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return arrow(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), run, SCHEMA)
 
 
 def clean(docs: DataFrame, terms: dict[str, float]) -> DataFrame:
@@ -134,4 +136,4 @@ def clean(docs: DataFrame, terms: dict[str, float]) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([not score(x.as_py(), made)[4] for x in batch.column(at)], pa.bool_()))
 
-    return named.mapInArrow(run, named.schema).toDF(*docs.columns)
+    return arrow(named, run, named.schema).toDF(*docs.columns)
