@@ -9,9 +9,12 @@ one feature, the whole text.
 Two digests are compared filter by filter: bits in common, less those that chance gives, over the most that are
 possible; a digest's score is the mean over the filters of the shorter digest of each one's best match, 0 to 100.
 
-Search: every document's selected features are grouped by hash; each holder of a feature is compared with the least
-doc_id that holds it.  So the work grows with the features, however many documents share one, and documents with a
-common feature meet through its first holder.
+Search: a document matches another if they share at least OVERLAP of the features of the one with fewer, and their
+digests score at least SCORE.  Documents of equal features form a class, of which one takes part.  Features are put in one
+global order, those of rare hash slots first (slots are counted over the whole corpus); by the prefix filter, two
+documents that match share one of the first n - ceil(OVERLAP n) + 1 of the n features of the one with fewer.  So a
+feature that many documents hold is met only by the few that hold hardly anything else, and no match is lost.  The
+holders of a feature in a frequent slot are split over several tasks, of which each gets those that search or are in a prefix.
 """
 
 from __future__ import annotations
@@ -20,13 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Shared
+from .common import Shared, arrow, parallel, sized
 
-WINDOW, VOTES, BITS, PER_FILTER, HASHES, LEVELS, SCORE = 64, 16, 2048, 160, 5, 1024, 30
+WINDOW, VOTES, BITS, PER_FILTER, HASHES, LEVELS, SCORE, OVERLAP = 64, 16, 2048, 160, 5, 1024, 30, 0.3
+#: Slots in which features are counted for the global order; holders of a feature that one task takes.
+SLOTS, HOLDERS = 1 << 16, 100_000
+#: Which documents search: those whose doc_id this divides.
+EVERY = 20
 _F = np.array([0.0, *(c * np.log2(c) for c in range(1, WINDOW + 1))])
 _STEP = np.diff(_F, prepend=0.0).astype(np.float32)  # what the c-th equal byte of a window adds
 DIGEST_DDL = "doc_id bigint, n_bytes bigint, features array<bigint>, digest array<binary>, counts array<int>"
@@ -80,7 +88,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS)), pa.array(total)], names=["level", "n"])
 
     n = np.zeros(LEVELS, np.int64)
-    for r in docs.select(F.col("text").cast("string")).mapInArrow(run, "level bigint, n bigint").groupBy("level").agg(F.sum("n").alias("n")).collect():  # LEVELS rows
+    for r in arrow(docs.select(F.col("text").cast("string")), run, "level bigint, n bigint").groupBy("level").agg(F.sum("n").alias("n")).collect():  # LEVELS rows
         n[r["level"]] = r["n"]
     rank = np.empty(LEVELS, np.int64)
     rank[np.lexsort((-np.arange(LEVELS), n))] = np.arange(LEVELS)
@@ -147,7 +155,7 @@ def digests(docs: DataFrame, rank: np.ndarray) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in feats])]).astype(np.int32)), pa.array(np.concatenate(feats)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(o)), flat, pa.array(made, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "n_bytes", "features", "digest", "counts"])
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, DIGEST_DDL)
+    return arrow(docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), run, DIGEST_DDL)
 
 
 def compare(a: list[bytes], na: list[int], b: list[bytes], nb: list[int]) -> int:
@@ -163,41 +171,188 @@ def compare(a: list[bytes], na: list[int], b: list[bytes], nb: list[int]) -> int
     return int(round(100 * float(score.max(1).mean())))
 
 
-def matches(docs: DataFrame, least: int = SCORE) -> DataFrame:
-    """(doc_id, n_bytes, features, filters, match_id, score): every document with the size of its digest and its best match among
-    the first holders of its features (of equal scores the least doc_id); null and 0 where none scores at least ``least``.
+def compare_all(a: pa.Array, na: pa.Array, b: pa.Array, nb: pa.Array) -> np.ndarray:
+    """``compare`` of two columns of digests; those of one filter, nearly all, at once."""
+    out = np.zeros(len(a), np.int32)
+    single = (pa.compute.list_value_length(a).to_numpy(zero_copy_only=False) == 1) & (pa.compute.list_value_length(b).to_numpy(zero_copy_only=False) == 1)
+    at = np.flatnonzero(single)
+    if len(at):
+        ix = pa.array(at)
+        x, y = (np.frombuffer(b"".join(v.as_py() for v in c.take(ix).flatten()), np.uint8).reshape(-1, BITS // 8).view(np.uint64) for c in (a, b))
+        cx, cy = (c.take(ix).flatten().to_numpy() for c in (na, nb))
+        common, ones_x, ones_y = (np.bitwise_count(v).sum(1).astype(np.float32) for v in (x & y, x, y))
+        chance, most = ones_x * ones_y / BITS, np.minimum(ones_x, ones_y)
+        score = np.where(most > chance, np.maximum(common - chance, 0) / np.maximum(most - chance, 1e-9), 0)
+        score = np.rint(100 * score.astype(np.float64))
+        out[at] = np.where((cx == 0) | (cy == 0), np.where(cx == cy, 100, 0), score)
+    for i in np.flatnonzero(~single):
+        out[i] = compare(a[i].as_py(), na[i].as_py(), b[i].as_py(), nb[i].as_py())
+    return out
+
+
+def slot_counts(made: DataFrame) -> np.ndarray:
+    """How many features of all documents fall into each of SLOTS slots."""
 
-    Rows that repeat a doc_id count as one document, that with the longest text; rows with a null doc_id are left out.  A
-    null or empty text has no features and no match.  An empty table gives an empty result."""
-    made = Shared(digests(docs, rarity(docs)))
-    twice = made.df.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    one = made.df if not twice else Shared(made.df.groupBy("doc_id").agg(F.max_by(F.struct("n_bytes", "features", "digest", "counts"), F.struct("n_bytes", "features")).alias("x")).select("doc_id", "x.*")).df
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            h = batch.column(0).flatten().to_numpy().view(np.uint64)
+            total += np.bincount((h % K.U64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        live = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(total[live])], names=["slot", "n"])
+
+    found = arrow(made.select("features"), run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    out = np.zeros(SLOTS, np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def prefix_size(n: np.ndarray, overlap: float = OVERLAP) -> np.ndarray:
+    return n - np.maximum(1, np.ceil(overlap * n - 1e-9)).astype(np.int64) + 1
+
+
+PREFIX, QUERY, HOME = 1, 2, 4
+ENTRY = np.dtype([("f", np.uint64), ("id", np.int64), ("n", np.int32), ("kind", np.uint8)])
+
+
+def pairs(classes: DataFrame, often: np.ndarray, n_features: int, holders: int = HOLDERS) -> DataFrame:
+    """(a, b): for each class that searches (``asks``) each other one with which it shares a feature in the prefix of the one with fewer features."""
+    spark = classes.sparkSession
+    parts = parallel(spark, n_features * ENTRY.itemsize)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, len(whole), 2048):
+                batch = whole.slice(lo, 2048)
+                size = pa.compute.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+                f = batch.column(1).flatten().to_numpy().view(np.uint64)
+                row = np.repeat(np.arange(len(batch)), size)
+                slot = (f % K.U64(SLOTS)).astype(np.int64)
+                order = np.lexsort((f, often[slot], row))
+                f, row, slot = f[order], row[order], slot[order]
+                place = np.arange(len(f)) - np.repeat(np.cumsum(size) - size, size)
+                asks = batch.column(2).to_numpy(zero_copy_only=False)
+                kind = np.where(place < prefix_size(size)[row], PREFIX, 0) | np.where(asks[row], QUERY, 0)
+                ids = batch.column(0).to_numpy()[row]
+                salts = 1 + often[slot] // holders
+                home = (K.mix(ids.view(np.uint64)) % salts.astype(np.uint64)).astype(np.int64)
+                many = np.where(kind > 0, salts, 1)  # those that search or are in a prefix go to every part of a split feature
+                which = np.repeat(np.arange(len(f)), many)
+                salt = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+                salt = np.where(kind[which] > 0, salt, home[which])
+                out = np.empty(len(which), ENTRY)
+                out["f"], out["id"], out["n"] = f[which], ids[which], size[row[which]]
+                out["kind"] = kind[which] | np.where(salt == home[which], HOME, 0)
+                part = (K.mix(f[which] + salt.astype(np.uint64) * K.U64(0x9E3779B97F4A7C15)) % K.U64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                packed, cut = out[order], np.searchsorted(part[order], np.arange(parts + 1))
+                live = np.flatnonzero(np.diff(cut))
+                yield pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), pa.array([packed[cut[p] : cut[p + 1]].tobytes() for p in live], pa.binary())], names=["part", "entries"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        by: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            h.append(batch.column(0).to_numpy())
-            d.append(batch.column(1).to_numpy())
-        h, d = np.concatenate(h), np.concatenate(d)
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        if len(h):
-            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            first = np.repeat(d[start], np.diff(np.append(start, len(h))))
-            pair = np.unique(np.stack([d, first], 1)[d != first], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
-
-    pairs = Shared(one.select(F.explode("features").alias("f"), "doc_id").repartition("f").mapInArrow(meet, "a bigint, b bigint").distinct())
+            for p, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                by.setdefault(p, []).append(np.frombuffer(x.as_buffer(), ENTRY))
+        for p in sorted(by):
+            e = np.concatenate(by.pop(p))
+            f, asks = e["f"].copy(), (e["kind"] & QUERY) > 0
+            e = e[np.isin(f, np.unique(f[asks]))]
+            order = np.lexsort((e["n"], e["f"]))
+            e = e[order]
+            f, ids, n, kind = (e[c].copy() for c in ("f", "id", "n", "kind"))
+            if not len(e):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(f))))
+            end = np.append(start[1:], len(f))
+            # within a feature entries are in the order of size: one that searches meets the larger ones if it is in its prefix, the smaller ones of which it is in theirs
+            q = np.flatnonzero(kind & QUERY)
+            held_a, held_b, size = [], [], 0
+            same = np.searchsorted(group.astype(np.int64) * (1 << 32) + n, group[q].astype(np.int64) * (1 << 32) + n[q])  # the first of the query's size
+            upto = np.searchsorted(group.astype(np.int64) * (1 << 32) + n, group[q].astype(np.int64) * (1 << 32) + n[q], "right")
+            prefixed = np.flatnonzero(kind & PREFIX)
+            for lo, hi, source in ((np.where(kind[q] & PREFIX, same, end[group[q]]), end[group[q]], None), (np.searchsorted(prefixed, start[group[q]]), np.searchsorted(prefixed, upto), prefixed)):
+                many = hi - lo
+                for c in _chunks(many, 1 << 20):
+                    m = many[c]
+                    left = np.repeat(q[c], m)
+                    right = np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[c], m)
+                    right = right if source is None else source[right]
+                    # two entries that are in all parts of a split feature meet in the home of the one that searches
+                    ok = (ids[left] != ids[right]) & ((kind[right] & (PREFIX | QUERY) == 0) | (kind[left] & HOME > 0))
+                    held_a.append(ids[left[ok]])
+                    held_b.append(ids[right[ok]])
+                    size += int(ok.sum())
+                    if size > 1 << 20:
+                        yield _distinct(held_a, held_b)
+                        held_a, held_b, size = [], [], 0
+            if size:
+                yield _distinct(held_a, held_b)
+
+    spreaded = arrow(classes.select("id", "features", "asks").filter(F.size("features") > 0), spread, "part int, entries binary")
+    return arrow(spreaded.repartition(parts, "part"), meet, "a bigint, b bigint").distinct()
+
+
+def _chunks(many: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of ``many`` that add up to about ``most``, one element at least."""
+    total, lo = np.cumsum(many), 0
+    while lo < len(many):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
+def _distinct(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
+
+def matches(docs: DataFrame, every: int = EVERY, least: int = SCORE) -> DataFrame:
+    """(doc_id, n_bytes, features, filters, match_id, score): every document whose doc_id ``every`` divides, with the size of its digest
+    and its best match among all other documents (of equal scores the least doc_id); null and 0 where nothing matches.
+
+    Rows that repeat a doc_id count as one document, that with the longest text (of equally long ones that with the greatest features);
+    rows with a null doc_id are left out.  A null or empty text has no features and no match.  A text of any length is read in blocks.
+    An empty table gives an empty result; columns other than doc_id and text are not looked at, so their names can't clash."""
+    made = Shared(digests(docs, rarity(docs)))
+    twice = made.df.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    one = made
+    if twice:
+        one = Shared(made.df.groupBy("doc_id").agg(F.max_by(F.struct("n_bytes", "features", "digest", "counts"), F.struct("n_bytes", "features")).alias("x")).select("doc_id", "x.*"))
+        made.drop()
+    asks = F.pmod(F.col("doc_id"), F.lit(every)) == 0
+    # a class is named by the least of its documents; the sets of features are only hashed to find it
+    slim = one.df.filter(F.size("features") > 0).select("doc_id", F.xxhash64("features", F.size("digest")).alias("set"), asks.alias("asks"))
+    first = slim.groupBy("set").agg(F.min("doc_id").alias("id"), F.max("asks").alias("asks"), F.count("*").alias("size"))
+    first = Shared(first)
+    second = slim.join(sized(first.df.filter("size > 1").select("set", "id")), "set").filter("doc_id <> id").groupBy("set").agg(F.min("doc_id").alias("other"))
+    second = Shared(second)
+    taking = one.df.filter(F.size("features") > 0).join(sized(first.df.select(F.col("id").alias("doc_id"), "asks")), "doc_id")
+    classes = Shared(taking.select(F.col("doc_id").alias("id"), "features", "digest", "counts", "asks"))
+    often = slot_counts(classes.df)
+    near = Shared(pairs(classes.df, often, int(often.sum())))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(2, 6)]
-            score = [compare(*x) for x in zip(*cols, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.int32())], names=["a", "b", "score"])
-
-    slim = one.select("doc_id", "digest", "counts")
-    both = pairs.df.join(slim.toDF("a", "da", "na"), "a").join(slim.toDF("b", "db", "nb"), "b").select("a", "b", "da", "na", "db", "nb")
-    scored = both.mapInArrow(rate, "a bigint, b bigint, score int").filter(F.col("score") >= least)
-    best = scored.groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("m"))).alias("x")).select(F.col("a").alias("doc_id"), (-F.col("x.m")).alias("match_id"), F.col("x.score").alias("score"))
-    whole = one.select("doc_id", "n_bytes", F.size("features").alias("features"), F.size("digest").alias("filters"))
-    return whole.join(best, "doc_id", "left").select("doc_id", "n_bytes", "features", "filters", "match_id", F.coalesce("score", F.lit(0)).alias("score"))
+            score = compare_all(*(batch.column(i) for i in range(2, 6)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["a", "b", "score"])
+
+    slim_digest = classes.df.select("id", "digest", "counts")
+    both = near.df.join(slim_digest.toDF("b", "db", "nb"), "b").join(slim_digest.join(classes.df.filter("asks").select("id"), "id", "left_semi").toDF("a", "da", "na"), "a")
+    high = Shared(arrow(both.select("a", "b", "da", "na", "db", "nb"), rate, "a bigint, b bigint, score int").filter(F.col("score") >= least))
+    held = classes.df.select("id", "features")
+    full = high.df.join(held.toDF("b", "fb"), "b").join(held.toDF("a", "fa"), "a")
+    shared, fewer = F.size(F.array_intersect("fa", "fb")), F.least(F.size("fa"), F.size("fb"))
+    held_good = full.filter(shared >= F.greatest(F.ceil(F.lit(OVERLAP) * fewer - 1e-9), F.lit(1))).select("a", "b", "score")
+    best = held_good.groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("m"))).alias("x"))
+    best = Shared(best.select(F.col("a").alias("id"), (-F.col("x.m")).alias("b"), F.col("x.score").alias("score")))
+    whole = one.df.filter(asks).select("doc_id", "n_bytes", F.xxhash64("features", F.size("digest")).alias("set"), F.size("features").alias("features"), F.size("digest").alias("filters"))
+    known = whole.join(first.df.select("set", "id"), "set", "left").join(second.df, "set", "left").join(best.df, "id", "left")
+    live = F.col("features") > 0
+    twin = F.when(live, F.when(F.col("doc_id") != F.col("id"), F.col("id")).otherwise(F.col("other")))
+    found = F.when(twin.isNull(), F.col("b")).when((F.col("score") == 100) & (F.col("b") < twin), F.col("b")).otherwise(twin)
+    out = known.select("doc_id", "n_bytes", "features", "filters", F.when(live, found).alias("match_id"), F.when(live & twin.isNotNull(), F.lit(100)).when(live, F.coalesce("score", F.lit(0))).otherwise(F.lit(0)).alias("score"))
+    for done in (classes, near, high):
+        done.drop()
+    return out
