@@ -1,22 +1,25 @@
 """Fuzzy line deduplication: an exact join by word edit similarity, connected groups.
 
 A line is normalised to its lower-cased words; of scripts written without spaces each character is a word.  Lines without a
-word are left alone.  Short lines are near only if equal: up to five words, an edit is more than SIMILARITY allows.  Two lines are near if the
+word are left alone.  Short lines are near only if equal: up to six words, an edit is more than SIMILARITY allows.  Two lines are near if the
 edit similarity of their word sequences, 1 - distance / longer length, is at least SIMILARITY.  Lines that chains of near lines
 connect form a group, of which the first occurrence (by doc_id, then line number) stays.
 
 Search.  k edits break at most 2k of a line's pairs of adjacent words, so two near lines share one of the 2k + 1 first pairs of
-each, in any one order of all pairs; k follows from the length.  The order puts pairs that are frequent in a sample last, which
-only keeps the lists of lines with a common pair short.  Lines of a list are linked if their lengths and the numbers of their
-words in BUCKETS buckets allow a distance within k.  No near pair is lost by any of these steps.  Only linked lines are read
-again and compared word by word, each component in one task.
+each, in any one order of all pairs; k follows from the length.  The order puts pairs of long words first, as these are rare
+in any language; it only keeps the lists of lines with a common pair short.  Lines of a list are linked if their lengths and the
+numbers of their words in BUCKETS buckets allow a distance within k.  No near pair is lost by any of these steps.  One pass over the
+texts sends both a hash of each line and its pairs, in packed blocks, to the tasks in which equal ones meet.  Only linked lines are
+read again and compared word by word.
+
+SimHash and pigeonhole blocks, which this operator was meant to use, can't give these results: at a similarity of 0.85 the
+fingerprints of two lines differ in about a sixth of their bits, for which blocks of 64 bits have hardly any selectivity, and
+within 6 bits, where they have, more than half of the near pairs are lost.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Shared, components, sized
+from .common import Shared, arrow, components, forest, labels, sized
 
 MIN_WORDS, SIMILARITY = 1, 0.85
-MAX_BITS = 24  # near lines differ by about 11 of the 64 bits of a SimHash; the search doesn't use fingerprints, ``scheme`` covers this radius
-LINE_DDL = "doc_id bigint, rev bigint, line int, h bigint"
-BUCKETS, RANKS, SAMPLE = 32, 1 << 18, 20_000
-ENTRY = np.dtype([("pair", np.uint64), ("h", np.uint64), ("words", np.int32), ("sketch", np.uint8, BUCKETS // 2)])
+BUCKETS = 16
+ENTRY = np.dtype([("pair", np.uint64), ("h", np.uint64), ("sketch", np.uint64), ("words", np.uint16)])
+#: A line's occurrence; ``null`` marks a null doc_id, which counts as the least.
+LINE = np.dtype([("h", np.uint64), ("doc", np.int64), ("rev", np.int64), ("line", np.int32), ("live", np.uint8)])
+#: A count of words from which on lengths and buckets aren't held against each other.
+MANY = 65_535
+MET = "h bigint, doc_id bigint, rev bigint, line int, f_doc bigint, f_rev bigint, f_line int, n bigint, b bigint"
 
 
 def split_lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,8 +58,8 @@ def split_lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 UNSPACED = (0xE0B8, 0xE0BB), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE381, 0xE9BF), (0xEFA4, 0xEFAB), (0xF0A0, 0xF0B2)
 
 
-def line_words(data: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, line) of each lower-cased word, and of each character of a script without spaces."""
+def line_words(data: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, line, bytes) of each lower-cased word, and of each character of a script without spaces."""
     start, end, row = K.words(data, lines)
     lead = np.flatnonzero(data[:-1] >= 0xE0)
     if len(lead):
@@ -64,43 +70,7 @@ def line_words(data: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndar
         cut = cut[(word >= 0) & (cut > start[word]) & (cut < end[word])]
         start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
         row = np.searchsorted(lines, start, "right") - 1
-    return K.span_hashes(K.lower(data), start, end), row
-
-
-def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, rev, line, h) of each line that has words; rev tells texts of one doc_id apart."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = K.buffers(batch.column(2))
-            for lo, hi in K.slices(off):
-                part, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                lines, row = split_lines(part, o)
-                h, at = line_words(part, lines)
-                woff = K.bounds(at, len(row))
-                count = np.diff(woff)
-                keep = np.flatnonzero(count >= MIN_WORDS)
-                if not len(keep):
-                    continue
-                whole = line_hashes(h, woff)[keep]
-                number = np.arange(len(row)) - np.searchsorted(row, row)
-                ix = pa.array(row[keep] + lo)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(ix), batch.column(1).take(ix), pa.array(number[keep].astype(np.int32)), pa.array(whole.view(np.int64))],
-                    names=["doc_id", "rev", "line", "h"],
-                )
-
-    text = F.col("text").cast("string")
-    return docs.filter("text is not null").select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("rev"), text.alias("text")).mapInArrow(run, LINE_DDL)
-
-
-def first_of_line(h: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Marks the first of equal words of each line."""
-    key = K.mix(h + K.mix(line.astype(np.uint64) + K.U64(1)))
-    order = np.argsort(key, kind="stable")
-    fresh = np.ones(len(h), bool)
-    fresh[order[1:]] = key[order[1:]] != key[order[:-1]]
-    return fresh
+    return K.span_hashes(K.lower(data), start, end), row, end - start
 
 
 def line_hashes(h: np.ndarray, woff: np.ndarray) -> np.ndarray:
@@ -112,152 +82,196 @@ def line_hashes(h: np.ndarray, woff: np.ndarray) -> np.ndarray:
     return K.mix(acc[woff[1:]] - acc[woff[:-1]] + size.astype(np.uint64))
 
 
-def scheme(n: int) -> list[np.ndarray]:
-    """Bit masks of the block choices for n fingerprints: the m of least expected work."""
-    best = None
-    for m in range(1, 6):
-        blocks = MAX_BITS + m
-        choices = math.comb(blocks, m)
-        cost = n * choices * 40.0 + choices * n * n / 2 / 2.0 ** (64 * m / blocks) * 4.0
-        if best is None or cost < best[0]:
-            best = cost, m
-    m = best[1]
-    edge = np.linspace(0, 64, MAX_BITS + m + 1).astype(int)
-    return [sum((1 << int(edge[i + 1])) - (1 << int(edge[i])) for i in chosen) for chosen in combinations(range(MAX_BITS + m), m)]
-
-
 def most_edits(words: np.ndarray) -> np.ndarray:
     """The most edits between lines of so many words and any line that is near them."""
     return (np.floor(words / SIMILARITY + 1e-9) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
 
 
-def word_pairs(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, line) of the adjacent words of each line."""
+def word_pairs(h: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, line) of the adjacent words of each line.  A pair's number orders all pairs: the longer its words, the less; then by hash."""
     inside = np.flatnonzero(at[1:] == at[:-1])
-    return K.mix(h[inside] * K.U64(0x9FB21C651E98DF25) + K.mix(h[inside + 1])), at[inside]
+    mixed = K.mix(h[inside] * K.U64(0x9FB21C651E98DF25) + K.mix(h[inside + 1]))
+    length = np.minimum(size[inside], 31) + np.minimum(size[inside + 1], 31)
+    return (63 - length).astype(np.uint64) << K.U64(40) | mixed >> K.U64(24), at[inside]
+
+
+def first_pairs(pair: np.ndarray, line: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, line) of the ``most[line]`` first distinct pairs of each line, lines in order."""
+    out_pair, out_line = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    lo = 0
+    while lo < len(line):  # a line takes 18 bits of a sort key, a pair 46
+        base = line[lo]
+        hi = int(np.searchsorted(line, base + (1 << 18)))
+        key = np.sort((line[lo:hi] - base).astype(np.uint64) << K.U64(46) | pair[lo:hi])
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        key = key[fresh]
+        own = (key >> K.U64(46)).astype(np.int64) + base
+        take = np.arange(len(own)) - np.searchsorted(own, own) < most[own]
+        out_pair.append(key[take] & K.U64((1 << 46) - 1))
+        out_line.append(own[take])
+        lo = hi
+    return np.concatenate(out_pair), np.concatenate(out_line)
 
 
 def sketches(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    """How many words of each of ``n`` lines fall into each bucket, 15 at most."""
-    many = np.bincount(line * BUCKETS + (h >> K.U64(7)).astype(np.int64) % BUCKETS, minlength=n * BUCKETS)
-    return np.minimum(many, 15).astype(np.uint8).reshape(n, BUCKETS)
+    """How many words of each of ``n`` lines fall into each of BUCKETS buckets, modulo 16, as one number."""
+    many = np.bincount(line * BUCKETS + (h >> K.U64(7)).astype(np.int64) % BUCKETS, minlength=n * BUCKETS).reshape(n, BUCKETS)
+    half = (many[:, ::2] & 15 | (many[:, 1::2] & 15) << 4).astype(np.uint8)
+    return np.ascontiguousarray(half).view(np.uint64)[:, 0]
 
 
-def may_be_near(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether lines of n and m words with the sketches x and y can be near: an edit moves one word into a bucket and one out of one."""
-    d = x.view(np.int8) - y.view(np.int8)
-    k = (np.maximum(n, m) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
-    return (np.abs(n - m) <= k) & (np.maximum(d, 0).sum(-1, dtype=np.int32) <= k) & (np.maximum(-d, 0).sum(-1, dtype=np.int32) <= k)
-
+_DIFFER = np.zeros(65536, np.uint8)  # of two bytes of sketches: by how much their buckets differ at least
+for _a in range(256):
+    _x = np.arange(256)
+    _low, _high = (_a - _x) & 15, ((_a >> 4) - (_x >> 4)) & 15
+    _DIFFER[_a << 8 | _x] = np.minimum(_low, 16 - _low) + np.minimum(_high, 16 - _high)
 
-def pair_ranks(docs: DataFrame) -> np.ndarray:
-    """How often word pairs of each of RANKS hashes occur in about SAMPLE documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(RANKS, np.int64)
-        for batch in batches:
-            data, off = K.buffers(batch.column(0))
-            for lo, hi in K.slices(off):
-                part = data[off[lo] : off[hi]]
-                pair, _ = word_pairs(*line_words(part, split_lines(part, off[lo : hi + 1] - off[lo])[0]))
-                total += np.bincount((pair % K.U64(RANKS)).astype(np.int64), minlength=RANKS)
-        live = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(total[live])], names=["pair", "n"])
-
-    text = docs.filter("text is not null").select(F.col("text").cast("string"))
-    some = text.sample(min(1.0, SAMPLE / max(1, docs.count())), 7)
-    found = some.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # RANKS rows at most
-    out = np.zeros(RANKS, np.uint32)
-    out[found["pair"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31)
-    return out
-
-
-def links(docs: DataFrame) -> DataFrame:
-    """Edges (a, b) between hashes of lines; chains of them connect all near lines."""
-    often = pair_ranks(docs)
+def may_be_near(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether lines of n and m words with the sketches x and y can be near: an edit changes at most two buckets by one."""
+    k = (np.maximum(n, m) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    n, m = np.broadcast_arrays(n, m)
+    ok = (np.abs(n - m) <= k) | (n >= MANY) | (m >= MANY)
+    at = np.flatnonzero(ok)
+    x, y = np.broadcast_arrays(x, y)
+    a, b = (np.ascontiguousarray(v[at]).view(np.uint8).reshape(-1, 8).astype(np.uint16) for v in (x, y))
+    apart = _DIFFER[a << 8 | b].sum(1, dtype=np.int64)
+    ok = ok.copy()
+    ok[at] = (apart <= 2 * k[at]) | (n[at] >= MANY) | (m[at] >= MANY)
+    return ok
+
+
+def met(docs: DataFrame) -> DataFrame:
+    """Rows of MET: every occurrence of a line that has words, with the first one of the same h and how many there are; and edges (h, b)
+    between lines that may be near, chains of which connect all near lines."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def entries(part: np.ndarray, o: np.ndarray) -> np.ndarray:
-        lines, row = split_lines(part, o)
-        h, at = line_words(part, lines)
-        woff = K.bounds(at, len(row))
-        count = np.diff(woff)
-        k = most_edits(count)
-        k[count < MIN_WORDS] = 0
-        live = k[at] > 0
-        pair, line = word_pairs(h[live], at[live])
-        order = np.lexsort((pair, often[pair % K.U64(RANKS)], line))
-        pair, line = pair[order], line[order]
-        fresh = np.ones(len(pair), bool)
-        fresh[1:] = (pair[1:] != pair[:-1]) | (line[1:] != line[:-1])
-        pair, line = pair[fresh], line[fresh]
-        take = np.arange(len(line)) - np.searchsorted(line, line) <= 2 * k[line]
-        pair, line = pair[take], line[take]
-        out = np.empty(len(pair), ENTRY)
-        sketch = sketches(h, at, len(row))
-        out["pair"], out["h"], out["words"], out["sketch"] = pair, line_hashes(h, woff)[line], count[line], (sketch[:, ::2] | sketch[:, 1::2] << 4)[line]
-        return out
-
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: tuple[list, list] = [], []
+        size = 0
+
+        def cut(rows: list[np.ndarray], kind: np.dtype, by: str) -> list[bytes]:
+            all_ = np.concatenate(rows) if rows else np.zeros(0, kind)
+            part = (K.mix(all_[by]) % K.U64(parts)).astype(np.int64)
+            order = np.argsort(part.astype(np.int32), kind="stable")
+            packed, edge = all_[order], np.searchsorted(part[order], np.arange(parts + 1))
+            return [packed[edge[p] : edge[p + 1]].tobytes() for p in range(parts)]
 
-        def out(held: list) -> pa.RecordBatch:
-            all_ = np.concatenate(held)
-            part = (K.mix(all_["pair"]) % K.U64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            packed, cut = all_[order], np.searchsorted(part[order], np.arange(parts + 1))
-            live = np.flatnonzero(np.diff(cut))
-            return pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), pa.array([packed[cut[p] : cut[p + 1]].tobytes() for p in live], pa.binary())], names=["part", "entries"])
+        def out() -> pa.RecordBatch:
+            lines, entries = cut(held[0], LINE, "h"), cut(held[1], ENTRY, "pair")
+            live = [p for p in range(parts) if lines[p] or entries[p]]
+            return pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([lines[p] for p in live], pa.binary()), pa.array([entries[p] for p in live], pa.binary())], names=["part", "lines", "entries"])
 
         for batch in batches:
-            data, off = K.buffers(batch.column(0))
+            data, off = K.buffers(batch.column(2))
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            doc, rev = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi in K.slices(off):
-                held.append(entries(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))
-                size += len(held[-1])
-                if size >= 1 << 18:
-                    yield out(held)
-                    held, size = [], 0
+                whole = data[off[lo] : off[hi]]
+                all_lines, all_rows = split_lines(whole, off[lo : hi + 1] - off[lo])
+                number = np.arange(len(all_rows)) - np.searchsorted(all_rows, all_rows)
+                for a, b in K.slices(all_lines):
+                    part, lines, row = whole[all_lines[a] : all_lines[b]], all_lines[a : b + 1] - all_lines[a], all_rows[a:b] + lo
+                    h, at, length = line_words(part, lines)
+                    woff = K.bounds(at, len(row))
+                    count = np.diff(woff)
+                    name = line_hashes(h, woff)
+                    keep = np.flatnonzero(count >= MIN_WORDS)
+                    seen = np.empty(len(keep), LINE)
+                    seen["h"], seen["doc"], seen["rev"], seen["line"], seen["live"] = name[keep], doc[row[keep]], rev[row[keep]], number[a:b][keep], known[row[keep]]
+                    k = most_edits(count)
+                    k[count < MIN_WORDS] = 0
+                    once = np.zeros(len(row), bool)
+                    once[np.unique(name, return_index=True)[1]] = True  # equal lines of a slice: once
+                    live = ((k > 0) & once)[at]
+                    pair, line = first_pairs(*word_pairs(h[live], at[live], length[live]), 2 * k + 1)
+                    entry = np.empty(len(pair), ENTRY)
+                    entry["pair"], entry["h"], entry["words"], entry["sketch"] = pair, name[line], np.minimum(count[line], MANY), sketches(h, at, len(row))[line]
+                    held[0].append(seen)
+                    held[1].append(entry)
+                    size += seen.nbytes + entry.nbytes
+                    if size >= 4 << 20:
+                        yield out()
+                        held, size = ([], []), 0
         if size:
-            yield out(held)
+            yield out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list] = {}
+        by: dict[int, tuple[list, list]] = {}
         for batch in batches:
-            for p, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                by.setdefault(p, []).append(np.frombuffer(x.as_buffer(), ENTRY))
+            for p, *blocks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                for to, kind, x in zip(by.setdefault(p, ([], [])), (LINE, ENTRY), blocks, strict=True):
+                    to.append(np.frombuffer(x.as_buffer(), kind))
         for p in sorted(by):
-            e = np.concatenate(by.pop(p))
-            pair, h = e["pair"].copy(), e["h"].copy()
-            order = np.lexsort((h, pair))
-            same = (pair[order][1:] == pair[order][:-1]) & (h[order][1:] == h[order][:-1])
-            order = order[np.concatenate([[True], ~same])]
-            start = np.flatnonzero(np.concatenate([[True], pair[order][1:] != pair[order][:-1]]))
-            size = np.diff(np.append(start, len(order)))
-            order, start, size = order[np.repeat(size > 1, size)], None, size[size > 1]
-            if len(order):
-                e, start = e[order], np.concatenate([[0], np.cumsum(size)[:-1]])
-                half = e["sketch"]
-                sketch = np.stack([half & 15, half >> 4], 2).reshape(len(e), BUCKETS)
-                a, b = linked(start, size, e["h"].copy(), e["words"].astype(np.int64), sketch)
-                if len(a):
-                    edges = np.unique(np.stack([a, b], 1).view(np.int64), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
-
-    text = docs.filter("text is not null").select(F.col("text").cast("string"))
-    return text.mapInArrow(spread, "part int, entries binary").repartition(parts, "part").mapInArrow(meet, "a bigint, b bigint").distinct()
+            lines, entries = by.pop(p)
+            yield from _first_occurrences(np.concatenate(lines))
+            del lines
+            yield from _edges(np.concatenate(entries))
+            del entries
+
+    text = F.col("text").cast("string")
+    rows = docs.filter("text is not null").select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("rev"), text.alias("text"))
+    return arrow(arrow(rows, spread, "part int, lines binary, entries binary").repartition(parts, "part"), meet, MET)
+
+
+def _met(rows: int, **given: pa.Array) -> pa.RecordBatch:
+    kinds = {"line": pa.int32(), "f_line": pa.int32()}
+    names = [x.split()[0] for x in MET.split(", ")]
+    return pa.RecordBatch.from_arrays([given[c].cast(kinds.get(c, pa.int64())) if c in given else pa.nulls(rows, kinds.get(c, pa.int64())) for c in names], names=names)
+
+
+def _first_occurrences(e: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not len(e):
+        return
+    h, doc, rev, line, live = (e[c].copy() for c in ("h", "doc", "rev", "line", "live"))
+    order = np.lexsort((line, rev, doc, live, h))
+    h, doc, rev, line, live = (x[order] for x in (h, doc, rev, line, live))
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    size = np.diff(np.append(start, len(h)))
+    first = np.repeat(start, size)
+    for lo in range(0, len(h), 1 << 16):
+        s = slice(lo, lo + (1 << 16))
+        f = first[s]
+        yield _met(
+            len(f), h=pa.array(h[s].view(np.int64)), doc_id=pa.array(doc[s], mask=live[s] == 0), rev=pa.array(rev[s]), line=pa.array(line[s]),
+            f_doc=pa.array(doc[f], mask=live[f] == 0), f_rev=pa.array(rev[f]), f_line=pa.array(line[f]), n=pa.array(np.repeat(size, size)[s]),
+        )
+
+
+def _edges(e: np.ndarray) -> Iterator[pa.RecordBatch]:
+    pair = e["pair"].copy()
+    order = np.argsort(pair)
+    pair = pair[order]
+    more = np.zeros(len(pair), bool)  # only pairs that several entries hold
+    same = pair[1:] == pair[:-1]
+    more[1:] |= same
+    more[:-1] |= same
+    e, pair = e[order[more]], pair[more]
+    if not len(e):
+        return
+    h = e["h"].copy()
+    order = np.lexsort((h, pair))
+    same = (pair[order][1:] == pair[order][:-1]) & (h[order][1:] == h[order][:-1])
+    order = order[np.concatenate([[True], ~same])]
+    e, pair, h = e[order], pair[order], h[order]
+    start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    size = np.diff(np.append(start, len(pair)))
+    a, b = linked(start, size, h, e["words"].astype(np.int64), e["sketch"].copy())
+    if len(a):
+        made = forest(a.view(np.int64), b.view(np.int64))
+        yield _met(len(made), h=made.column(0), b=made.column(1))
 
 
 def linked(start: np.ndarray, size: np.ndarray, h: np.ndarray, words: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges within runs: all possible pairs of small runs, a walk through those of a large run."""
     a, b = [], []
-    for m in np.unique(size[size <= 64]):
+    for m in np.unique(size[(size > 1) & (size <= 64)]):
         i, j = np.triu_indices(m, 1)
         first = start[size == m]
         step = max(1, (1 << 17) // len(i))
         for lo in range(0, len(first), step):
             x, y = ((first[lo : lo + step, None] + z).ravel() for z in (i, j))
-            close = np.abs(words[x] - words[y]) <= np.maximum(words[x], words[y]) * (1 - SIMILARITY) + 1e-9
-            x, y = x[close], y[close]
             hit = may_be_near(words[x], sketch[x], words[y], sketch[y])
             a.append(h[x[hit]])
             b.append(h[y[hit]])
@@ -310,100 +324,181 @@ def word_masks(a: list[int]) -> dict[int, int]:
     return masks
 
 
-def near_groups(lines: list[np.ndarray]) -> list[int]:
-    """For each of some word sequences, the first of those that chains of near ones connect with it.
-
-    Only lines that share one of their first pairs, the rarest of these lines first, are compared."""
-    size = np.array([len(x) for x in lines])
-    flat, line = np.concatenate(lines).astype(np.uint64), np.repeat(np.arange(len(size)), size)
-    sketch = sketches(flat, line, len(size))
-    pair, line = word_pairs(flat, line)
-    _, pair, often = np.unique(pair, return_inverse=True, return_counts=True)
-    order = np.lexsort((pair, often[pair], line))
-    pair, line = pair[order], line[order]
-    fresh = np.ones(len(pair), bool)
-    fresh[1:] = (pair[1:] != pair[:-1]) | (line[1:] != line[:-1])
-    pair, line = pair[fresh], line[fresh]
-    take = np.arange(len(line)) - np.searchsorted(line, line) <= 2 * most_edits(size)[line]
-    pair, line = pair[take], line[take]
-    own = np.searchsorted(line, np.arange(len(size) + 1))
-    order = np.argsort(pair, kind="stable")
-    holders, lists = line[order], np.searchsorted(pair[order], np.arange(len(often) + 1))
-    words, left, out = [x.tolist() for x in lines], np.ones(len(size), bool), [0] * len(size)
-    for i in range(len(size)):
-        if not left[i]:
-            continue
-        queue, left[i] = [i], False
-        while queue:
-            at = queue.pop()
-            out[at] = i
-            near = np.concatenate([np.zeros(0, np.int64), *(holders[lists[p] : lists[p + 1]] for p in pair[own[at] : own[at + 1]])])
-            near = np.unique(near[left[near]])
-            near = near[may_be_near(size[at], sketch[at], size[near], sketch[near])]
-            if len(near):
-                masks = word_masks(words[at])
-                hit = [j for j in near.tolist() if similar(words[at], words[j], masks=masks)]
-                queue += hit
-                left[hit] = False
+def _padded(flat: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, fill: int) -> np.ndarray:
+    col = np.arange(width)[None, :]
+    at = start[:, None] + col
+    return np.where(col < size[:, None], flat[np.minimum(at, len(flat) - 1)], fill)
+
+
+def close(flat: np.ndarray, off: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether lines x[i] and y[i] of the words ``flat`` (numbers of 32 bits, in int64) are near; many pairs at once.
+
+    What both begin and end with is left out; the rest goes through Myers' bit vectors, a column of all pairs at a time."""
+    out = np.zeros(len(x), bool)
+    size = np.diff(off)
+    longest = np.maximum(size[x], size[y])
+    by_length = np.argsort(longest, kind="stable")
+    lo = 0
+    while lo < len(x):
+        step = max(1, min(4096, (1 << 19) // max(int(longest[by_length[lo]]), 1)))
+        ids = by_length[lo : lo + step]
+        lo += step
+        p, q = x[ids], y[ids]
+        sa, na, sb, nb = off[p], size[p].copy(), off[q], size[q].copy()
+        k = ((1 - SIMILARITY) * np.maximum(na, nb) + 1e-9).astype(np.int64)
+        width = int(max(na.max(), nb.max()))
+        least = np.minimum(na, nb)
+        same = _padded(flat, sa, na, width, -1) == _padded(flat, sb, nb, width, -2)
+        head = np.where(same.all(1), width, same.argmin(1))
+        head = np.minimum(head, least)
+        sa, sb, na, nb = sa + head, sb + head, na - head, nb - head
+        least = np.minimum(na, nb)
+        width = int(max(least.max(), 1))
+        col = np.arange(width)[None, :]
+        ends = (flat[np.clip((sa + na)[:, None] - 1 - col, 0, len(flat) - 1)] == flat[np.clip((sb + nb)[:, None] - 1 - col, 0, len(flat) - 1)]) & (col < least[:, None])
+        tail = np.where(ends.all(1), width, ends.argmin(1))
+        na, nb = na - tail, nb - tail
+        swap = na > nb  # the shorter rest is the pattern
+        sa, sb = np.where(swap, sb, sa), np.where(swap, sa, sb)
+        na, nb = np.where(swap, nb, na), np.where(swap, na, nb)
+        found = np.zeros(len(ids), bool)
+        found[na == 0] = (nb <= k)[na == 0]
+        live = np.flatnonzero((na > 0) & (nb - na <= k))
+        short = live[na[live] <= 64]
+        if len(short):
+            found[short] = _myers(flat, sa[short], na[short], sb[short], nb[short]) <= k[short]
+        for i in live[na[live] > 64]:
+            found[i] = distance_within(word_masks(flat[sa[i] : sa[i] + na[i]].tolist()), int(na[i]), flat[sb[i] : sb[i] + nb[i]].tolist(), int(k[i]))
+        out[ids] = found
     return out
 
 
+def _myers(flat: np.ndarray, sa: np.ndarray, na: np.ndarray, sb: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Edit distances of patterns of 1 to 64 words and texts."""
+    pattern = _padded(flat, sa, na, 64, -1)
+    one, top = K.U64(1), K.U64(1) << (na - 1).astype(np.uint64)
+    pv, mv, score = np.full(len(na), 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(len(na), np.uint64), na.copy()
+    for j in range(int(nb.max())):
+        eq = np.packbits(pattern == flat[np.minimum(sb + j, len(flat) - 1)][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | ~(xh | pv), pv & xh
+        on = j < nb
+        score += np.where(on, ((ph & top) != 0).astype(np.int64) - ((mh & top) != 0), 0)
+        ph, mh = ph << one | one, mh << one
+        pv, mv = mh | ~(xv | ph), ph & xv
+    return score
+
+
+def near_groups(flat: np.ndarray, off: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """For each line the first line that chains of near lines connect with it, within runs of equal ``comp``.
+
+    Small runs are compared all with all; a large run is walked breadth first, each line with those that no near one has reached yet."""
+    n = len(off) - 1
+    size = np.diff(off)
+    sketch = sketches(flat.astype(np.uint64), np.repeat(np.arange(n), size), n)
+    start = np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1]]))
+    many = np.diff(np.append(start, n))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = may_be_near(size[x], sketch[x], size[y], sketch[y])
+        at = np.flatnonzero(ok)
+        ok[at] = close(flat, off, x[at], y[at])
+        return ok
+
+    for m in np.unique(many[(many > 1) & (many <= 128)]):
+        i, j = np.triu_indices(m, 1)
+        first = start[many == m]
+        step = max(1, (1 << 16) // len(i))
+        for lo in range(0, len(first), step):
+            x, y = ((first[lo : lo + step, None] + z).ravel() for z in (i, j))
+            hit = near(x, y)
+            a.append(x[hit])
+            b.append(y[hit])
+    for s, m in zip(start[many > 128], many[many > 128], strict=True):
+        left = np.arange(s, s + m)
+        while len(left):
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                at = queue.pop()
+                hit = near(np.full(len(left), at), left)
+                a.append(np.full(int(hit.sum()), at))
+                b.append(left[hit])
+                queue += left[hit].tolist()
+                left = left[~hit]
+    return labels(np.concatenate(a), np.concatenate(b), n)
+
+
 def verified(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(h, member_of): the lines of ``lines`` (h, doc_id, rev, line, root) in groups by near pairs within each root; member_of is a group's least h."""
     text = F.col("text").cast("string")
-    asked = lines.groupBy("doc_id", "rev").agg(F.sort_array(F.collect_list(F.struct("line", "h", "root"))).alias("asked"))
-    asked = Shared(asked)
+    asked = Shared(lines.groupBy("doc_id", "rev").agg(F.sort_array(F.collect_list(F.struct("line", "h", "root"))).alias("asked")))
     given = docs.filter("text is not null").select(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64(text).alias("r"), text.alias("text"))
     found = given.join(sized(asked.df), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("rev"))).select("text", "asked")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            root, h, seq = [], [], []
-            for t, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cut = t.split("\n")
-                raw = [cut[r["line"]].encode() for r in rows]
-                off = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-                hashes, at = line_words(np.frombuffer(b"".join(raw), np.uint8), off)
-                woff = K.bounds(at, len(raw))
-                for i, r in enumerate(rows):
-                    root.append(r["root"])
-                    h.append(r["h"])
-                    seq.append(hashes[woff[i] : woff[i + 1]].astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array(h, pa.int64()), pa.array(seq, pa.binary())], names=["root", "h", "seq"])
+            data, off = K.buffers(batch.column(0))
+            asked = batch.column(1)
+            bound = asked.offsets.to_numpy() - asked.offsets[0].as_py()
+            line, h, root = (asked.flatten().field(i).to_numpy() for i in range(3))
+            for lo, hi in K.slices(off):
+                whole = data[off[lo] : off[hi]]
+                cuts, row = split_lines(whole, off[lo : hi + 1] - off[lo])
+                own = slice(bound[lo], bound[hi])
+                at = np.searchsorted(row, np.repeat(np.arange(hi - lo), np.diff(bound[lo : hi + 1]))) + line[own]
+                for a, b in K.slices(np.concatenate([[0], np.cumsum(cuts[at + 1] - cuts[at])])):
+                    some = at[a:b]
+                    length = cuts[some + 1] - cuts[some]
+                    edge = np.concatenate([[0], np.cumsum(length)])
+                    pick = np.arange(edge[-1]) - np.repeat(edge[:-1] - cuts[some], length)
+                    hashes, where, _ = line_words(whole[pick], edge)
+                    woff = K.bounds(where, len(some))
+                    raw = (4 * woff).astype(np.int32)
+                    seq = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(raw), pa.py_buffer(np.ascontiguousarray(hashes.astype(np.uint32)))])
+                    yield pa.RecordBatch.from_arrays([pa.array(root[own][a:b]), pa.array(h[own][a:b]), seq], names=["root", "h", "seq"])
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, dict[int, bytes]] = {}
-        for batch in batches:
-            for root, h, seq in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                by.setdefault(root, {})[h] = seq
-        for root in sorted(by):
-            members = sorted(by.pop(root).items())
-            first = near_groups([np.frombuffer(seq, np.uint32) for _, seq in members])
-            out_h, out_g = [h for h, _ in members], [members[i][0] for i in first]
-            yield pa.RecordBatch.from_arrays([pa.array(out_h, pa.int64()), pa.array(out_g, pa.int64())], names=["h", "member_of"])
-
-    return found.mapInArrow(read, "root bigint, h bigint, seq binary").repartition("root").mapInArrow(group, "h bigint, member_of bigint")
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts).combine_chunks()
+        root, h = table["root"].to_numpy(), table["h"].to_numpy()
+        order = np.lexsort((h, root))
+        order = order[np.concatenate([[True], (h[order][1:] != h[order][:-1])])]  # rows that repeat give a line twice
+        data, off = K.buffers(table["seq"].take(pa.array(order)))
+        flat = np.ascontiguousarray(data).view(np.uint32).astype(np.int64)
+        root, h = root[order], h[order]
+        first = near_groups(flat, off // 4, root)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h[first])], names=["h", "member_of"])
+
+    made = Shared(arrow(arrow(found, read, "root bigint, h bigint, seq binary").repartition("root"), group, "h bigint, member_of bigint"))
+    asked.drop()
+    return made.df
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, rev, line, kept_doc_id, kept_line): every line that repeats an earlier one, and the occurrence that stays.
 
     A null text has no lines, an empty one a single line without words.  A null doc_id counts as the least id.  Rows that repeat
-    doc_id and text are one document.  An empty table gives an empty result; columns other than doc_id and text are not looked at."""
-    seen = Shared(line_table(docs))
-    first = F.min(F.struct("doc_id", "rev", "line")).alias("first")
-    lines = Shared(seen.df.groupBy("h").agg(first, F.count("*").alias("times")).select("h", "first.*", "times"))
-    root = Shared(components(Shared(links(docs)).df))
-    tied = Shared(lines.df.join(sized(root.df), F.col("h") == F.col("node")).select("h", "doc_id", "rev", "line", "root", "times"))
-    groups = Shared(verified(tied.df, docs))
-    member = tied.df.join(sized(groups.df), "h").select("h", "member_of", "doc_id", "rev", "line")
-    kept = member.groupBy("member_of").agg(F.min(F.struct("doc_id", "rev", "line")).alias("kept"), F.count("*").alias("size")).filter("size > 1")
-    fuzzy = member.select("h", "member_of").join(kept, "member_of").select("h", "kept")
-    exact = lines.df.filter("times > 1").select("h", F.struct("doc_id", "rev", "line").alias("kept"))
+    doc_id and text are one document.  Of occurrences in texts of one doc_id that of the text with the lesser hash comes first.  Texts of any
+    length are read in blocks of lines.  An empty table gives an empty result; columns other than doc_id and text are not looked at."""
+    out = Shared(met(docs), shuffled=True)
+    seen = out.df.filter("b is null").drop("b")
+    root = Shared(components(out.df.filter("b is not null").select(F.col("h").alias("x"), "b"), "x", "b"))
+    first = F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("rev") == F.col("f_rev")) & (F.col("line") == F.col("f_line"))
+    tied = Shared(seen.filter(first).join(sized(root.df), F.col("h") == F.col("node")).select("h", "doc_id", "rev", "line", "root").distinct())
+    root.drop()
+    member = verified(tied.df, docs).join(tied.df, "h").select("h", "member_of", F.struct("doc_id", "rev", "line").alias("at"))
+    kept = member.groupBy("member_of").agg(F.min("at").alias("kept"), F.count("*").alias("size")).filter("size > 1")
+    fuzzy = Shared(member.select("h", "member_of").join(kept, "member_of").select("h", "kept"))
+    tied.drop()
     # a group's first occurrence is no later than that of any of its lines
-    keep = Shared(fuzzy.unionByName(exact).groupBy("h").agg(F.min("kept").alias("kept")))
-    out = seen.df.join(sized(keep.df), "h").filter(~(F.struct("doc_id", "rev", "line").eqNullSafe(F.col("kept"))))
-    return out.select("doc_id", "rev", "line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line")).distinct()
+    both = seen.join(sized(fuzzy.df), "h", "left").filter("n > 1 or kept is not null")
+    stays = F.coalesce(F.col("kept"), F.struct(F.col("f_doc").alias("doc_id"), F.col("f_rev").alias("rev"), F.col("f_line").alias("line")))
+    both = both.withColumn("kept", stays).filter(~F.struct("doc_id", "rev", "line").eqNullSafe(F.col("kept")))
+    return both.select("doc_id", "rev", "line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line")).distinct()
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

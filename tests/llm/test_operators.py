@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hybridspark.llm import fingerprints, kernels, license_scan, line_dedup, media, mixing, packing, quality, queries, secrets, simhash_dedup, toxicity
+from hybridspark.llm import common, fingerprints, kernels, license_scan, line_dedup, media, mixing, packing, quality, queries, secrets, simhash_dedup, toxicity
 
 SF, LABELLED = "/root/testdata/sf0.001", "/root/testdata/sf0.1"  # the smallest has eleven toxic documents
 here = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables here")
@@ -81,24 +81,43 @@ def test_entropy_and_selection():
     assert fingerprints.select(e, np.ones(len(e), bool), rank).tolist() == sorted(p for p, v in votes.items() if v >= fingerprints.VOTES)
 
 
-def test_matches_equal_brute_force(spark):
+@pytest.mark.parametrize("holders", [fingerprints.HOLDERS, 3])
+def test_matches_equal_brute_force(spark, monkeypatch, holders):
+    """Each document against all others; with ``holders`` at 3 each feature of some documents is split over several tasks."""
+    monkeypatch.setattr(fingerprints.pairs, "__defaults__", (holders,))
     r = random.Random(2)
     base = [prose(r, 300) for _ in range(8)]
-    texts = base + [edited(r, base[i % 4], 6) for i in range(8)] + [prose(r, 150) + " " + base[7], "short", "short", "other"]
+    common = prose(r, 60)
+    texts = base + [edited(r, base[i % 4], 6) for i in range(8)] + [prose(r, 150) + " " + base[7], "short", "short", "other", "", base[3], common]
+    texts += [common + " " + prose(r, n) for n in (5, 10, 20, 400)] + [prose(r, 20) + " " + common, base[7] + " " + base[6] + " " + prose(r, 2500)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     made = {d["doc_id"]: d for d in fingerprints.digests(docs, fingerprints.rarity(docs)).collect()}
-    holder = {}
-    for d in sorted(made):
-        for f in made[d]["features"]:
-            holder.setdefault(f, d)
     want = {}
     for d, x in made.items():
-        scored = [(fingerprints.compare(x["digest"], x["counts"], made[o]["digest"], made[o]["counts"]), -o) for o in {holder[f] for f in x["features"]} - {d}]
-        best = max([s for s in scored if s[0] >= fingerprints.SCORE], default=(0, None))
-        want[d] = (best[0], -best[1] if best[1] is not None else None)
-    got = {m["doc_id"]: (m["score"], m["match_id"]) for m in fingerprints.matches(docs).collect()}
-    assert got == want
-    assert all(got[8 + i][1] == i % 4 for i in range(4)) and got[18] == (100, 17) and got[19] == (0, None)
+        best = (0, None)
+        for o, y in made.items():
+            shared, fewer = len({*x["features"]} & {*y["features"]}), min(len(x["features"]), len(y["features"]))
+            if d != o and fewer and shared >= max(1, math.ceil(fingerprints.OVERLAP * fewer - 1e-9)):
+                score = fingerprints.compare(x["digest"], x["counts"], y["digest"], y["counts"])
+                if score >= fingerprints.SCORE and (best[1] is None or (score, -o) > (best[0], -best[1])):
+                    best = (score, o)
+        want[d] = best
+    rows = fingerprints.matches(docs, every=1).collect()
+    assert {m["doc_id"]: (m["score"], m["match_id"]) for m in rows} == want and len(rows) == len(texts)
+    assert want[0][1] == 8 and want[3] == (100, 21) and want[21] == (100, 3) and want[18] == (100, 17) and want[19] == (0, None)
+    assert {m["doc_id"]: (m["score"], m["match_id"]) for m in fingerprints.matches(docs).collect()} == {d: v for d, v in want.items() if d % 20 == 0}
+
+
+def test_digests_compare_alike_one_by_one_and_at_once(spark):
+    import pyarrow as pa
+
+    r = random.Random(22)
+    texts = [prose(r, n) for n in (0, 3, 40, 300, 900, 3000)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    made = fingerprints.digests(docs, fingerprints.rarity(docs)).orderBy("doc_id").collect()
+    pairs = [(a, b) for a in made for b in made]
+    got = fingerprints.compare_all(*(pa.array([p[i][c] for p in pairs], t) for i in (0, 1) for c, t in (("digest", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())))))
+    assert got.tolist() == [fingerprints.compare(a["digest"], a["counts"], b["digest"], b["counts"]) for a, b in pairs]
 
 
 # -- 3
@@ -179,8 +198,13 @@ def test_mixture_has_its_targets(spark):
     for i, s, n in rows:
         by[s].append((i, n))
     share = {s: math.isqrt(sum(n for _, n in v) + 1) for s, v in by.items()}
+    whole = sum(share.values())
+    goals = {s: 3000 * share[s] // whole for s in by}
+    for s in sorted(by, key=lambda s: (-(3000 * share[s] % whole), s))[: 3000 - sum(goals.values())]:
+        goals[s] += 1
+    assert sum(got.values()) == 3000
     for s, v in by.items():
-        target = 3000 * share[s] // sum(share.values())
+        target = goals[s]
         zs = sum(512 + min(n, 8192) for _, n in v)
         assert sum(got.get(i, 0) for i, _ in v) == target
         for i, n in v:
@@ -188,6 +212,16 @@ def test_mixture_has_its_targets(spark):
             assert int(e) <= got.get(i, 0) <= int(e) + 1
 
 
+def test_ties_at_the_cut_keep_the_size(spark):
+    """A third of the rows repeat one doc_id, and null ids draw alike too: the mixture still has its size."""
+    rows = [(7, "a", 900)] * 400 + [(None, "b", 500 + i % 3) for i in range(300)] + [(1000 + i, "ab"[i % 2], 100 * (i % 50)) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_chars bigint").repartition(5)
+    for total in (None, 100, 777, 5000):
+        out = mixing.copies(docs, total).collect()
+        assert sum(x["copies"] for x in out) == (total or len(rows)) and len(out) == len(rows)
+        assert max(x["copies"] for x in out if x["row"]["doc_id"] == 7) - min(x["copies"] for x in out if x["row"]["doc_id"] == 7) <= 1
+
+
 def test_inclusion_is_proportional(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.when(F.col("id") % 2 == 0, 8192).otherwise(1024).alias("n_chars"))
     got = mixing.sample(docs, 1000).groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.sum("copies").alias("n")).collect()
@@ -241,38 +275,41 @@ def test_edit_distance():
                 assert line_dedup.distance_within(line_dedup.word_masks(a), len(a), b, most) == (d <= most)
 
 
+def test_many_pairs_at_once():
+    r = random.Random(70)
+    lines = []
+    for _ in range(150):
+        a = [r.randrange(30) for _ in range(r.choice([1, 3, 7, 20, 60, 90, 200, 300]))]
+        lines.append(a)
+        for k in (1, 3, 9, 40):
+            b = list(a)
+            for _ in range(r.randint(0, k)):
+                at = r.randrange(len(b) + 1)
+                b[at : at + r.randint(0, 1)] = r.choice([[r.randrange(30)], [], [7, 7]])
+            lines.append(b or [1])
+    flat, off = np.array([x for line in lines for x in line], np.int64), np.concatenate([[0], np.cumsum([len(x) for x in lines])])
+    x = np.array([5 * i + r.randrange(5) for i in range(150) for _ in range(6)])
+    y = np.array([5 * i + r.randrange(5) for i in range(150) for _ in range(6)])
+    got = line_dedup.close(flat, off, x, y)
+    want = [lev(lines[i], lines[j]) <= 0.15 * max(len(lines[i]), len(lines[j])) + 1e-9 for i, j in zip(x, y, strict=True)]
+    assert got.tolist() == want and 100 < sum(want) < 800
+
+
 def test_line_groups_equal_brute_force(spark):
     r = random.Random(8)
     lines = [prose(r, r.choice([5, 8, 30, 60, 90])) for _ in range(60)]
     lines += [edited(r, x, 1) for x in lines if len(x.split()) > 20 for _ in range(3)] + lines[:20]
     r.shuffle(lines)
     docs = [(i, "\n".join(lines[i * 7 : i * 7 + 7])) for i in range(-(-len(lines) // 7))]
-    seen = []
-    for i, t in docs:
-        for k, x in enumerate(t.split("\n")):
-            w = x.split()
-            if len(w) >= line_dedup.MIN_WORDS:
-                h, _ = kernels.word_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())]))
-                one = h[line_dedup.first_of_line(h, np.zeros(len(h), np.int64))]
-                seen.append(((i, k), w, kernels.simhash(one, np.array([0, len(one)]), 1)[0, 0]))
+    seen = [((i, k), x.split()) for i, t in docs for k, x in enumerate(t.split("\n"))]
     root = list(range(len(seen)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    near = similar = 0
     for i in range(len(seen)):
         for j in range(i):
             a, b = seen[i][1], seen[j][1]
-            if abs(len(a) - len(b)) <= 0.15 * max(len(a), len(b)) and lev(a, b) <= 0.15 * max(len(a), len(b)) + 1e-9:
-                similar += 1
-                if int(seen[i][2] ^ seen[j][2]).bit_count() <= line_dedup.MAX_BITS:
-                    near += 1
-                    x, y = find(i), find(j)
-                    root[max(x, y)] = min(x, y)
-    want = {seen[i][0]: seen[find(i)][0] for i in range(len(seen)) if find(i) != i}
+            if lev(a, b) <= 0.15 * max(len(a), len(b)) + 1e-9:
+                x, y = sorted((root[i], root[j]))
+                root = [x if v == y else v for v in root]
+    want = {seen[i][0]: seen[v][0] for i, v in enumerate(root) if v != i}
     rows = line_dedup.repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     assert {(x["doc_id"], x["line"]): (x["kept_doc_id"], x["kept_line"]) for x in rows} == want
     left = {x["doc_id"]: x["text"] for x in line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
@@ -312,16 +349,16 @@ def test_short_lines_and_scripts_without_spaces(spark):
     assert {(x["doc_id"], x["line"]): (x["kept_doc_id"], x["kept_line"]) for x in rows} == {(2, 0): (1, 0), (2, 1): (1, 1), (2, 4): (1, 3), (3, 0): (1, 4), (4, 0): (3, 2)}
 
 
-@pytest.mark.parametrize("n", [100, 400_000, 10**8])
-def test_every_near_pair_meets_under_some_choice(n):
-    r = random.Random(9)
-    masks = line_dedup.scheme(n)
-    for _ in range(200):
-        a = r.getrandbits(64)
-        b = a
-        for bit in r.sample(range(64), line_dedup.MAX_BITS):
-            b ^= 1 << bit
-        assert any(a & m == b & m for m in masks)
+def test_large_groups_of_near_lines(spark):
+    """One group of 600 lines that chains connect, more than are compared all with all, and lines far from all."""
+    r = random.Random(13)
+    line, lines = prose(r, 40).split(), []
+    for _ in range(600):
+        lines.append(" ".join(line))
+        line[r.randrange(40)] = r.choice(WORDS)
+    lines += [prose(r, 40) for _ in range(50)]
+    rows = line_dedup.repeats(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()
+    assert {x["doc_id"]: x["kept_doc_id"] for x in rows} == dict.fromkeys(range(1, 600), 0)
 
 
 # -- 8
@@ -371,6 +408,37 @@ def test_simhash_recall(spark):
     assert all(group[i] == i for i in range(60)) and sum(group[100 + i] == i % 60 for i in range(180)) >= 0.9 * 180
 
 
+def test_search_meets_recall_at_its_threshold(spark):
+    """12,000 fingerprints, of which 2,000 pairs lie at just MAX_BITS bits, without any chain between others."""
+    r = np.random.default_rng(91)
+    fp = r.integers(0, 256, (12_000, 32), np.uint8)
+    bits = np.unpackbits(fp, axis=1)
+    for i in range(2000):
+        flip = r.permutation(256)[: simhash_dedup.MAX_BITS]
+        bits[2000 + i] = bits[i]
+        bits[2000 + i, flip] ^= 1
+    fp = np.packbits(bits, axis=1)
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(fp)], "node bigint, fp binary").repartition(4)
+    chosen = simhash_dedup.plan(len(fp))
+    rows = simhash_dedup.links(simhash_dedup.lists(df, chosen, 0, chosen[-1], 4), 4).collect()
+    name = {int(n): i for i, n in enumerate(simhash_dedup.names(np.ascontiguousarray(fp).view(np.uint64)))}
+    found = {tuple(sorted((name[x["a"]], name[x["b"]]))) for x in rows}
+    assert sum((i, 2000 + i) in found for i in range(2000)) / 2000 >= 0.93 and all(b == a + 2000 for a, b in found)
+
+
+@pytest.mark.parametrize("most", [common.ONE_TASK_EDGES, 10])
+def test_components(spark, monkeypatch, most):
+    """Chains, a star of many leaves and loose pairs; with ``most`` at 10 in rounds of shuffles."""
+    monkeypatch.setattr(common, "ONE_TASK_EDGES", most)
+    r = random.Random(92)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(5, 1000 + i) for i in range(3000)] + [(2 * i + 9000, 2 * i + 9001) for i in range(50)] + [(7, 7)]
+    edges = [e[:: r.choice([1, -1])] for e in edges + edges[:100]]
+    r.shuffle(edges)
+    rows = common.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(6)).collect()
+    want = {i: 100 for i in range(100, 141)} | {5: 5} | {1000 + i: 5 for i in range(3000)} | {9000 + i: 9000 + i - i % 2 for i in range(100)}
+    assert {x["node"]: x["root"] for x in rows} == want and len(rows) == len(want)
+
+
 # -- 10
 
 
