@@ -8,9 +8,10 @@ connect form a group, of which the first occurrence (by doc_id, then line number
 Search.  k edits break at most 2k of a line's pairs of adjacent words, so two near lines share one of the 2k + 1 first pairs of
 each, in any one order of all pairs; k follows from the length.  The order puts pairs of long words first, as these are rare
 in any language; it only keeps the lists of lines with a common pair short.  Lines of a list are linked if their lengths and the
-numbers of their words in BUCKETS buckets allow a distance within k.  No near pair is lost by any of these steps.  One pass over the
-texts sends both a hash of each line and its pairs, in packed blocks, to the tasks in which equal ones meet.  Only linked lines are
-read again and compared word by word.
+numbers of their words in BUCKETS buckets allow a distance within k; lines that links connect are a cell.  No near pair is lost by
+any of these steps.  One pass over the texts sends both a hash of each line and its pairs, in packed blocks, to the tasks in which
+equal ones meet.  Only lines of cells are read again; each cell (equal ones once) is compared word by word, and the components
+of the near pairs of all cells are the groups.
 
 SimHash and pigeonhole blocks, which this operator was meant to use, can't give these results: at a similarity of 0.85 the
 fingerprints of two lines differ in about a sixth of their bits, for which blocks of 64 bits have hardly any selectivity, and
@@ -131,20 +132,18 @@ for _a in range(256):
 def may_be_near(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether lines of n and m words with the sketches x and y can be near: an edit changes at most two buckets by one."""
     k = (np.maximum(n, m) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
-    n, m = np.broadcast_arrays(n, m)
-    ok = (np.abs(n - m) <= k) | (n >= MANY) | (m >= MANY)
+    long = (n >= MANY) | (m >= MANY)
+    ok = (np.abs(n - m) <= k) | long
     at = np.flatnonzero(ok)
-    x, y = np.broadcast_arrays(x, y)
-    a, b = (np.ascontiguousarray(v[at]).view(np.uint8).reshape(-1, 8).astype(np.uint16) for v in (x, y))
-    apart = _DIFFER[a << 8 | b].sum(1, dtype=np.int64)
-    ok = ok.copy()
-    ok[at] = (apart <= 2 * k[at]) | (n[at] >= MANY) | (m[at] >= MANY)
+    a, b = (v[at].view(np.uint8).astype(np.uint16) for v in (x, y))
+    apart = _DIFFER[a << 8 | b].reshape(-1, 8).sum(1, dtype=np.int64)
+    ok[at] = (apart <= 2 * k[at]) | long[at]
     return ok
 
 
 def met(docs: DataFrame) -> DataFrame:
-    """Rows of MET: every occurrence of a line that has words, with the first one of the same h and how many there are; and edges (h, b)
-    between lines that may be near, chains of which connect all near lines."""
+    """Rows of MET: every occurrence of a line that has words, with the first one of the same h and how many there are; and the lines h of
+    each cell b.  Any two near lines are in one cell."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,15 +256,22 @@ def _edges(e: np.ndarray) -> Iterator[pa.RecordBatch]:
     e, pair, h = e[order], pair[order], h[order]
     start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
     size = np.diff(np.append(start, len(pair)))
-    a, b = linked(start, size, h, e["words"].astype(np.int64), e["sketch"].copy())
-    if len(a):
-        made = forest(a.view(np.int64), b.view(np.int64))
-        yield _met(len(made), h=made.column(0), b=made.column(1))
+    root = labels(*linked(start, size, e["words"].astype(np.int64), e["sketch"].copy()), len(pair))
+    inside = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+    if len(inside):
+        root, h = root[inside], h[inside]
+        order = np.argsort(root, kind="stable")
+        root, h = root[order], h[order]
+        edge = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
+        many = np.diff(np.append(edge, len(root)))
+        cell = K.mix(np.add.reduceat(K.mix(h), edge) + many.astype(np.uint64))  # the same for cells of the same lines
+        made = np.unique(np.stack([np.repeat(cell, many), h], 1).view(np.int64), axis=0)
+        yield _met(len(made), h=pa.array(made[:, 1]), b=pa.array(made[:, 0]))
 
 
-def linked(start: np.ndarray, size: np.ndarray, h: np.ndarray, words: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges within runs: all possible pairs of small runs, a walk through those of a large run."""
-    a, b = [], []
+def linked(start: np.ndarray, size: np.ndarray, words: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs: all pairs of small runs that may be near, a walk through those of a large run."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for m in np.unique(size[(size > 1) & (size <= 64)]):
         i, j = np.triu_indices(m, 1)
         first = start[size == m]
@@ -273,22 +279,21 @@ def linked(start: np.ndarray, size: np.ndarray, h: np.ndarray, words: np.ndarray
         for lo in range(0, len(first), step):
             x, y = ((first[lo : lo + step, None] + z).ravel() for z in (i, j))
             hit = may_be_near(words[x], sketch[x], words[y], sketch[y])
-            a.append(h[x[hit]])
-            b.append(h[y[hit]])
+            a.append(x[hit])
+            b.append(y[hit])
     for s, m in zip(start[size > 64], size[size > 64], strict=True):
         left = np.arange(s, s + m)
         while len(left):
             queue, left = [left[0]], left[1:]
             while queue and len(left):
                 at = queue.pop()
-                near = may_be_near(words[at], sketch[at], words[left], sketch[left])
+                near = may_be_near(np.full(len(left), words[at]), np.full(len(left), sketch[at]), words[left], sketch[left])
                 if near.any():
                     hit, left = left[near], left[~near]
-                    a.append(np.full(len(hit), h[at]))
-                    b.append(h[hit])
-                    queue += list(hit)
-    none = np.zeros(0, np.uint64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+                    a.append(np.full(len(hit), at))
+                    b.append(hit)
+                    queue += hit.tolist()
+    return np.concatenate(a), np.concatenate(b)
 
 
 def distance_within(masks: dict[int, int], m: int, b: list[int], most: int) -> bool:
@@ -430,10 +435,10 @@ def near_groups(flat: np.ndarray, off: np.ndarray, comp: np.ndarray) -> np.ndarr
     return labels(np.concatenate(a), np.concatenate(b), n)
 
 
-def verified(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(h, member_of): the lines of ``lines`` (h, doc_id, rev, line, root) in groups by near pairs within each root; member_of is a group's least h."""
+def verified(cells: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): edges whose chains connect the near lines of each of ``cells`` (cell, h); ``lines`` (h, doc_id, rev, line) says where each line stands."""
     text = F.col("text").cast("string")
-    asked = Shared(lines.groupBy("doc_id", "rev").agg(F.sort_array(F.collect_list(F.struct("line", "h", "root"))).alias("asked")))
+    asked = Shared(lines.groupBy("doc_id", "rev").agg(F.sort_array(F.collect_list(F.struct("line", "h"))).alias("asked")))
     given = docs.filter("text is not null").select(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64(text).alias("r"), text.alias("text"))
     found = given.join(sized(asked.df), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("rev"))).select("text", "asked")
 
@@ -442,7 +447,7 @@ def verified(lines: DataFrame, docs: DataFrame) -> DataFrame:
             data, off = K.buffers(batch.column(0))
             asked = batch.column(1)
             bound = asked.offsets.to_numpy() - asked.offsets[0].as_py()
-            line, h, root = (asked.flatten().field(i).to_numpy() for i in range(3))
+            line, h = (asked.flatten().field(i).to_numpy() for i in range(2))
             for lo, hi in K.slices(off):
                 whole = data[off[lo] : off[hi]]
                 cuts, row = split_lines(whole, off[lo : hi + 1] - off[lo])
@@ -457,25 +462,26 @@ def verified(lines: DataFrame, docs: DataFrame) -> DataFrame:
                     woff = K.bounds(where, len(some))
                     raw = (4 * woff).astype(np.int32)
                     seq = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(raw), pa.py_buffer(np.ascontiguousarray(hashes.astype(np.uint32)))])
-                    yield pa.RecordBatch.from_arrays([pa.array(root[own][a:b]), pa.array(h[own][a:b]), seq], names=["root", "h", "seq"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[own][a:b]), seq], names=["h", "seq"])
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if len(b)]
         if not parts:
             return
         table = pa.Table.from_batches(parts).combine_chunks()
-        root, h = table["root"].to_numpy(), table["h"].to_numpy()
+        root, h = table["cell"].to_numpy(), table["h"].to_numpy()
         order = np.lexsort((h, root))
-        order = order[np.concatenate([[True], (h[order][1:] != h[order][:-1])])]  # rows that repeat give a line twice
+        order = order[np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (root[order][1:] != root[order][:-1])])]  # rows that repeat give a line twice
         data, off = K.buffers(table["seq"].take(pa.array(order)))
         flat = np.ascontiguousarray(data).view(np.uint32).astype(np.int64)
         root, h = root[order], h[order]
         first = near_groups(flat, off // 4, root)
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h[first])], names=["h", "member_of"])
+        yield forest(h, h[first])
 
-    made = Shared(arrow(arrow(found, read, "root bigint, h bigint, seq binary").repartition("root"), group, "h bigint, member_of bigint"))
+    read_lines = arrow(found, read, "h bigint, seq binary")
+    made = Shared(arrow(cells.join(read_lines, "h").select("cell", "h", "seq").repartition("cell"), group, "a bigint, b bigint"), shuffled=True)
     asked.drop()
-    return made.df
+    return made
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -486,14 +492,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     length are read in blocks of lines.  An empty table gives an empty result; columns other than doc_id and text are not looked at."""
     out = Shared(met(docs), shuffled=True)
     seen = out.df.filter("b is null").drop("b")
-    root = Shared(components(out.df.filter("b is not null").select(F.col("h").alias("x"), "b"), "x", "b"))
+    cells = Shared(out.df.filter("b is not null").select(F.col("b").alias("cell"), "h").distinct())
     first = F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("rev") == F.col("f_rev")) & (F.col("line") == F.col("f_line"))
-    tied = Shared(seen.filter(first).join(sized(root.df), F.col("h") == F.col("node")).select("h", "doc_id", "rev", "line", "root").distinct())
-    root.drop()
-    member = verified(tied.df, docs).join(tied.df, "h").select("h", "member_of", F.struct("doc_id", "rev", "line").alias("at"))
-    kept = member.groupBy("member_of").agg(F.min("at").alias("kept"), F.count("*").alias("size")).filter("size > 1")
+    asked = Shared(cells.df.select("h").distinct())
+    tied = Shared(seen.filter(first).join(sized(asked.df), "h").select("h", "doc_id", "rev", "line").distinct())
+    near = verified(cells.df, tied.df, docs)
+    group = components(near.df)
+    member = tied.df.join(sized(group.withColumnRenamed("node", "h")), "h").select("h", F.col("root").alias("member_of"), F.struct("doc_id", "rev", "line").alias("at"))
+    kept = member.groupBy("member_of").agg(F.min("at").alias("kept"))
     fuzzy = Shared(member.select("h", "member_of").join(kept, "member_of").select("h", "kept"))
-    tied.drop()
+    for done in (cells, asked, tied, near):
+        done.drop()
     # a group's first occurrence is no later than that of any of its lines
     both = seen.join(sized(fuzzy.df), "h", "left").filter("n > 1 or kept is not null")
     stays = F.coalesce(F.col("kept"), F.struct(F.col("f_doc").alias("doc_id"), F.col("f_rev").alias("rev"), F.col("f_line").alias("line")))
