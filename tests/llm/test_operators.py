@@ -130,11 +130,60 @@ def test_toxicity_folds_and_excepts(spark):
     assert rows[0]["hits"] == 3 and rows[2]["hits"] == 0
 
 
+def test_disguises(spark):
+    made = toxicity.automaton({**toxicity.LEXICON, "réêx": 1.5, "ab": 2.5})
+    bad = ["you idiót moroń", "id\u200bio\u00adt mo\u0301ron", "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d \U0001d4c2oron", "i.d.i.o.t and m o r o n", "ENCULE sAl0pe", "réêx RÉÊX", "an ab", "x" * (toxicity.BLOCK - 4) + " kill yourself idiot"]
+    good = ["reex reêx", "a.b.c.d and e f g h", "idiotic moronity", "an abc", "i d i", "w " * 100]
+    assert [toxicity.score(x, made)[4] or toxicity.score(x, made)[2] >= 2 for x in bad] == [True] * len(bad)
+    assert [toxicity.score(x, made)[1] for x in good] == [0] * len(good)
+    long = "word " * 100_000 + "idiot"
+    assert toxicity.score(long, made)[:3] == (100_001, 1, 2.0)
+
+
+def brute_score(text, lexicon):
+    """Every term at every place of the folded text, without the automaton or blocks; the longest of those that begin together."""
+    bare = "".join(c for c in text if not toxicity._HIDDEN.match(c))
+    spans = []
+    for terms, weighted in ((lexicon, True), (dict.fromkeys(toxicity.EXCEPTIONS, 0.0), False)):
+        for term, w in terms.items():
+            loose = term in toxicity.LEXICON or not weighted
+            look, find = (toxicity.fold(bare), toxicity.fold(term)) if loose else (toxicity.accented(bare), toxicity.accented(term))
+            for at in range(len(bare) - len(find) + 1):
+                end = at + len(find)
+                if look[at:end] == find and not bare[at - 1 : at].isalnum() and not bare[end : end + 1].isalnum():
+                    spans.append((at, -len(find), w))
+    best = {}
+    for at, size, w in spans:
+        best[at, size] = max(w, best.get((at, size), -1))
+    to, hits, total = 0, 0, 0.0
+    for (at, size), w in sorted(best.items()):
+        if at >= to:
+            to, hits, total = at - size, hits + (w > 0), total + w
+    words = len(text.split())
+    return words, hits, total, bool(words) and total >= toxicity.MIN_WEIGHT and 1000 * total / words >= toxicity.MIN_RATE
+
+
+@here
+def test_toxicity_equals_brute_force(spark):
+    """The query itself on the smallest tables: every document against a search without automaton."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    terms = toxicity.lexicon(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = queries.op3_toxicity(spark, SF).collect()
+    assert len(rows) == len(texts) and any(r["hits"] for r in rows)
+    for r in rows:
+        if len(texts[r["doc_id"]]) < 3000:
+            assert (r["words"], r["hits"], r["weight"], r["toxic"]) == pytest.approx(brute_score(texts[r["doc_id"]], terms))
+
+
 @here
-def test_toxicity_labels(spark):
-    rows = queries.op3_toxicity(spark, LABELLED).withColumnRenamed("toxic", "found").join(spark.read.parquet(f"{LABELLED}/labels.parquet"), "doc_id").collect()
-    toxic, clean = ([r["found"] for r in rows if r["toxic"] == t] for t in (1, 0))
-    assert sum(toxic) / len(toxic) > 0.9 and sum(clean) / len(clean) < 0.005
+def test_toxicity_on_labels_that_were_not_learnt(spark):
+    docs, labels = (spark.read.parquet(f"{LABELLED}/{t}.parquet") for t in ("documents", "labels"))
+    fit = labels.filter("abs(xxhash64(doc_id, 5)) % 2 = 0")
+    held = labels.join(fit.select("doc_id"), "doc_id", "left_anti").withColumnRenamed("toxic", "label")
+    rows = toxicity.scored(docs, toxicity.lexicon(docs, fit)).join(held, "doc_id").collect()
+    toxic, clean = ([r["toxic"] for r in rows if r["label"] == t] for t in (1, 0))
+    assert len(toxic) > 200 and sum(toxic) / len(toxic) > 0.9 and sum(clean) / len(clean) < 0.005
 
 
 # -- 4
