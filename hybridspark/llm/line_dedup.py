@@ -10,8 +10,9 @@ each, in any one order of all pairs; k follows from the length.  The order puts
 in any language; it only keeps the lists of lines with a common pair short.  Lines of a list are linked if their lengths and the
 numbers of their words in BUCKETS buckets allow a distance within k; lines that links connect are a cell.  No near pair is lost by
 any of these steps.  One pass over the texts sends both a hash of each line and its pairs, in packed blocks, to the tasks in which
-equal ones meet.  Only lines of cells are read again; each cell (equal ones once) is compared word by word, and the components
-of the near pairs of all cells are the groups.
+equal ones meet.  Only lines of cells are read again and compared word by word: first each with the first line of its cells, then
+the lines of a cell that are not in one component yet with each other.  So a cell of n near lines costs n comparisons, and the
+components of all near pairs are the groups.
 
 SimHash and pigeonhole blocks, which this operator was meant to use, can't give these results: at a similarity of 0.85 the
 fingerprints of two lines differ in about a sixth of their bits, for which blocks of 64 bits have hardly any selectivity, and
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Shared, arrow, components, forest, labels, sized
+from .common import Shared, arrow, components, labels, sized
 
 MIN_WORDS, SIMILARITY = 1, 0.85
 BUCKETS = 16
@@ -37,7 +38,7 @@ ENTRY = np.dtype([("pair", np.uint64), ("h", np.uint64), ("sketch", np.uint64),
 LINE = np.dtype([("h", np.uint64), ("doc", np.int64), ("rev", np.int64), ("line", np.int32), ("live", np.uint8)])
 #: A count of words from which on lengths and buckets aren't held against each other.
 MANY = 65_535
-MET = "h bigint, doc_id bigint, rev bigint, line int, f_doc bigint, f_rev bigint, f_line int, n bigint, b bigint"
+MET = "h bigint, doc_id bigint, rev bigint, line int, f_doc bigint, f_rev bigint, f_line int, n bigint, cell bigint, lead bigint"
 
 
 def split_lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +144,7 @@ def may_be_near(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> n
 
 def met(docs: DataFrame) -> DataFrame:
     """Rows of MET: every occurrence of a line that has words, with the first one of the same h and how many there are; and the lines h of
-    each cell b.  Any two near lines are in one cell."""
+    each cell, with the least of them.  Any two near lines are in one cell."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,13 +267,15 @@ def _edges(e: np.ndarray) -> Iterator[pa.RecordBatch]:
         many = np.diff(np.append(edge, len(root)))
         cell = K.mix(np.add.reduceat(K.mix(h), edge) + many.astype(np.uint64))  # the same for cells of the same lines
         made = np.unique(np.stack([np.repeat(cell, many), h], 1).view(np.int64), axis=0)
-        yield _met(len(made), h=pa.array(made[:, 1]), b=pa.array(made[:, 0]))
+        first = np.flatnonzero(np.concatenate([[True], made[1:, 0] != made[:-1, 0]]))
+        lead = np.repeat(made[first, 1], np.diff(np.append(first, len(made))))
+        yield _met(len(made), h=pa.array(made[:, 1]), cell=pa.array(made[:, 0]), lead=pa.array(lead))
 
 
 def linked(start: np.ndarray, size: np.ndarray, words: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs: all pairs of small runs that may be near, a walk through those of a large run."""
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for m in np.unique(size[(size > 1) & (size <= 64)]):
+    for m in np.unique(size[(size > 1) & (size <= 512)]):
         i, j = np.triu_indices(m, 1)
         first = start[size == m]
         step = max(1, (1 << 17) // len(i))
@@ -281,7 +284,7 @@ def linked(start: np.ndarray, size: np.ndarray, words: np.ndarray, sketch: np.nd
             hit = may_be_near(words[x], sketch[x], words[y], sketch[y])
             a.append(x[hit])
             b.append(y[hit])
-    for s, m in zip(start[size > 64], size[size > 64], strict=True):
+    for s, m in zip(start[size > 512], size[size > 512], strict=True):
         left = np.arange(s, s + m)
         while len(left):
             queue, left = [left[0]], left[1:]
@@ -395,48 +398,8 @@ def _myers(flat: np.ndarray, sa: np.ndarray, na: np.ndarray, sb: np.ndarray, nb:
     return score
 
 
-def near_groups(flat: np.ndarray, off: np.ndarray, comp: np.ndarray) -> np.ndarray:
-    """For each line the first line that chains of near lines connect with it, within runs of equal ``comp``.
-
-    Small runs are compared all with all; a large run is walked breadth first, each line with those that no near one has reached yet."""
-    n = len(off) - 1
-    size = np.diff(off)
-    sketch = sketches(flat.astype(np.uint64), np.repeat(np.arange(n), size), n)
-    start = np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1]]))
-    many = np.diff(np.append(start, n))
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        ok = may_be_near(size[x], sketch[x], size[y], sketch[y])
-        at = np.flatnonzero(ok)
-        ok[at] = close(flat, off, x[at], y[at])
-        return ok
-
-    for m in np.unique(many[(many > 1) & (many <= 128)]):
-        i, j = np.triu_indices(m, 1)
-        first = start[many == m]
-        step = max(1, (1 << 16) // len(i))
-        for lo in range(0, len(first), step):
-            x, y = ((first[lo : lo + step, None] + z).ravel() for z in (i, j))
-            hit = near(x, y)
-            a.append(x[hit])
-            b.append(y[hit])
-    for s, m in zip(start[many > 128], many[many > 128], strict=True):
-        left = np.arange(s, s + m)
-        while len(left):
-            queue, left = [left[0]], left[1:]
-            while queue and len(left):
-                at = queue.pop()
-                hit = near(np.full(len(left), at), left)
-                a.append(np.full(int(hit.sum()), at))
-                b.append(left[hit])
-                queue += left[hit].tolist()
-                left = left[~hit]
-    return labels(np.concatenate(a), np.concatenate(b), n)
-
-
-def verified(cells: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): edges whose chains connect the near lines of each of ``cells`` (cell, h); ``lines`` (h, doc_id, rev, line) says where each line stands."""
+def sequences(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(h, seq): the words of ``lines`` (h, doc_id, rev, line), as numbers of 32 bits."""
     text = F.col("text").cast("string")
     asked = Shared(lines.groupBy("doc_id", "rev").agg(F.sort_array(F.collect_list(F.struct("line", "h"))).alias("asked")))
     given = docs.filter("text is not null").select(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64(text).alias("r"), text.alias("text"))
@@ -459,31 +422,46 @@ def verified(cells: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
                     edge = np.concatenate([[0], np.cumsum(length)])
                     pick = np.arange(edge[-1]) - np.repeat(edge[:-1] - cuts[some], length)
                     hashes, where, _ = line_words(whole[pick], edge)
-                    woff = K.bounds(where, len(some))
-                    raw = (4 * woff).astype(np.int32)
+                    raw = (4 * K.bounds(where, len(some))).astype(np.int32)
                     seq = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(raw), pa.py_buffer(np.ascontiguousarray(hashes.astype(np.uint32)))])
                     yield pa.RecordBatch.from_arrays([pa.array(h[own][a:b]), seq], names=["h", "seq"])
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts).combine_chunks()
-        root, h = table["cell"].to_numpy(), table["h"].to_numpy()
-        order = np.lexsort((h, root))
-        order = order[np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (root[order][1:] != root[order][:-1])])]  # rows that repeat give a line twice
-        data, off = K.buffers(table["seq"].take(pa.array(order)))
-        flat = np.ascontiguousarray(data).view(np.uint32).astype(np.int64)
-        root, h = root[order], h[order]
-        first = near_groups(flat, off // 4, root)
-        yield forest(h, h[first])
-
-    read_lines = arrow(found, read, "h bigint, seq binary")
-    made = Shared(arrow(cells.join(read_lines, "h").select("cell", "h", "seq").repartition("cell"), group, "a bigint, b bigint"), shuffled=True)
+    made = Shared(arrow(found, read, "h bigint, seq binary").groupBy("h").agg(F.first("seq").alias("seq")))  # rows that repeat give a line twice
     asked.drop()
     return made
 
 
+def near_pairs(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) of lines that are near, by the words in ``seqs`` (h, seq)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (one, off), (two, more) = K.buffers(batch.column(2)), K.buffers(batch.column(3))
+            flat = np.concatenate([one, two]).view(np.uint32).astype(np.int64)
+            n = len(batch)
+            hit = pa.array(close(flat, np.concatenate([off // 4, off[-1] // 4 + more[1:] // 4]), np.arange(n), np.arange(n) + n))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], names=["a", "b"])
+
+    both = pairs.join(seqs.toDF("b", "sb"), "b").join(seqs.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
+    return arrow(both, run, "a bigint, b bigint")
+
+
+def grouped(cells: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(node, root): the components of the near lines of each of ``cells`` (cell, lead, h)."""
+    first = Shared(near_pairs(cells.filter("lead <> h").select(F.col("lead").alias("a"), F.col("h").alias("b")).distinct(), seqs), shuffled=True)
+    root = Shared(components(first.df))
+    named = cells.select("cell", "h").join(sized(root.df.toDF("h", "root")), "h", "left").select("cell", "h", F.coalesce("root", "h").alias("root"))
+    torn = Shared(named.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("cell"))
+    left = Shared(named.join(sized(torn.df), "cell"))
+    x, y = left.df.toDF("cell", "a", "ra"), left.df.toDF("cell", "b", "rb")
+    rest = x.join(y, "cell").filter("a < b and ra <> rb").select("a", "b").distinct()  # lines that may be near, but not by the first ones of their cells
+    second = Shared(near_pairs(rest, seqs), shuffled=True)
+    out = components(first.df.unionByName(second.df))
+    for done in (first, root, torn, left, second):
+        done.drop()
+    return out
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, rev, line, kept_doc_id, kept_line): every line that repeats an earlier one, and the occurrence that stays.
 
@@ -491,17 +469,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     doc_id and text are one document.  Of occurrences in texts of one doc_id that of the text with the lesser hash comes first.  Texts of any
     length are read in blocks of lines.  An empty table gives an empty result; columns other than doc_id and text are not looked at."""
     out = Shared(met(docs), shuffled=True)
-    seen = out.df.filter("b is null").drop("b")
-    cells = Shared(out.df.filter("b is not null").select(F.col("b").alias("cell"), "h").distinct())
+    seen = out.df.filter("cell is null").drop("cell", "lead")
+    cells = Shared(out.df.filter("cell is not null").select("cell", "lead", "h").distinct())
     first = F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("rev") == F.col("f_rev")) & (F.col("line") == F.col("f_line"))
     asked = Shared(cells.df.select("h").distinct())
     tied = Shared(seen.filter(first).join(sized(asked.df), "h").select("h", "doc_id", "rev", "line").distinct())
-    near = verified(cells.df, tied.df, docs)
-    group = components(near.df)
+    seqs = sequences(tied.df, docs)
+    group = grouped(cells.df, seqs.df)
     member = tied.df.join(sized(group.withColumnRenamed("node", "h")), "h").select("h", F.col("root").alias("member_of"), F.struct("doc_id", "rev", "line").alias("at"))
     kept = member.groupBy("member_of").agg(F.min("at").alias("kept"))
     fuzzy = Shared(member.select("h", "member_of").join(kept, "member_of").select("h", "kept"))
-    for done in (cells, asked, tied, near):
+    for done in (cells, asked, tied, seqs):
         done.drop()
     # a group's first occurrence is no later than that of any of its lines
     both = seen.join(sized(fuzzy.df), "h", "left").filter("n > 1 or kept is not null")
