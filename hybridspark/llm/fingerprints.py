@@ -323,36 +323,50 @@ def matches(docs: DataFrame, every: int = EVERY, least: int = SCORE) -> DataFram
         made.drop()
     asks = F.pmod(F.col("doc_id"), F.lit(every)) == 0
     # a class is named by the least of its documents; the sets of features are only hashed to find it
-    slim = one.df.filter(F.size("features") > 0).select("doc_id", F.xxhash64("features", F.size("digest")).alias("set"), asks.alias("asks"))
-    first = slim.groupBy("set").agg(F.min("doc_id").alias("id"), F.max("asks").alias("asks"), F.count("*").alias("size"))
-    first = Shared(first)
-    second = slim.join(sized(first.df.filter("size > 1").select("set", "id")), "set").filter("doc_id <> id").groupBy("set").agg(F.min("doc_id").alias("other"))
+    facts = one.df.select("doc_id", "n_bytes", F.xxhash64("features", F.size("digest")).alias("set"), F.size("features").alias("features"), F.size("digest").alias("filters"), asks.alias("asks"))
+    facts = Shared(facts)
+    live = facts.df.filter("features > 0")
+    first = Shared(live.groupBy("set").agg(F.min("doc_id").alias("id"), F.max("asks").alias("asks"), F.count("*").alias("size")))
+    second = live.join(sized(first.df.filter("size > 1").select("set", "id")), "set").filter("doc_id <> id").groupBy("set").agg(F.min("doc_id").alias("other"))
     second = Shared(second)
     taking = one.df.filter(F.size("features") > 0).join(sized(first.df.select(F.col("id").alias("doc_id"), "asks")), "doc_id")
     classes = Shared(taking.select(F.col("doc_id").alias("id"), "features", "digest", "counts", "asks"))
+    one.drop()
     often = slot_counts(classes.df)
-    near = Shared(pairs(classes.df, often, int(often.sum())))
+    near = Shared(pairs(classes.df, often, int(often.sum())), shuffled=True)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = compare_all(*(batch.column(i) for i in range(2, 6)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["a", "b", "score"])
 
-    slim_digest = classes.df.select("id", "digest", "counts")
-    both = near.df.join(slim_digest.toDF("b", "db", "nb"), "b").join(slim_digest.join(classes.df.filter("asks").select("id"), "id", "left_semi").toDF("a", "da", "na"), "a")
-    high = Shared(arrow(both.select("a", "b", "da", "na", "db", "nb"), rate, "a bigint, b bigint, score int").filter(F.col("score") >= least))
-    held = classes.df.select("id", "features")
-    full = high.df.join(held.toDF("b", "fb"), "b").join(held.toDF("a", "fa"), "a")
-    shared, fewer = F.size(F.array_intersect("fa", "fb")), F.least(F.size("fa"), F.size("fb"))
-    held_good = full.filter(shared >= F.greatest(F.ceil(F.lit(OVERLAP) * fewer - 1e-9), F.lit(1))).select("a", "b", "score")
-    best = held_good.groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("m"))).alias("x"))
-    best = Shared(best.select(F.col("a").alias("id"), (-F.col("x.m")).alias("b"), F.col("x.score").alias("score")))
-    whole = one.df.filter(asks).select("doc_id", "n_bytes", F.xxhash64("features", F.size("digest")).alias("set"), F.size("features").alias("features"), F.size("digest").alias("filters"))
-    known = whole.join(first.df.select("set", "id"), "set", "left").join(second.df, "set", "left").join(best.df, "id", "left")
-    live = F.col("features") > 0
-    twin = F.when(live, F.when(F.col("doc_id") != F.col("id"), F.col("id")).otherwise(F.col("other")))
+    digest = classes.df.select("id", "digest", "counts")
+    asking = Shared(classes.df.filter("asks").select(F.col("id").alias("a"), F.col("digest").alias("da"), F.col("counts").alias("na")))
+    both = near.df.join(digest.toDF("b", "db", "nb"), "b").join(sized(asking.df), "a").select("a", "b", "da", "na", "db", "nb")
+    high = Shared(arrow(both, rate, "a bigint, b bigint, score int").filter(F.col("score") >= least), shuffled=True)
+    near.drop()
+    asking.drop()
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("m"))).alias("x")).select("a", (-F.col("x.m")).alias("b"), F.col("x.score").alias("score"))
+
+    def sharing(rows: DataFrame) -> DataFrame:
+        held = classes.df.select("id", "features")
+        full = rows.join(held.toDF("b", "fb"), "b").join(held.toDF("a", "fa"), "a")
+        shared, fewer = F.size(F.array_intersect("fa", "fb")), F.least(F.size("fa"), F.size("fb"))
+        return full.filter(shared >= F.greatest(F.ceil(F.lit(OVERLAP) * fewer - 1e-9), F.lit(1))).select("a", "b", "score")
+
+    # the best score mostly shares enough features; only where it doesn't all others are looked at
+    top = Shared(best(high.df))
+    good = Shared(sharing(top.df))
+    doubted = top.df.join(sized(good.df.select("a")), "a", "left_anti")
+    others = high.df.join(sized(Shared(doubted.select("a")).df), "a", "left_semi")
+    chosen = Shared(good.df.unionByName(best(sharing(others))).withColumnRenamed("a", "id"))
+    known = facts.df.filter("asks").join(first.df.select("set", "id"), "set", "left").join(second.df, "set", "left").join(chosen.df, "id", "left")
+    some = F.col("features") > 0
+    twin = F.when(some, F.when(F.col("doc_id") != F.col("id"), F.col("id")).otherwise(F.col("other")))
     found = F.when(twin.isNull(), F.col("b")).when((F.col("score") == 100) & (F.col("b") < twin), F.col("b")).otherwise(twin)
-    out = known.select("doc_id", "n_bytes", "features", "filters", F.when(live, found).alias("match_id"), F.when(live & twin.isNotNull(), F.lit(100)).when(live, F.coalesce("score", F.lit(0))).otherwise(F.lit(0)).alias("score"))
-    for done in (classes, near, high):
+    out = known.select("doc_id", "n_bytes", "features", "filters", F.when(some, found).alias("match_id"), F.when(some & twin.isNotNull(), F.lit(100)).when(some, F.coalesce("score", F.lit(0))).otherwise(F.lit(0)).alias("score"))
+    for done in (classes, high, top, good):
         done.drop()
     return out
