@@ -38,7 +38,7 @@ ENTRY = np.dtype([("pair", np.uint64), ("h", np.uint64), ("sketch", np.uint64),
 LINE = np.dtype([("h", np.uint64), ("doc", np.int64), ("rev", np.int64), ("line", np.int32), ("live", np.uint8)])
 #: A count of words from which on lengths and buckets aren't held against each other.
 MANY = 65_535
-MET = "h bigint, doc_id bigint, rev bigint, line int, f_doc bigint, f_rev bigint, f_line int, n bigint, cell bigint, lead bigint"
+MET = "h bigint, doc_id bigint, rev bigint, line int, f_doc bigint, f_rev bigint, f_line int, n bigint, cell bigint, lead bigint, words int, sketch bigint"
 
 
 def split_lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +144,7 @@ def may_be_near(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> n
 
 def met(docs: DataFrame) -> DataFrame:
     """Rows of MET: every occurrence of a line that has words, with the first one of the same h and how many there are; and the lines h of
-    each cell, with the least of them.  Any two near lines are in one cell."""
+    each cell, with the least of them that it may be near (else itself), its number of words and sketch.  Any two near lines are in one cell."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,7 @@ def met(docs: DataFrame) -> DataFrame:
 
 
 def _met(rows: int, **given: pa.Array) -> pa.RecordBatch:
-    kinds = {"line": pa.int32(), "f_line": pa.int32()}
+    kinds = {"line": pa.int32(), "f_line": pa.int32(), "words": pa.int32()}
     names = [x.split()[0] for x in MET.split(", ")]
     return pa.RecordBatch.from_arrays([given[c].cast(kinds.get(c, pa.int64())) if c in given else pa.nulls(rows, kinds.get(c, pa.int64())) for c in names], names=names)
 
@@ -257,19 +257,25 @@ def _edges(e: np.ndarray) -> Iterator[pa.RecordBatch]:
     e, pair, h = e[order], pair[order], h[order]
     start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
     size = np.diff(np.append(start, len(pair)))
-    root = labels(*linked(start, size, e["words"].astype(np.int64), e["sketch"].copy()), len(pair))
+    words, sketch = e["words"].astype(np.int64), e["sketch"].copy()
+    root = labels(*linked(start, size, words, sketch), len(pair))
     inside = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
     if len(inside):
+        inside = inside[np.argsort(root[inside], kind="stable")]
         root, h = root[inside], h[inside]
-        order = np.argsort(root, kind="stable")
-        root, h = root[order], h[order]
         edge = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
         many = np.diff(np.append(edge, len(root)))
-        cell = K.mix(np.add.reduceat(K.mix(h), edge) + many.astype(np.uint64))  # the same for cells of the same lines
-        made = np.unique(np.stack([np.repeat(cell, many), h], 1).view(np.int64), axis=0)
-        first = np.flatnonzero(np.concatenate([[True], made[1:, 0] != made[:-1, 0]]))
-        lead = np.repeat(made[first, 1], np.diff(np.append(first, len(made))))
-        yield _met(len(made), h=pa.array(made[:, 1]), cell=pa.array(made[:, 0]), lead=pa.array(lead))
+        cell = np.repeat(K.mix(np.add.reduceat(K.mix(h), edge) + many.astype(np.uint64)), many).view(np.int64)  # the same for cells of the same lines
+        h = h.view(np.int64)
+        order = np.lexsort((h, cell))
+        cell, h, inside = cell[order], h[order], inside[order]
+        fresh = np.concatenate([[True], (cell[1:] != cell[:-1]) | (h[1:] != h[:-1])])
+        cell, h, inside = cell[fresh], h[fresh], inside[fresh]
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        at = np.repeat(first, np.diff(np.append(first, len(cell))))
+        words, sketch = words[inside], sketch[inside]
+        lead = np.where(may_be_near(words, sketch, words[at], sketch[at]), h[at], h)
+        yield _met(len(cell), h=pa.array(h), cell=pa.array(cell), lead=pa.array(lead), words=pa.array(words), sketch=pa.array(sketch.view(np.int64)))
 
 
 def linked(start: np.ndarray, size: np.ndarray, words: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -447,14 +453,34 @@ def near_pairs(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
 
 
 def grouped(cells: DataFrame, seqs: DataFrame) -> DataFrame:
-    """(node, root): the components of the near lines of each of ``cells`` (cell, lead, h)."""
+    """(node, root): the components of the near lines of each of ``cells`` (cell, lead, h, words, sketch)."""
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        cell, h, root, words, sketch = (table[c].to_numpy() for c in ("cell", "h", "root", "words", "sketch"))
+        order = np.argsort(cell, kind="stable")
+        cell, h, root, words, sketch = cell[order], h[order], root[order], words[order].astype(np.int64), sketch[order].view(np.uint64)
+        start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        for s, m in zip(start, np.diff(np.append(start, len(cell))), strict=True):
+            step = max(1, (1 << 18) // m)
+            for lo in range(0, m, step):
+                x, y = (z.ravel() for z in np.broadcast_arrays(np.arange(s + lo, s + min(lo + step, m))[:, None], np.arange(s, s + m)[None, :]))
+                other = (h[x] < h[y]) & (root[x] != root[y])
+                x, y = x[other], y[other]
+                near = may_be_near(words[x], sketch[x], words[y], sketch[y])
+                if near.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(h[x[near]]), pa.array(h[y[near]])], names=["a", "b"])
+
     first = Shared(near_pairs(cells.filter("lead <> h").select(F.col("lead").alias("a"), F.col("h").alias("b")).distinct(), seqs), shuffled=True)
     root = Shared(components(first.df))
-    named = cells.select("cell", "h").join(sized(root.df.toDF("h", "root")), "h", "left").select("cell", "h", F.coalesce("root", "h").alias("root"))
+    named = cells.drop("lead").join(sized(root.df.toDF("h", "root")), "h", "left").select("cell", "h", F.coalesce("root", "h").alias("root"), "words", "sketch")
     torn = Shared(named.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("cell"))
     left = Shared(named.join(sized(torn.df), "cell"))
-    x, y = left.df.toDF("cell", "a", "ra"), left.df.toDF("cell", "b", "rb")
-    rest = x.join(y, "cell").filter("a < b and ra <> rb").select("a", "b").distinct()  # lines that may be near, but not by the first ones of their cells
+    # lines that may be near, but not by the first ones of their cells
+    rest = arrow(left.df.repartition("cell"), cross, "a bigint, b bigint").distinct()
     second = Shared(near_pairs(rest, seqs), shuffled=True)
     out = components(first.df.unionByName(second.df))
     for done in (first, root, torn, left, second):
@@ -469,8 +495,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     doc_id and text are one document.  Of occurrences in texts of one doc_id that of the text with the lesser hash comes first.  Texts of any
     length are read in blocks of lines.  An empty table gives an empty result; columns other than doc_id and text are not looked at."""
     out = Shared(met(docs), shuffled=True)
-    seen = out.df.filter("cell is null").drop("cell", "lead")
-    cells = Shared(out.df.filter("cell is not null").select("cell", "lead", "h").distinct())
+    seen = out.df.filter("cell is null").drop("cell", "lead", "words", "sketch")
+    cells = Shared(out.df.filter("cell is not null").select("cell", "lead", "h", "words", "sketch").dropDuplicates(["cell", "h"]))
     first = F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("rev") == F.col("f_rev")) & (F.col("line") == F.col("f_line"))
     asked = Shared(cells.df.select("h").distinct())
     tied = Shared(seen.filter(first).join(sized(asked.df), "h").select("h", "doc_id", "rev", "line").distinct())
