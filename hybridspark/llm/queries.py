@@ -28,11 +28,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The real type and embedded media of every payload of a media column made from the pages."""
-    one = F.col("embedded")[0]
+    """The real type of every payload of a media column made from the pages, with a row for each structure embedded in it, or one without."""
     found = media.sniffed(media.media_column(read(spark, sf_dir, "pages")))
-    inner = F.when(F.size("embedded") > 0, one)
-    return found.select(F.col("media_id").alias("page_id"), "declared", "detected", "corrected", "n_bytes", "length", inner["offset"].alias("embedded_at"), inner["length"].alias("embedded_length"), inner["type"].alias("embedded_type"))
+    each = found.select("*", F.posexplode_outer("embedded").alias("part", "e"))
+    inner = (F.col("e.offset").alias("embedded_at"), F.col("e.length").alias("embedded_length"), F.col("e.type").alias("embedded_type"), F.col("e.md5").alias("embedded_md5"))
+    return each.select(F.col("media_id").alias("page_id"), "declared", "detected", "corrected", "n_bytes", "length", "part", *inner)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
