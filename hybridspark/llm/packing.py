@@ -3,8 +3,12 @@
 Documents become items of at most ``capacity`` tokens (runs of non-space characters): a longer one is cut into
 full pieces and a rest.  Every partition packs its items best-fit decreasing and emits the bins that are nearly
 full.  An underfull bin becomes an item of the next round, in which FAN partitions are merged into one; rounds go
-on until a single partition has packed what is left.  Only ids and lengths move, never text, and of these only the
-members of underfull bins, a few for each partition.
+on until a single partition has packed what is left.  Best-fit leaves at most one bin that is no more than half full, and
+two that are more than half full never fit together.  So a merge of FAN partitions has at most FAN small items to place, and a
+partition that hands on its small bin and its FAN roomiest others hands on all that can matter; the rest is emitted too.  What a
+merging task gets is bounded by FAN, whatever the input.  Only ids and lengths move, never text.
+
+The packing depends on how the table is split into partitions; the same files under the same settings give the same bins.
 """
 
 from __future__ import annotations
@@ -57,10 +61,17 @@ def best_fit(items: list[tuple[int, tuple, list]], capacity: int) -> list[tuple[
     return bins
 
 
-def _rows(bins: list, full: int, last: bool, tag: str) -> Iterator[pa.RecordBatch]:
+def carried(bins: list[tuple[int, list]], capacity: int, full: int, fan: int) -> set[int]:
+    """Which of the bins of a task go on to the next round: of those under ``full`` all that are at most half full and the ``fan`` roomiest others."""
+    under = [i for i, b in enumerate(bins) if b[0] < full]
+    small = [i for i in under if 2 * bins[i][0] <= capacity]
+    return {*small, *sorted((i for i in under if 2 * bins[i][0] > capacity), key=lambda i: (bins[i][0], i))[:fan]}
+
+
+def _rows(bins: list, on: set[int], tag: str) -> Iterator[pa.RecordBatch]:
     for lo in range(0, len(bins), 4096):
         part = bins[lo : lo + 4096]
-        yield pa.RecordBatch.from_pylist([{"bin": f"{tag}-{lo + k}", "fill": fill, "done": last or fill >= full, "members": [m for _, ms in inner for m in ms]} for k, (fill, inner) in enumerate(part)], schema=PACKED)
+        yield pa.RecordBatch.from_pylist([{"bin": f"{tag}-{lo + k}", "fill": fill, "done": lo + k not in on, "members": [m for _, ms in inner for m in ms]} for k, (fill, inner) in enumerate(part)], schema=PACKED)
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, full: float = FULL, fan: int = FAN) -> DataFrame:
@@ -68,7 +79,8 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, full: float = FULL, fan: i
 
     Pieces are numbered from 0, first_token is a piece's offset in its document.  A document without tokens (empty,
     blank or null) has no piece.  Rows that repeat a doc_id are packed each; a null doc_id stays null.  Items of equal
-    length are taken by doc_id and piece.  An empty table gives no bins; other columns are not looked at."""
+    length are taken by doc_id and piece.  A text of any length is only counted, by the JVM.  An empty table gives no bins; other
+    columns are not looked at, so their names can't clash."""
     least = int(-(-capacity * full // 1))
     cut = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), tokens(F.col("text")).alias("n")).filter("n > 0")
 
@@ -79,7 +91,8 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, full: float = FULL, fan: i
                 for piece, at in enumerate(range(0, n, capacity)):
                     size = min(capacity, n - at)
                     items.append((size, (d is None, d or 0, piece), [{"doc_id": d, "piece": piece, "start": at, "tokens": size}]))
-        yield from _rows(best_fit(items, capacity), least, False, f"0-{pid}")
+        bins = best_fit(items, capacity)
+        yield from _rows(bins, carried(bins, capacity, least, fan), f"0-{pid}")
 
     def merge(last: bool, level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +101,8 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, full: float = FULL, fan: i
                 for r in batch.to_pylist():
                     m = r["members"][0]
                     items.append((r["fill"], (m["doc_id"] is None, m["doc_id"] or 0, m["piece"], r["bin"]), r["members"]))
-            yield from _rows(best_fit(items, capacity), least, last, f"{level}-{pid}")
+            bins = best_fit(items, capacity)
+            yield from _rows(bins, set() if last else carried(bins, capacity, least, fan), f"{level}-{pid}")
 
         return run
 
