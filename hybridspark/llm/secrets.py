@@ -1,14 +1,22 @@
 """Secret scans: a character convolutional network in numpy over every candidate and its surroundings.
 
-Candidates are found in the bytes of whole texts: runs of the characters that keys are made of, at least MIN_RUN long with
-a digit among them, and values of at least MIN_VALUE characters behind ``=`` or ``:``.  The network reads BEFORE bytes of
+Candidates are found in the bytes of whole texts:
+
+* runs of the characters that keys are made of, at least MIN_RUN long with a digit among them;
+* values behind ``=`` or ``:``, over any blanks: what stands in quotes, or else all up to white space without closing signs; of at
+  least MIN_VALUE bytes, or of MIN_NAMED behind a name that speaks of secrets;
+* the bodies of PEM private keys.
+
+A run inside of a value that is hardly longer isn't given apart.  The network reads BEFORE bytes of
 context, WIDTH bytes of the candidate and AFTER bytes behind; a longer candidate is read in several windows, of which the
 best counts.  Bytes and their part (context or candidate) are embedded, convolved, rectified and pooled for each part.
 
-It is trained on labelled findings that ``findings`` writes from a fixed seed: keys, tokens and passwords of many kinds
-in prose and configuration, against commit and file hashes, UUIDs, addresses, numbers, placeholders and long words.  A
+It is trained on labelled findings that ``findings`` writes from a fixed seed: keys, tokens, PEM bodies and passwords of many kinds
+in prose and configuration, against commit and file hashes, UUIDs, addresses, numbers, placeholders, certificates and long words.  A
 logistic curve fitted on a part that training didn't see calibrates its scores, and the threshold is the highest at
-which that part's recall is at least RECALL.
+which that part's recall is at least RECALL; a held-out secret that isn't found as a candidate counts as missed.
+
+Training takes about ten seconds of the driver, once for a Python session; it depends on the seed only.
 """
 
 from __future__ import annotations
@@ -16,6 +24,7 @@ from __future__ import annotations
 import base64
 import functools
 import random
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,36 +36,101 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import arrow
 
-MIN_RUN, MIN_VALUE, BEFORE, WIDTH, AFTER, RECALL, SEED = 16, 8, 32, 64, 16, 0.98, 8
+MIN_RUN, MIN_VALUE, MIN_NAMED, BEFORE, WIDTH, AFTER, RECALL, SEED = 16, 8, 4, 32, 64, 16, 0.98, 8
 TRAIN, HELD, EPOCHS, EMBED, FILTERS, SPAN = 6_000, 2_000, 6, 10, 32, 5
 LENGTH = BEFORE + WIDTH + AFTER
 SCHEMA = "doc_id bigint, start bigint, length bigint, score double, secret boolean"
 KEY = np.zeros(256, bool)
 KEY[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-."]] = True
+BLANK, SPACE, CLOSING = (np.isin(np.arange(256), list(x)) for x in (b" \t>", b" \t\r\n\v\f", b",;)]}\"'`.>"))
+_NAMED = re.compile(rb"(?i)(?:pass(?:w(?:or)?d|phrase|code)?|pwd|pw|secret|token|api[_-]?key|apikey|auth|credentials?|private|_key|key)[\"'`]?[ \t]*$")
+_PEM = re.compile(rb"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----")
 
 
 def candidates(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of each candidate."""
+    """(start, end, row) of each candidate, in order."""
+    none = np.zeros(0, np.int64)
+    if not len(data):
+        return none, none, none
     start, end, row = K.words(data, off, KEY)
-    if not len(start):
-        return start, end, row
-    trail = data[end - 1] == 46  # a full stop behind isn't part of it
-    end = end - trail
-    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+    end = end - (data[end - 1] == 46) if len(end) else end  # a full stop behind isn't part of it
+    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57), dtype=np.int32)])
     long = (end - start >= MIN_RUN) & (digits[end] > digits[start])
-    head, value = off[row], end - start >= MIN_VALUE
-    sign = np.zeros(len(start), bool)
-    at, open_ = start - 1, value.copy()
-    for _ in range(4):  # over quotes and spaces, back to a sign of assignment
-        open_ &= at >= head
-        c = np.where(open_, data[np.maximum(at, 0)], 0)
-        sign |= open_ & ((c == 61) | (c == 58))
-        open_ &= (c == 32) | (c == 34) | (c == 39) | (c == 96) | (c == 62)
-        at = at - 1
-    keep = long | (value & sign)
+    start, end, row = start[long], end[long], row[long]
+    vs, ve, vr = _values(data, off)
+    ps, pe, pr = _pem(data, off)
+    vs, ve, vr = (np.concatenate(x) for x in ((vs, ps), (ve, pe), (vr, pr)))
+    order = np.lexsort((-ve, vs))
+    vs, ve, vr = vs[order], ve[order], vr[order]
+    fresh = np.ones(len(vs), bool)
+    fresh[1:] = (vs[1:] != vs[:-1]) | (ve[1:] != ve[:-1])
+    vs, ve, vr = vs[fresh], ve[fresh], vr[fresh]
+    if len(vs):
+        # a run in the value that begins last before it, of at least two thirds of its length, is that value
+        at = np.searchsorted(vs, start, "right") - 1
+        inside = (at >= 0) & (end <= ve[np.maximum(at, 0)]) & (3 * (end - start) >= 2 * (ve - vs)[np.maximum(at, 0)])
+        start, end, row = start[~inside], end[~inside], row[~inside]
+    start, end, row = (np.concatenate(x) for x in ((start, vs), (end, ve), (row, vr)))
+    order = np.lexsort((end, start))
+    return start[order], end[order], row[order]
+
+
+def _values(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values behind signs of assignment, within their line."""
+    n = len(data)
+    sign = np.flatnonzero((data == 61) | (data == 58))
+    row = np.searchsorted(off, sign, "right") - 1
+    full = np.flatnonzero(~BLANK[data] & (data != 61))
+    at = np.searchsorted(full, sign + 1)
+    start = np.where(at < len(full), full[np.minimum(at, len(full) - 1)] if len(full) else n, n)
+    line = np.flatnonzero(data == 10)
+    stop = np.minimum(np.append(line, n)[np.searchsorted(line, sign)], off[row + 1])  # the end of the sign's line
+    keep = start < stop
+    sign, row, start, stop = sign[keep], row[keep], start[keep], stop[keep]
+    space = np.append(np.flatnonzero(SPACE[data]), n)
+    end = np.minimum(space[np.searchsorted(space, start)], stop)
+    quoted = np.zeros(len(start), bool)
+    for q in b"\"'`":
+        own = np.flatnonzero(data[start] == q)
+        marks = np.append(np.flatnonzero(data == q), n)
+        close = marks[np.searchsorted(marks, start[own] + 1)]
+        ok = close < stop[own]
+        own, close = own[ok], close[ok]
+        start[own] += 1
+        end[own] = close
+        quoted[own] = True
+    bare = ~quoted
+    while True:  # closing signs behind, and a quote that isn't closed before
+        cut = bare & (end > start) & CLOSING[data[np.maximum(end - 1, 0)]]
+        if not cut.any():
+            break
+        end = end - cut
+    start = start + (bare & (start < end) & np.isin(data[np.minimum(start, n - 1)], list(b"\"'`([{")))
+    # what stands before an @ in a value that goes on behind it, as in an address with a password
+    mail = np.append(np.flatnonzero(data == 64), n)
+    close = mail[np.searchsorted(mail, start)]
+    cut = np.flatnonzero(bare & (close > start) & (close < end))
+    sign, row, start, end = (np.concatenate([x, y]) for x, y in ((sign, sign[cut]), (row, row[cut]), (start, start[cut]), (end, close[cut])))
+    size = end - start
+    named = np.zeros(len(start), bool)
+    for i in np.flatnonzero((size >= MIN_NAMED) & (size < MIN_VALUE)):
+        named[i] = _NAMED.search(data[max(int(off[row[i]]), int(sign[i]) - 40) : sign[i]].tobytes()) is not None
+    keep = (size >= MIN_VALUE) | named
     return start[keep], end[keep], row[keep]
 
 
+def _pem(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bodies of private keys, up to their end mark or the end of the row."""
+    raw = data.tobytes()
+    found = []
+    for m in _PEM.finditer(raw):
+        row = int(np.searchsorted(off, m.start(), "right")) - 1
+        end = raw.find(b"-----END", m.end(), int(off[row + 1]))
+        found.append((m.end(), end if end >= 0 else int(off[row + 1]), row))
+    made = np.array([x for x in found if x[1] > x[0]], np.int64).reshape(-1, 3)
+    return made[:, 0], made[:, 1], made[:, 2]
+
+
 def windows(data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, part, candidate) of each window: uint8 arrays of LENGTH columns; outside of the row bytes are 0."""
     many = np.maximum(1, -(-(end - start) // WIDTH))
@@ -100,7 +174,7 @@ class Network:
             ix = masked.argmax(1)
             arg.append(ix)
             pooled.append(np.take_along_axis(masked, ix[:, None, :], 1)[:, 0])
-        share = (mid == 2) / np.maximum((mid == 2).sum(1, keepdims=True), 1)
+        share = ((mid == 2) / np.maximum((mid == 2).sum(1, keepdims=True), 1)).astype(a.dtype)
         pooled.append(np.einsum("np,npf->nf", share, a))
         x = np.concatenate([*pooled, np.ones((n, 1), a.dtype)], 1)
         return x @ self.out, (cols, a, mid, arg, share, x)
@@ -118,7 +192,7 @@ class Network:
         flat = da.reshape(-1, FILTERS)
         dconv = cols.reshape(-1, EMBED * SPAN).T @ flat
         dcols = (flat @ self.conv.T).reshape(n, places, EMBED, SPAN)
-        de = np.zeros((n, LENGTH, EMBED))
+        de = np.zeros((n, LENGTH, EMBED), a.dtype)
         for s in range(SPAN):
             de[:, s : s + places] += dcols[:, :, :, s]
         de = de.reshape(-1, EMBED)
@@ -154,7 +228,18 @@ def findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
         return (q + name + q if q and r.random() < 0.2 else name) + sign + q, q
 
     def secret() -> tuple[str, str, str]:
-        k = r.randrange(9)
+        k = r.randrange(12)
+        if k == 9:  # a private key
+            kind = r.choice(["RSA ", "EC ", "", "OPENSSH ", "ENCRYPTED "])
+            return f"-----BEGIN {kind}PRIVATE KEY-----", "\n" + "\n".join(b64(48) for _ in range(r.randint(1, 4))) + "\n", f"-----END {kind}PRIVATE KEY-----"
+        if k == 10:  # a password with signs
+            before, q = assigned()
+            value = list(word(1, 2) + pick(_B62, r.randint(2, 8)) + pick("!@#$%^&*?~+-=_.", r.randint(1, 4)))
+            r.shuffle(value)
+            return before, "".join(value), q
+        if k == 11:  # a short one
+            name = r.choice(["password", "passwd", "pwd", "pass", "PASSWORD", "db_password", "secret"])
+            return name + r.choice(["=", ": ", ":\t", " = ", ":      "]), word(1, 1)[:4] + pick("0123456789", r.randint(1, 3)) + r.choice(["", "!", "#", "$"]), r.choice(["", "\n"])
         if k < 4:
             before, q = assigned()
             value = r.choice([lambda: hexa(r.choice([32, 40, 48, 64])), lambda: pick(_B62, r.randint(20, 48)), lambda: b64(r.randint(18, 40)), lambda: pick(_B62 + "_-", r.randint(12, 32)), lambda: hexa(40)])()
@@ -171,7 +256,12 @@ def findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
         return before, word(1, 2).capitalize() + str(r.randint(10, 9999)) + r.choice(["-", "_", "."]) + pick(_B62, r.randint(3, 8)), q
 
     def other() -> tuple[str, str, str]:
-        k = r.randrange(12)
+        k = r.randrange(14)
+        if k == 12:  # a certificate or public key, and what isn't a value
+            kind = r.choice(["CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY"])
+            return f"-----BEGIN {kind}-----\n", b64(48), "\n"
+        if k == 13:
+            return r.choice(["note: ", "title: ", "Note:\t", "said: ", "label = ", "key: ", "password: ", "secret: "]), '"' + prose(r.randint(1, 4)) + '"' if r.random() < 0.5 else r.choice(["none", "null", "true", "required", "hidden", "********", "<your password>", "${PASSWORD}", "{{ secret }}", "forgotten"]), r.choice(["", " ", "."])
         if k == 0:
             return r.choice(["commit ", "revision ", "sha ", "git checkout ", "tree ", "merge "]), hexa(40), r.choice(["", " ", "."])
         if k == 1:
@@ -202,6 +292,8 @@ def findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
         before, value, behind = secret() if i % 2 else other()
         lead = (prose(r.randint(0, 8)) + r.choice([" ", "\n", " ", "", "### ", "\n  "])) if r.random() < 0.9 else ""
         tail = r.choice([" ", "\n", ", ", "", "### ", "!! ", ";\n"]) + prose(r.randint(0, 5))
+        if not (behind + tail)[:1] or (behind + tail)[0].isalnum():
+            tail = " " + tail  # a value ends somewhere
         if r.random() < 0.1 and not value.startswith(("ey", "gh", "sk", "xo", "np")):
             lead, before, value, behind, tail = (x.upper() for x in (lead, before, value, behind, tail))
         out.append((lead + before, value, behind + tail, i % 2))
@@ -209,6 +301,7 @@ def findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
 
 
 def prepared(found: list[tuple[str, str, str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, part, label) of the first window of each finding."""
     raws, parts, y = [], [], []
     for before, value, behind, label in found:
         b, v, e = before.encode(), value.encode(), behind.encode()
@@ -220,11 +313,26 @@ def prepared(found: list[tuple[str, str, str, int]]) -> tuple[np.ndarray, np.nda
     return np.concatenate(raws), np.concatenate(parts), np.array(y, float)
 
 
+def missed(found: list[tuple[str, str, str, int]]) -> np.ndarray:
+    """Whether each finding's value is no candidate of its text: one that covers nine tenths of it and is no more than half longer."""
+    texts = [(b.encode(), v.strip().encode(), e.encode(), len(v.encode()) - len(v.lstrip().encode())) for b, v, e, _ in found]
+    data = np.frombuffer(b"".join(b + b" " * lead + v + e for b, v, e, lead in texts), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(b) + lead + len(v) + len(e) for b, v, e, lead in texts])])
+    start, end, row = candidates(data, off)
+    low = off[:-1] + [len(b) + lead for b, _, _, lead in texts]
+    high = low + [len(v) for _, v, _, _ in texts]
+    over = np.minimum(end, high[row]) - np.maximum(start, low[row])
+    good = (10 * over >= 9 * (high - low)[row]) & (2 * (end - start) <= 3 * (high - low)[row] + 8)
+    out = np.ones(len(found), bool)
+    out[row[good]] = False
+    return out
+
+
 @functools.lru_cache(maxsize=2)
 def trained(seed: int = SEED, n: int = TRAIN, epochs: int = EPOCHS) -> Network:
     raw, part, y = prepared(findings(n, seed))
     rng = np.random.default_rng(seed)
-    net = Network(rng.normal(0, 0.3, (129, EMBED)), rng.normal(0, 0.3, (4, EMBED)), rng.normal(0, (2 / (EMBED * SPAN)) ** 0.5, (EMBED * SPAN, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.05, 4 * FILTERS + 1))
+    net = Network(*(w.astype(np.float32) for w in (rng.normal(0, 0.3, (129, EMBED)), rng.normal(0, 0.3, (4, EMBED)), rng.normal(0, (2 / (EMBED * SPAN)) ** 0.5, (EMBED * SPAN, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.05, 4 * FILTERS + 1))))
     weights = [net.chars, net.parts, net.conv, net.bias, net.out]
     m, v, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
     for epoch in range(epochs):
@@ -232,21 +340,22 @@ def trained(seed: int = SEED, n: int = TRAIN, epochs: int = EPOCHS) -> Network:
         for lo in range(0, n, 64):
             ids = order[lo : lo + 64]
             z, kept = net.forward(raw[ids], part[ids])
-            dz = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[ids]) / len(ids)
+            dz = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[ids]) / len(ids)).astype(np.float32)
             step += 1
             rate = 0.004 * (1 - epoch / (epochs + 1))
             for i, g in enumerate(net.backward(raw[ids], part[ids], kept, dz)):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
-                weights[i] -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    raw, part, y = prepared(findings(HELD, seed + 1))
+                weights[i] -= (rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    held = findings(HELD, seed + 1)
+    raw, part, y = prepared(held)
     z = np.concatenate([net.forward(raw[i : i + 512], part[i : i + 512])[0] for i in range(0, len(raw), 512)])
     a, b = 1.0, 0.0
     for _ in range(300):  # Platt's curve
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
         a, b = a - 0.05 * float(((p - y) * z).mean()), b - 0.05 * float((p - y).mean())
     net.slope, net.shift = a, b
-    hits = np.sort(net.score(raw, part)[y == 1])
+    hits = np.sort(np.where(missed(held), 0.0, net.score(raw, part))[y == 1])
     net.threshold = float(min(hits[int((1 - RECALL) * len(hits))], 0.9))
     return net
 
@@ -254,8 +363,9 @@ def trained(seed: int = SEED, n: int = TRAIN, epochs: int = EPOCHS) -> Network:
 def scanned(docs: DataFrame, net: Network | None = None) -> DataFrame:
     """(doc_id, start, length, score, secret) of every candidate of every row; start and length count characters.
 
-    A null or empty text has no candidates; a null doc_id stays null; rows that repeat are each scanned.  An empty table gives an
-    empty result.  Columns other than doc_id and text are not looked at."""
+    A null or empty text has no candidates; a null doc_id stays null; rows that repeat are each scanned.  Candidates of one text that
+    overlap are each given.  A text of any length is scanned as a whole, a candidate of any length in windows.  An empty table gives an
+    empty result.  Columns other than doc_id and text are not looked at, so their names can't clash."""
     net = net or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

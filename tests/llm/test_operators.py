@@ -4,7 +4,9 @@ import gzip
 import io
 import math
 import random
+import re
 import struct
+import time
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -203,6 +205,31 @@ def archive(name="a", data=b"hello"):
     return out.getvalue()
 
 
+def crc(data, bits, poly):
+    c = 0
+    for x in data:
+        c ^= x << bits - 8
+        for _ in range(8):
+            c = (c << 1 ^ (poly if c >> bits - 1 else 0)) & (1 << bits) - 1
+    return c
+
+
+def flac(frames):
+    info = struct.pack(">HH", 16, 16) + bytes(6) + (44100 << 44 | 15 << 36 | 16 * frames).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC" + b"\x80" + len(info).to_bytes(3, "big") + info
+    for i in range(frames):
+        head = bytes([0xFF, 0xF8, 0x69, 0x08, i, 15])
+        head += bytes([crc(head, 8, 0x07)])
+        body = head + b"\0" + struct.pack(">h", 1000 * i + 7)
+        out += body + crc(body, 16, 0x8005).to_bytes(2, "big")
+    return out
+
+
+def whole_pdf(inner=b""):
+    body = b"%PDF-1.4\n1 0 obj\n<<>>stream\n" + inner + b"\nendstream\nendobj\n"
+    return body + b"xref\n0 1\n0000000000 65535 f \ntrailer <<>>\nstartxref\n%d\n%%%%EOF\n" % len(body)
+
+
 def samples():
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x03x" + b"q\xff\x00z" + b"\xff\xd9"
     gif = b"GIF89a" + bytes([1, 0, 1, 0, 0x80, 0, 0]) + bytes(6) + b"\x2c" + bytes(8) + b"\0" + b"\x02\x02ab\0" + b";"
@@ -212,7 +239,8 @@ def samples():
     ogg = b"OggS\0\x04" + bytes(20) + bytes([1, 3]) + b"abc"
     mp4 = struct.pack(">I", 12) + b"ftypisom" + struct.pack(">I", 12) + b"mdatabcd"
     pdf = b"%PDF-1.7\nx\nstartxref\n0\n%%EOF\n"
-    return {"image/png": png(), "image/jpeg": jpeg, "image/gif": gif, "audio/wav": wav, "image/webp": webp, "image/bmp": bmp, "audio/ogg": ogg, "video/mp4": mp4, "application/pdf": pdf, "application/zip": archive(), "application/gzip": gzip.compress(b"hello")}
+    avi = b"RIFF" + struct.pack("<I", 4 + 8 + 4) + b"AVI " + b"LIST" + struct.pack("<I", 4) + b"movi"
+    return {"video/avi": avi, "audio/flac": flac(3),"image/png": png(), "image/jpeg": jpeg, "image/gif": gif, "audio/wav": wav, "image/webp": webp, "image/bmp": bmp, "audio/ogg": ogg, "video/mp4": mp4, "application/pdf": pdf, "application/zip": archive(), "application/gzip": gzip.compress(b"hello")}
 
 
 @pytest.mark.parametrize("kind", samples())
@@ -225,11 +253,46 @@ def test_formats(kind):
         assert media.sniff(raw[:-1], kind, made)[0] != kind  # cut off: not what it seems
 
 
+def test_nested_and_following_structures():
+    made = media.automaton()
+    inner = archive("x", b"data")
+    assert media.structures(archive("outer.zip", inner), made) == [(0, len(archive("outer.zip", inner)), "application/zip"), (39, len(inner), "application/zip")]
+    two = io.BytesIO()
+    with zipfile.ZipFile(two, "w") as z:
+        z.writestr("a", b"1")
+        z.writestr("b", b"2")
+    assert [x[0] for x in media.structures(two.getvalue(), made)] == [0]  # the header of b isn't an archive
+    p = whole_pdf()
+    assert media.structures(whole_pdf(p), made) == [(0, len(whole_pdf(p)), "application/pdf"), (28, len(p), "application/pdf")]
+    assert media.structures(b"?" + p + p, made) == [(1, len(p), "application/pdf"), (1 + len(p), len(p), "application/pdf")]
+    thumb = samples()["image/jpeg"]
+    jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", 2 + len(thumb)) + thumb + b"\xff\xda\x00\x03xq\xff\xd9"
+    assert media.structures(jpeg, made) == [(0, len(jpeg), "image/jpeg"), (6, len(thumb), "image/jpeg")]
+    assert [x[:2] for x in media.structures(flac(2) + b"--" + flac(4), made)] == [(0, len(flac(2))), (len(flac(2)) + 2, len(flac(4)))]
+    assert media.structures(flac(0), made) == []  # a header alone
+
+
+@pytest.mark.parametrize("raw,kind", [(b"<!doctype HTML><body>x", "text/html"), (b"\xef\xbb\xbf \n<HTML lang=de><p>x</p>", "text/html"), (b"<!-- a --><!DOCTYPE html>\n<title>x", "text/html"), (b"<htmlish><p>", media.UNKNOWN), (b"text <html><body>", media.UNKNOWN)])
+def test_pages(raw, kind):
+    assert media.sniff(raw, None, media.automaton())[0] == kind
+
+
+def test_hostile_payloads_take_linear_time():
+    made = media.automaton()
+    for piece in (b"PK\x03\x04PK\x05\x06", b"%PDF-1.4 startxref 0 %%EOF ", b"fLaC", b"OggS", b"\xff\xd8\xff\xe0\xff\xff", b"\x1f\x8b\x08"):
+        began = time.process_time()
+        media.structures(piece * (300_000 // len(piece)), made)
+        assert time.process_time() - began < 20
+
+
 def test_carving(spark):
     inner = samples()["audio/wav"]
     payload = archive("x", inner)
     frame = spark.createDataFrame([(1, bytearray(b"junk" + png() + b"--" + inner), "image/png"), (2, bytearray(payload), None)], "media_id bigint, payload binary, declared string")
-    cut = {(r["media_id"], r["type"]): bytes(r["payload"]) for r in media.carved(frame).collect()}
+    assert media.sniffed(frame.withColumn("offset", F.lit(1)).withColumn("type", F.lit("x"))).count() == 2
+    cut = {(r["media_id"], r["type"]): bytes(r["payload"]) for r in media.carved(frame.withColumn("offset", F.lit(1))).collect()}
+    odd = spark.createDataFrame([(None, bytearray(png()[:20]), None), (4, None, None), (5, bytearray(b""), None), (None, bytearray(b"x" + png()), None)] , "media_id bigint, payload binary, declared string")
+    assert [(r["media_id"], r["offset"]) for r in media.carved(odd).collect()] == [(None, 1)] and media.carved(odd.limit(0)).collect() == []
     assert cut == {(1, "image/png"): png(), (1, "audio/wav"): inner, (2, "audio/wav"): inner}
     first = media.sniffed(frame).orderBy("media_id").collect()
     assert first[0]["detected"] == media.UNKNOWN and first[1]["detected"] == "application/zip" and first[1]["corrected"]
@@ -301,6 +364,40 @@ def test_packing_round_trip(spark):
     assert len(bins) <= 1.05 * len(packing.best_fit(items, 1024)) + 1  # near what one task would do with all of them
 
 
+def naive_best_fit(sizes, capacity):
+    bins = []
+    for s in sorted(sizes, reverse=True):
+        fits = [i for i, b in enumerate(bins) if sum(b) + s <= capacity]
+        if fits:
+            bins[max(fits, key=lambda i: sum(bins[i]))].append(s)
+        else:
+            bins.append([s])
+    return sorted(sorted(b) for b in bins)
+
+
+def test_one_partition_is_packed_as_by_brute_force(spark):
+    r = random.Random(61)
+    sizes = [r.choice([3, 40, 77, 200, 333, 700]) for _ in range(300)]
+    df = spark.createDataFrame([(i, prose(r, n)) for i, n in enumerate(sizes)], "doc_id bigint, text string").coalesce(1)
+    made = defaultdict(list)
+    for x in packing.packed(df, capacity=1024).collect():
+        made[x["bin_id"]].append(x["tokens"])
+    fill = lambda bins: sorted(sum(b) for b in bins)
+    assert fill(made.values()) == fill(naive_best_fit(sizes, 1024))
+
+
+def test_merging_tasks_stay_small(spark):
+    """Documents just above half a bin never fit together: they don't climb the tree, and a few small ones still find a place."""
+    r = random.Random(62)
+    df = spark.createDataFrame([(i, prose(r, 520 + i % 40)) for i in range(400)] + [(900 + i, prose(r, 100)) for i in range(40)], "doc_id bigint, text string").repartition(40)
+    rows = packing.packed(df, capacity=1024, fan=4).collect()
+    assert sum(x["tokens"] for x in rows) == sum(520 + i % 40 for i in range(400)) + 4000
+    assert len({x["bin_id"] for x in rows}) <= 401
+    bins = [(530 + i, []) for i in range(1000)] + [(300, []), (1020, [])]
+    on = packing.carried(bins, 1024, 1004, 4)
+    assert on == {1000, 0, 1, 2, 3}
+
+
 # -- 7
 
 
@@ -442,6 +539,67 @@ def test_secrets_in_text(spark):
     assert {(0, key), (3, key)} <= hit and 1 not in {d for d, _ in hit} and 2 not in {d for d, _ in hit}
 
 
+def brute_candidates(text):
+    """The definition of candidates, with regular expressions over a line at a time; ASCII texts."""
+    key = "0-9A-Za-z+/_.\\-"
+    runs = [(m.start(), m.end() - m[0].endswith(".")) for m in re.finditer(f"[{key}]+", text)]
+    runs = [(a, b) for a, b in runs if b - a >= secrets.MIN_RUN and re.search("[0-9]", text[a:b])]
+    values = set()
+    for m in re.finditer("[=:]", text):
+        stop = text.find("\n", m.start())
+        rest = text[m.end() : stop if stop >= 0 else len(text)]
+        lead = re.match("[ \t>=]*", rest).end()
+        a, rest = m.end() + lead, rest[lead:]
+        found = []
+        if rest[:1] in ("'", '"', "`") and rest.find(rest[0], 1) > 0:
+            found.append((a + 1, a + rest.find(rest[0], 1)))
+        elif rest:
+            bare = re.match(r"[^ \t\r\n\v\f]*", rest)[0]
+            whole = bare.rstrip(",;)]}\"'`.>")
+            head = whole[:1] in tuple("\"'`([{") and 1 or 0
+            found.append((a + head, a + len(whole)))
+            if "@" in whole[head:] and whole.index("@", head) > head:
+                found.append((a + head, a + whole.index("@", head)))
+        for lo, hi in found:
+            named = secrets._NAMED.search(text[max(0, m.start() - 40) : m.start()].encode())
+            if hi - lo >= secrets.MIN_VALUE or hi - lo >= secrets.MIN_NAMED and named:
+                values.add((lo, hi))
+    for m in re.finditer("-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----", text):
+        end = text.find("-----END", m.end())
+        values.add((m.end(), end if end >= 0 else len(text)))
+
+    def held(a, b):
+        before = [v for v in values if v[0] <= a]
+        lo, hi = max(before, key=lambda v: (v[0], -v[1])) if before else (0, 0)
+        return b <= hi and 3 * (b - a) >= 2 * (hi - lo)
+
+    return sorted(values | {r for r in runs if not held(*r)})
+
+
+def test_candidates_equal_brute_force():
+    texts = [b + v + e for b, v, e, _ in secrets.findings(1500, 31)]
+    texts = [t.encode("ascii", "replace").decode() for t in texts] + ["", "=", ":::", "a=", 'password = "p@ss!w0rd#x9$Q"', "key: '", "k=='abcdefgh'"]
+    raw = [t.encode() for t in texts]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    start, end, row = secrets.candidates(data, off)
+    got = defaultdict(list)
+    for a, b, i in zip(start, end, row, strict=True):
+        got[i].append((int(a - off[i]), int(b - off[i])))
+    for i, t in enumerate(texts):
+        assert sorted(set(got[i])) == brute_candidates(t), t
+
+
+def test_every_kind_of_secret_is_a_candidate_and_found(spark):
+    body = "\n".join("MIIEowIBAAKCAQEA" + "".join(random.Random(i).choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(48)) for i in range(3))
+    texts = {
+        1: 'password = "p@ss!w0rd#x9$Q"', 2: "password: P@ssw0rd!", 3: "db_password=hunt3r!", 4: "api_key:\t     x9Kf03jdLq82",
+        5: f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----", 6: "see postgres://admin:Zk38fjQ0x2@db.example.com/x",
+    }
+    rows = secrets.scanned(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).filter("secret").collect()
+    assert {r["doc_id"] for r in rows} == set(texts)
+    assert secrets.missed(secrets.findings(3000, 55))[1::2].mean() < 0.01
+
+
 # -- 9
 
 
