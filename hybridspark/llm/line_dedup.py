@@ -354,9 +354,9 @@ def close(flat: np.ndarray, off: np.ndarray, x: np.ndarray, y: np.ndarray) -> np
     by_length = np.argsort(longest, kind="stable")
     lo = 0
     while lo < len(x):
-        step = max(1, min(4096, (1 << 19) // max(int(longest[by_length[lo]]), 1)))
-        ids = by_length[lo : lo + step]
-        lo += step
+        some = longest[by_length[lo : lo + 4096]]
+        ids = by_length[lo : lo + max(1, int(np.searchsorted(some * np.arange(1, len(some) + 1), 1 << 18)))]  # pairs times the longest line
+        lo += len(ids)
         p, q = x[ids], y[ids]
         sa, na, sb, nb = off[p], size[p].copy(), off[q], size[q].copy()
         k = ((1 - SIMILARITY) * np.maximum(na, nb) + 1e-9).astype(np.int64)
