@@ -653,16 +653,28 @@ def test_license_join_equals_brute_force(spark):
     r = random.Random(11)
     pool = "the of to licensed under license version use this work a is x y z".split()
     templates = {f"t{i}": (" ".join(r.sample(pool, r.randint(3, 9))),) for i in range(12)}
-    docs = [(i, "\n".join(" ".join(r.choice(pool) for _ in range(r.randint(0, 14))) for _ in range(6))) for i in range(60)]
+    docs = [(i, "\n".join(" ".join(r.choice(pool) for _ in range(r.randint(0, 9))) for _ in range(r.randint(1, 9)))) for i in range(60)]
     want = set()
     for i, t in docs:
-        for k, line in enumerate(t.split("\n")):
-            for name, (x,) in templates.items():
-                s = set(license_scan.token_set(x))
-                if len(s & set(line.split())) >= license_scan.needed(len(s), 0.7):
-                    want.add((i, k, name))
+        lines = [x.split() for x in t.split("\n")]
+        for name, (x,) in templates.items():
+            s = set(license_scan.token_set(x))
+            runs = [(a, b) for a in range(len(lines)) for b in range(a, len(lines)) if len(s & {w for y in lines[a : b + 1] for w in y}) >= license_scan.needed(len(s), 0.7)]
+            least = [(a, b) for a, b in runs if not any((c, d) != (a, b) and a <= c and d <= b for c, d in runs)]
+            want |= {(i, a, b - a + 1, name) for a, b in least if a == b or sum(len(y) for y in lines[a : b + 1]) <= license_scan.STRETCH * len(x.split())}
     rows = license_scan.scan(spark.createDataFrame(docs, "doc_id bigint, text string"), templates, 0.7).collect()
-    assert {(x["doc_id"], x["line"], x["license"]) for x in rows} == want and len(rows) == len(want)
+    assert {(x["doc_id"], x["line"], x["lines"], x["license"]) for x in rows} == want and len(rows) == len(want)
+    assert sum(x["lines"] > 1 for x in rows) > 20
+
+
+def test_wrapped_notices(spark):
+    import textwrap
+
+    texts = [f"# intro of {name}\n" + "\n".join(textwrap.wrap(x, 40)) + "\n\nmore text of the work" for name, xs in license_scan.TEMPLATES.items() for x in xs]
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    names = [name for name, xs in license_scan.TEMPLATES.items() for _ in xs]
+    assert {(i, n) for i, n in enumerate(names)} <= {(x["doc_id"], x["license"]) for x in rows}
+    assert license_scan.scan(spark.createDataFrame([(1, "the license of the work is under the terms of use\n" * 50)], "doc_id bigint, text string")).collect() == []
 
 
 # -- pipeline
