@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -47,10 +48,12 @@ class Shared:
         schema = df.schema
         df.write.parquet(self.path)
         self._fs().deleteOnExit(self._at())
+        del df
         if shuffled:
-            del df
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
+            for wait in (0.5, 0.0):  # the listeners' queues hold plans for a moment
+                gc.collect()
+                self.spark.sparkContext._jvm.System.gc()
+                time.sleep(wait)
         self.df = self.spark.read.schema(schema).parquet(self.path)
 
     def _at(self):
