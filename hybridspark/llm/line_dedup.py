@@ -6,8 +6,9 @@ edit similarity of their word sequences, 1 - distance / longer length, is at lea
 connect form a group, of which the first occurrence (by doc_id, then line number) stays.
 
 Search.  k edits break at most 2k of a line's pairs of adjacent words, so two near lines share one of the 2k + 1 first pairs of
-each, in any one order of all pairs; k follows from the length.  The order puts pairs of long words first, as these are rare
-in any language; it only keeps the lists of lines with a common pair short.  Lines of a list are linked if their lengths and the
+each, in any one order of all pairs; k follows from the length.  The order puts pairs last that are frequent in the corpus (all are
+counted, in SLOTS slots), and of the others pairs of long words first, as these are rare in any language; it only keeps the lists
+of lines with a common pair short.  Lines of a list are linked if their lengths and the
 numbers of their words in BUCKETS buckets allow a distance within k; lines that links connect are a cell.  No near pair is lost by
 any of these steps.  One pass over the texts sends both a hash of each line and its pairs, in packed blocks, to the tasks in which
 equal ones meet.  Only lines of cells are read again and compared word by word: first each with the first line of its cells, then
@@ -32,7 +33,7 @@ from . import kernels as K
 from .common import Shared, arrow, components, labels, sized
 
 MIN_WORDS, SIMILARITY = 1, 0.85
-BUCKETS = 16
+BUCKETS, SLOTS = 16, 1 << 18
 ENTRY = np.dtype([("pair", np.uint64), ("h", np.uint64), ("sketch", np.uint64), ("words", np.uint16)])
 #: A line's occurrence; ``null`` marks a null doc_id, which counts as the least.
 LINE = np.dtype([("h", np.uint64), ("doc", np.int64), ("rev", np.int64), ("line", np.int32), ("live", np.uint8)])
@@ -89,12 +90,47 @@ def most_edits(words: np.ndarray) -> np.ndarray:
     return (np.floor(words / SIMILARITY + 1e-9) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
 
 
-def word_pairs(h: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, line) of the adjacent words of each line.  A pair's number orders all pairs: the longer its words, the less; then by hash."""
+def word_pairs(h: np.ndarray, at: np.ndarray, size: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, line) of the adjacent words of each line.  A pair's number orders all pairs: by how frequent its slot is, the longer its words the less, then by hash."""
     inside = np.flatnonzero(at[1:] == at[:-1])
     mixed = K.mix(h[inside] * K.U64(0x9FB21C651E98DF25) + K.mix(h[inside + 1]))
     length = np.minimum(size[inside], 31) + np.minimum(size[inside + 1], 31)
-    return (63 - length).astype(np.uint64) << K.U64(40) | mixed >> K.U64(24), at[inside]
+    return often[(mixed % K.U64(SLOTS)).astype(np.int64)].astype(np.uint64) << K.U64(43) | (63 - length).astype(np.uint64) << K.U64(37) | mixed >> K.U64(27), at[inside]
+
+
+def frequency(docs: DataFrame) -> np.ndarray:
+    """For each of SLOTS slots of pairs 0 if it holds at most twice as many as the mean, else how many times twice that, 7 at most; over all texts.
+
+    A task gives its counts as CHUNKS packed blocks, so that what is shuffled is bounded by the tasks and the driver gets one table."""
+    chunks = 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            data, off = K.buffers(batch.column(0))
+            for lo, hi in K.slices(off):
+                whole = data[off[lo] : off[hi]]
+                lines, _ = split_lines(whole, off[lo : hi + 1] - off[lo])
+                for a, b in K.slices(lines):
+                    h, at, _ = line_words(whole[lines[a] : lines[b]], lines[a : b + 1] - lines[a])
+                    inside = np.flatnonzero(at[1:] == at[:-1])
+                    mixed = K.mix(h[inside] * K.U64(0x9FB21C651E98DF25) + K.mix(h[inside + 1]))
+                    total += np.bincount((mixed % K.U64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([x.tobytes() for x in total.reshape(chunks, -1)], pa.binary())], names=["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                made[c] = made.get(c, 0) + np.frombuffer(x.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([x.tobytes() for x in made.values()], pa.binary())], names=["chunk", "counts"])
+
+    text = docs.filter("text is not null").select(F.col("text").cast("string"))
+    found = arrow(arrow(text, run, "chunk int, counts binary").repartition(chunks, "chunk"), add, "chunk int, counts binary").toArrow()  # 2 MB
+    total = np.zeros(SLOTS)
+    for c, x in zip(found["chunk"].to_pylist(), found["counts"].to_pylist(), strict=True):
+        total.reshape(chunks, -1)[c] = np.frombuffer(x, np.int64)
+    return np.clip(np.log2(np.maximum(total / max(total.mean(), 1.0), 1.0)), 0, 7).astype(np.uint8)
 
 
 def first_pairs(pair: np.ndarray, line: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,6 +182,7 @@ def met(docs: DataFrame) -> DataFrame:
     """Rows of MET: every occurrence of a line that has words, with the first one of the same h and how many there are; and the lines h of
     each cell, with the least of them that it may be near (else itself), its number of words and sketch.  Any two near lines are in one cell."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = frequency(docs)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = [], []
@@ -185,7 +222,7 @@ def met(docs: DataFrame) -> DataFrame:
                     once = np.zeros(len(row), bool)
                     once[np.unique(name, return_index=True)[1]] = True  # equal lines of a slice: once
                     live = ((k > 0) & once)[at]
-                    pair, line = first_pairs(*word_pairs(h[live], at[live], length[live]), 2 * k + 1)
+                    pair, line = first_pairs(*word_pairs(h[live], at[live], length[live], often), 2 * k + 1)
                     entry = np.empty(len(pair), ENTRY)
                     entry["pair"], entry["h"], entry["words"], entry["sketch"] = pair, name[line], np.minimum(count[line], MANY), sketches(h, at, len(row))[line]
                     held[0].append(seen)
