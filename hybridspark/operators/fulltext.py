@@ -1,11 +1,18 @@
-"""Full-text search: positional postings, boolean, phrase and proximity matching, BM25."""
+"""Full-text search: positional postings, boolean, phrase and proximity matching, BM25.
+
+An index is either over the token lists of the chunks themselves (``index``), in which a query finds the positions of its terms row by
+row without any shuffle, or stored (``Index.write``), in which postings are sorted by term so that a query reads only its terms."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,19 +26,31 @@ K1, B, FLOOR, OVERFETCH = 1.2, 0.75, 1e-6, 5
 
 @dataclass
 class Index:
-    """``postings`` (term, key, col, positions), ``lengths`` (key, dl), which hold one row for each (term, chunk, column) and each chunk."""
+    """Either ``tokens`` (key, a list of tokens for each of COLUMNS), one row for each chunk, or what is stored of it: ``stored_postings``
+    (key, term, col, positions) and ``stored_lengths`` (key, dl), one row for each (term, chunk, column) and each chunk."""
 
-    postings: DataFrame
-    lengths: DataFrame
     key: str
     stemmed: bool
+    tokens: DataFrame | None = None
+    stored_postings: DataFrame | None = None
+    stored_lengths: DataFrame | None = None
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.stored_postings if self.stored_postings is not None else _postings(self.tokens, self.key)
+
+    @property
+    def lengths(self) -> DataFrame:
+        if self.stored_lengths is not None:
+            return self.stored_lengths
+        return self.tokens.select(self.key, reduce(lambda a, b: a + b, (F.size(c) for c in COLUMNS)).alias("dl"))
 
     def write(self, path: str) -> Index:
-        """Stored, postings sorted by term, so that a query reads only the row groups of its terms."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", self.key).write.mode("overwrite").parquet(f"{path}/postings")
+        """Stored, postings ranged and sorted by term and key: a query reads only the row groups of its terms, and a frequent term is spread over files."""
+        self.postings.repartitionByRange("term", self.key).sortWithinPartitions("term", self.key).write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         spark = self.postings.sparkSession
-        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), self.key, self.stemmed)
+        return Index(self.key, self.stemmed, None, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
 
     def tokenize(self, text: str) -> list[str]:
         found = [t for t in re.split(r"[^\w]|_", text.lower()) if t]
@@ -42,16 +61,47 @@ def index(chunks: DataFrame, key: str = "chunk_id", content: str = "content", na
     """The index of the texts of ``chunks``; nulls have no tokens."""
     empty = F.array().cast("array<string>")
     of = {"content": F.coalesce(X.search_tokens(F.col(content)), empty), "name": F.coalesce(X.search_tokens(F.col(name)), empty) if name else empty}
-    base = chunks.select(F.col(key), *(of[c].alias(f"_{c}") for c in COLUMNS))
-    lengths = base.select(key, (F.size("_content") + F.size("_name")).alias("dl"))
-    tokens = None
-    for c in COLUMNS if name else COLUMNS[:1]:
-        part = base.select(key, F.lit(c).alias("col"), F.posexplode(f"_{c}").alias("pos", "term"))
-        tokens = part if tokens is None else tokens.unionByName(part)
-    postings = tokens.groupBy(key, "col", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    if stemmed:
-        postings = postings.withColumn("term", X.stems("term")).groupBy(key, "col", "term").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
-    return Index(postings, lengths, key, stemmed)
+    base = chunks.select(F.col(key), *(of[c].alias(c) for c in COLUMNS))
+    return Index(key, stemmed, _stemmed(base) if stemmed else base)
+
+
+def _stemmed(tokens: DataFrame) -> DataFrame:
+    """Token lists with each token stemmed; an Arrow batch's distinct tokens are stemmed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(0)]
+            for i in range(1, batch.num_columns):
+                lists = batch.column(i)
+                coded = lists.flatten().dictionary_encode()
+                stems = pa.array([X.stem(t) for t in coded.dictionary.to_pylist()], pa.string())
+                columns.append(pa.ListArray.from_arrays(pa.compute.subtract(lists.offsets, lists.offsets[0]), stems.take(coded.indices)))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return tokens.mapInArrow(run, tokens.schema)
+
+
+def _postings(tokens: DataFrame, key: str) -> DataFrame:
+    """(key, term, col, positions), grouped within each row: nothing is shuffled."""
+    kind = tokens.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(1, batch.num_columns):
+                lists = batch.column(i)
+                size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                coded = lists.flatten().dictionary_encode()
+                code, row = coded.indices.to_numpy(), np.repeat(np.arange(len(batch)), size)
+                place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+                order = np.lexsort((place, code, row))
+                code, row, place = code[order], row[order], place[order]
+                if len(code):
+                    start = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])]))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(code)).astype(np.int32)), pa.array(place.astype(np.int32)))
+                    term = coded.dictionary.take(pa.array(code[start]))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[start])), term, pa.array([batch.schema.names[i]] * len(start)), lists], names=[key, "term", "col", "positions"])
+
+    return tokens.mapInArrow(run, f"`{key}` {kind}, term string, col string, positions array<int>")
 
 
 def _term_column(i: int, c: str) -> str:
@@ -122,6 +172,36 @@ def _plan(node: Q.Node, phrase: dict[Phrase, int], near: dict[Near, int]) -> tup
     return (a | b, only(a, pa) + only(b, pb)) if node.kind == "OR" else (a & ~b, pa + only(b, pb))
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """The same rows, computed before what is selected of them: Catalyst would copy a column's expression into the lambdas that read it."""
+    return df.select(F.inline(F.array(F.struct("*"))))
+
+
+def _held(ix: Index, ids: dict[tuple[str, bool], int]) -> DataFrame:
+    """(key, _dl, positions of each term in each column) of each chunk, of a stored index only of those that hold a term (_dl is null there)."""
+    none = F.array().cast("array<int>")
+
+    def is_term(x: Column, t: str, prefix: bool) -> Column:
+        return x.startswith(t) if prefix else x == t
+
+    if ix.tokens is not None:
+        made = ix.tokens.select(ix.key, reduce(lambda a, b: a + b, (F.size(c) for c in COLUMNS)).alias("_dl"), *COLUMNS)
+
+        def positions(c: str, t: str, prefix: bool) -> Column:
+            at = F.transform(F.col(c), lambda x, i: F.when(is_term(x, t, prefix), i))
+            return F.filter(at, lambda x: x.isNotNull())
+
+        return made.select(ix.key, "_dl", *(positions(c, t, prefix).alias(_term_column(i, c)) for (t, prefix), i in ids.items() for c in COLUMNS))
+    term = F.col("term")
+    wanted = reduce(lambda a, b: a | b, (is_term(term, t, prefix) for t, prefix in ids))
+    cols = [
+        F.sort_array(F.flatten(F.collect_list(F.when(is_term(term, t, prefix) & (F.col("col") == c), F.col("positions")).otherwise(none)))).alias(_term_column(i, c))
+        for (t, prefix), i in ids.items()
+        for c in COLUMNS
+    ]
+    return ix.postings.filter(wanted).groupBy(ix.key).agg(*cols).withColumn("_dl", F.lit(None).cast("int"))
+
+
 def matches(ix: Index, query: str, syntax: str = "fts5") -> DataFrame | None:
     """(key, score) of every chunk that matches, unordered; None for a query that is malformed or empty.
 
@@ -142,31 +222,29 @@ def matches(ix: Index, query: str, syntax: str = "fts5") -> DataFrame | None:
     for p in listed:
         for k, t in enumerate(p.terms):
             ids.setdefault((t, p.prefix and k == len(p.terms) - 1), len(ids))
-    wanted = reduce(lambda a, b: a | b, (F.col("term").startswith(t) if prefix else F.col("term") == t for t, prefix in ids))
-    none = F.array().cast("array<int>")
-    cols = [
-        F.sort_array(F.flatten(F.collect_list(F.when((F.col("term").startswith(t) if prefix else F.col("term") == t) & (F.col("col") == c), F.col("positions")).otherwise(none)))).alias(_term_column(i, c))
-        for (t, prefix), i in ids.items()
-        for c in COLUMNS
-    ]
-    # one row for each chunk that holds any of the terms; joined with its length
-    held = ix.postings.filter(wanted).groupBy(ix.key).agg(*cols)
+    held = _once(_held(ix, ids))
     phrase = {p: i for i, p in enumerate(dict.fromkeys(listed))}
     near = {n: i for i, n in enumerate(dict.fromkeys(_nears(tree)))}
     # starts, then those that take part in a NEAR: each is computed once, in a projection of its own
-    laid = held.select(ix.key, *(_starts(p, c, ids).alias(f"_s{i}_{c}") for p, i in phrase.items() for c in COLUMNS))
+    laid = held.select(ix.key, "_dl", *(_starts(p, c, ids).alias(f"_s{i}_{c}") for p, i in phrase.items() for c in COLUMNS))
+    laid = _once(laid) if near else laid
     laid = laid.select("*", *(F.array(*_near(n, c, [F.col(f"_s{phrase[p]}_{c}") for p in n.phrases])).alias(f"_r{i}_{c}") for n, i in near.items() for c in COLUMNS))
+    laid = _once(laid)
     matched, counts = _plan(tree, phrase, near)
-    rows = laid.select(ix.key, matched.alias("_m"), *(n.alias(f"_f{i}") for i, (_, n) in enumerate(counts)), *((_size([F.col(f"_s{i}_{c}") for c in COLUMNS]) > 0).cast("long").alias(f"_h{i}") for i in phrase.values()))
-    corpus = ix.lengths.agg(F.count("*").alias("_n"), F.avg("dl").alias("_avg"))
-    df = rows.agg(*(F.coalesce(F.sum(f"_h{i}"), F.lit(0)).alias(f"_d{i}") for i in phrase.values()))
-    hits = rows.filter("_m").join(ix.lengths, ix.key).crossJoin(F.broadcast(corpus)).crossJoin(F.broadcast(df))  # one row each
+    rows = laid.select(ix.key, "_dl", matched.alias("_m"), *(n.alias(f"_f{i}") for i, (_, n) in enumerate(counts)), *((_size([F.col(f"_s{i}_{c}") for c in COLUMNS]) > 0).cast("long").alias(f"_h{i}") for i in phrase.values()))
+    found = (F.coalesce(F.sum(f"_h{i}"), F.lit(0)).alias(f"_d{i}") for i in phrase.values())
+    if ix.tokens is not None:  # every chunk has a row
+        hits = rows.filter("_m").crossJoin(F.broadcast(rows.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *found)))  # one row
+    else:
+        corpus = ix.lengths.agg(F.count("*").alias("_n"), F.avg("dl").alias("_avg"))
+        hits = rows.filter("_m").crossJoin(F.broadcast(corpus)).crossJoin(F.broadcast(rows.agg(*found)))  # one row each
+        hits = hits.drop("_dl").join(ix.lengths.withColumnRenamed("dl", "_dl"), ix.key)
     total = F.lit(0.0)
     for i, (p, _) in enumerate(counts):
         d, f = F.col(f"_d{phrase[p]}"), F.col(f"_f{i}").cast("double")
         idf = F.ln((F.col("_n") - d + 0.5) / (d + 0.5))
         idf = F.when(idf > 0, idf).otherwise(F.lit(FLOOR))
-        total = total + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("_avg")))
+        total = total + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
     return hits.select(ix.key, total.alias("score"))
 
 
