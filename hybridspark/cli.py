@@ -18,7 +18,7 @@ from .types import Fusion, RetrievalError, SearchFilters, SearchMode
 
 
 def embedder(c: config.EmbedderConfig) -> Embedder:
-    backend = RemoteBackend(c.remote_url, c.embedding_dimension, c.model_name, c.remote_timeout) if c.mode == "remote" else HashingBackend(c.embedding_dimension, c.model_name)
+    backend = RemoteBackend(c.remote_url, c.embedding_dimension, c.model_name, c.remote_timeout, c.batch_size) if c.mode == "remote" else HashingBackend(c.embedding_dimension, c.model_name)
     return Embedder(backend, c.embedding_dimension, c.normalize, c.query_instruction, c.document_instruction, c.lru_cache_size)
 
 
@@ -73,8 +73,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
                 out = run.ingest_directory(a.path, a.include or c.pipeline.include_patterns, a.exclude or c.pipeline.exclude_patterns, not a.flat)
             print(formatting.stats_json(out) if a.json else formatting.stats_text(out))
         else:
-            found = store.get_collection(name)
-            service = Search(store.chunks(name), model.query_vector, metric=found.distance_metric if found else "l2")
+            service = Search.over(store, name, model.query_vector)
             hits = service.search(a.query, a.top_k, a.mode, SearchFilters(tuple(a.content_type), a.source_prefix) if a.content_type or a.source_prefix else None, a.min_score, fusion=a.fusion)
             for row in (formatting.as_json if a.json else formatting.preview)(hits).collect():  # at most top_k
                 print(row[0])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..types import HIT_COLUMNS, QueryError, SearchFilters, SearchResults
 from . import fulltext, fusion, knn
+from .store import Store
 
 HYBRID_FETCH, TOP_K = 3, 10
 Filters, Least = SearchFilters | None, float | None
@@ -22,6 +23,12 @@ class Search:
         self.chunks, self.embed, self.metric, self.filter_mode, self.syntax = chunks, embed, metric, filter_mode, syntax
         self._index = index
 
+    @classmethod
+    def over(cls, store: Store, collection: str = "default", embed: Callable[[str], Sequence[float]] | None = None, version: int | None = None, **how) -> Search:
+        """Search over a stored collection, with the full-text index that the store keeps of it."""
+        how.setdefault("metric", store.get_collection(collection).distance_metric if store.get_collection(collection) else "l2")
+        return cls(store.chunks(collection, version), embed, store.index(collection, version), **how)
+
     @property
     def index(self) -> fulltext.Index:
         if self._index is None:
