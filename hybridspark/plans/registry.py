@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import chunking as C
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import chunkers, fulltext, fusion, knn, store
-from ..operators.embedding import HashingBackend, embed_column
+from ..operators import chunkers, fulltext, fusion, knn, pipeline, search, store
+from ..operators.embedding import Embedder, HashingBackend, embed_column
 from ..sources import files, html, tables
 from ..types import SearchFilters
 
@@ -185,7 +185,17 @@ def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("conv_id", "chunk_index", "s.name", "s.content")
 
 
-@query()
+_PY = """'def f' || doc_id || '():' || chr(10) || '    r""' || '"' || replace(text, chr(34), chr(39)) || '""' || '"' || chr(10) || '    return 1'"""
+_LINES = "(length(text) - length(replace(text, chr(10), '')))"
+
+
+@query(f"""
+WITH p AS (
+  SELECT doc_id, 'import os' AS content, 'module' AS chunk_type, '<module>' AS name, 1 AS start_line, {_LINES} + 6 AS end_line FROM documents
+  UNION ALL SELECT doc_id, {_PY}, 'function', 'f' || doc_id, 3, {_LINES} + 5 FROM documents
+  UNION ALL SELECT doc_id, 'class A:' || chr(10) || '    x = 1', 'class', 'A', {_LINES} + 7, {_LINES} + 8 FROM documents)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start_line) - 1)::INTEGER AS chunk_index, content, chunk_type, name, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line FROM p
+""")
 def chunk_python(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as the docstring of a function in a Python source, chunked."""
     source = F.concat(F.lit("import os\n\n"), F.lit("def f"), F.col("doc_id").cast("string"), F.lit('():\n    r"""'), F.replace("text", F.lit('"'), F.lit("'")), F.lit('"""\n    return 1\n\nclass A:\n    x = 1\n'))
@@ -284,7 +294,7 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").agg(F.round(F.avg("value"), 6).alias("mean"), *(F.round(F.percentile("value", p), 6).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)))
 
 
-@query("SELECT 'wikipedia:' || doc_id AS path, '# ' || source || chr(10) || chr(10) || text AS text, 'markdown' AS content_type FROM documents WHERE length(text) >= 100")
+@query("SELECT 'article:' || doc_id AS path, '# ' || source || chr(10) || chr(10) || text AS text, 'markdown' AS content_type FROM documents WHERE length(text) >= 100")
 def article_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = read(spark, sf_dir, "documents").select(F.col("source").alias("title"), "text", F.col("doc_id").cast("string").alias("article_id"))
     return tables.article_documents(articles.filter(F.length("text") >= 100))
@@ -305,6 +315,90 @@ def fts_postings_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.index(read(spark, sf_dir, "documents"), key="doc_id", content="text", name=None).postings
 
 
+# -- store, ingest, search service
+
+
+def _stored(spark: SparkSession) -> store.Store:
+    made = store.Store(spark, store.scratch(spark)).initialize()
+    made.create_collection("c", 2, "m")
+    return made
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("source_path"), F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("embedding"), X.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("SELECT doc_id::VARCHAR AS chunk_id, source AS source_path, sha256(text) AS content_hash FROM documents WHERE trim(text) <> '' AND NOT (starts_with(source, 'src2') AND doc_id % 2 = 1)")
+def store_delete_readd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored; sources src1 and src2 deleted; those of src1, and of src2 those of even ids, stored again under their ids."""
+    s, rows = _stored(spark), _chunks(spark, sf_dir)
+    s.add("c", rows.filter(X.not_blank(F.col("content"))))
+    for source in [r[0] for r in s.list_sources("c").filter("source_path like 'src1%' or source_path like 'src2%'").collect()]:  # a few names
+        s.delete_by_source("c", source)
+    s.add("c", rows.filter(X.not_blank(F.col("content")) & (F.col("source_path").startswith("src1") | F.col("source_path").startswith("src2") & (F.col("chunk_id").cast("bigint") % 2 == 0))))
+    return s.chunks("c").select("chunk_id", "source_path", "content_hash")
+
+
+@query("""
+SELECT doc_id::VARCHAR AS chunk_id, text AS content, source AS source_path FROM documents WHERE trim(text) <> '' AND source <> (SELECT min(source) FROM documents)
+UNION ALL SELECT 'new-' || doc_id, text || '!', source FROM documents WHERE trim(text) <> '' AND source = (SELECT min(source) FROM documents) AND doc_id % 3 = 0
+""")
+def store_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored, then those of the first source replaced in one commit by a third of them with a sign behind."""
+    s, rows = _stored(spark), _chunks(spark, sf_dir).filter(X.not_blank(F.col("content")))
+    s.add("c", rows)
+    source = rows.agg(F.min("source_path")).first()[0]
+    new = rows.filter((F.col("source_path") == source) & (F.col("chunk_id").cast("bigint") % 3 == 0)).withColumns({"chunk_id": F.concat(F.lit("new-"), "chunk_id"), "content": F.concat("content", F.lit("!"))})
+    s.add("c", new, replace_sources=[source])
+    return s.chunks("c").select("chunk_id", "content", "source_path")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"), "text", F.lit("generic").alias("content_type"), X.content_hash(F.col("text")).alias("content_hash"))
+
+
+_INGESTED = f"SELECT min(doc_id) AS doc_id, text, {_WORDS} AS w FROM documents GROUP BY text"
+_WINDOWS = "CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 200 THEN 1 ELSE ceil((len(w) - 200) / 180.0)::BIGINT + 1 END"
+
+
+def _ingest(spark: SparkSession) -> pipeline.Ingest:
+    return pipeline.Ingest(store.Store(spark, store.scratch(spark)), Embedder(HashingBackend(16)), "c", chunkers.ChunkConfig("token_window", 200, 20))
+
+
+@query(f"""
+WITH d AS ({_INGESTED}), n AS (SELECT count(*) AS fresh, sum({_WINDOWS})::BIGINT AS chunks FROM d), a AS (SELECT count(*) AS docs, count(DISTINCT text) FILTER (trim(text) <> '') AS seen FROM documents)
+SELECT 1 AS run, fresh AS files_processed, chunks AS chunks_created, chunks AS chunks_embedded, chunks AS chunks_stored, docs - fresh AS chunks_skipped, 0 AS errors FROM n, a
+UNION ALL SELECT 2, 0, 0, 0, 0, docs, 0 FROM a
+""")
+def ingest_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the ingest of all documents, and of a second run that finds all of them stored."""
+    run, docs = _ingest(spark), _documents(spark, sf_dir)
+    made = [run.ingest_documents(docs, skip_seen=True) for _ in range(2)]
+    rows = [(i + 1, x.files_processed, x.chunks_created, x.chunks_embedded, x.chunks_stored, x.chunks_skipped, x.error_count) for i, x in enumerate(made)]
+    return spark.createDataFrame(rows, "run int, files_processed bigint, chunks_created bigint, chunks_embedded bigint, chunks_stored bigint, chunks_skipped bigint, errors bigint").coalesce(1)
+
+
+@query(f"""
+WITH d AS ({_INGESTED}), c AS (SELECT doc_id, text, w, unnest(range(0, {_WINDOWS})) AS i FROM d)
+SELECT 'd/' || lpad(doc_id::VARCHAR, 12, '0') AS source_path, array_to_string(w[i * 180 + 1 : i * 180 + 200], ' ') AS content, 'token_window' AS chunk_type, sha256(text) AS content_hash, 16::INTEGER AS dimension FROM c
+""")
+def ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that the ingest of all documents stores; content that an earlier path had is skipped."""
+    run = _ingest(spark)
+    run.ingest_documents(_documents(spark, sf_dir), skip_seen=True)
+    return run.store.chunks("c").select("source_path", "content", "chunk_type", "content_hash", F.size("embedding").alias("dimension"))
+
+
+@query("SELECT vec_id::VARCHAR AS chunk_id, score FROM (" + _knn_sql("cosine") + ")")
+def service_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector search of the service over a stored collection, by its metric."""
+    s = store.Store(spark, store.scratch(spark)).initialize()
+    s.create_collection("c", 64, "m", "cosine")
+    s.add("c", read(spark, sf_dir, "embeddings").select(F.format_string("%s", "vec_id").alias("chunk_id"), F.lit("x").alias("content"), "embedding"))
+    vector = anchor(spark, sf_dir)
+    return _scored(search.Search.over(s, "c", lambda _: vector).search("q", TOP, "vector"), "chunk_id")
+
+
 # -- full text
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}\p{M}\p{Co}]+'), lambda x: x <> '')"
@@ -338,6 +432,16 @@ def fts_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fts(spark, sf_dir, "the")
 
 
+@query(bm25_sql([_tf("und"), _tf("von")], "f0 > 0 OR f1 > 0"))
+def service_fulltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two words, that no stem changes, in the postings that the store keeps of its documents, some of which were deleted and stored again."""
+    s, rows = _stored(spark), _chunks(spark, sf_dir).filter(X.not_blank(F.col("content")))
+    s.add("c", rows)
+    s.delete_by_source("c", rows.agg(F.min("source_path")).first()[0])
+    s.add("c", rows.filter(F.col("source_path") == rows.agg(F.min("source_path")).first()[0]))
+    return _scored(fulltext.matches(s.index("c"), "und OR von"), "chunk_id").select(F.col("chunk_id").cast("bigint").alias("doc_id"), "score")
+
+
 @query(bm25_sql([_tf("the"), _tf("with")], "f0 > 0 AND f1 > 0"))
 def fts_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fts(spark, sf_dir, "the with")
@@ -368,7 +472,19 @@ def fts_initial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fts(spark, sf_dir, "^the")
 
 
-@query()
+_WITHIN = "list_filter({}, lambda x: len(list_filter(e, lambda m: x <= m AND x >= m - 4)) > 0)"
+
+
+@query(
+    bm25_sql(["len(" + _WITHIN.format("p0") + ")", "len(" + _WITHIN.format("p1") + ")"], "f0 > 0").replace(
+        "f AS (",
+        """pos AS (SELECT doc_id, t, list_filter(range(1, len(t) + 1), lambda i: t[i] = 'the') AS p0, list_filter(range(1, len(t) + 1), lambda i: t[i] = 'with') AS p1 FROM tok),
+nr AS (SELECT *, list_filter(list_concat(p0, p1), lambda m: len(list_filter(p0, lambda y: y <= m AND y >= m - 4)) > 0 AND len(list_filter(p1, lambda y: y <= m AND y >= m - 4)) > 0) AS e FROM pos),
+f AS (""",
+    )
+    .replace("FROM tok),\nc AS", ", len(p0) AS g0, len(p1) AS g1 FROM nr),\nc AS")
+    .replace("sum((f", "sum((g")  # a phrase's idf counts all documents that hold it
+)
 def fts_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fts(spark, sf_dir, "NEAR(the with, 3)")
 
@@ -385,12 +501,12 @@ def fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHUNKS = f"""
 SELECT doc_id * 100000 + i AS chunk_id, array_to_string(w[i * 40 + 1 : i * 40 + 50], ' ') AS text, lang, source, embedding FROM (
   SELECT *, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 50 THEN 1 ELSE ceil((len(w) - 50) / 40.0)::BIGINT + 1 END)) AS i
-  FROM (SELECT doc_id, {_WORDS} AS w, lang, source, embedding FROM documents JOIN embeddings ON doc_id = vec_id))"""
+  FROM (SELECT doc_id, {_WORDS} AS w, lang, source, embedding FROM documents LEFT JOIN embeddings ON doc_id = vec_id))"""
 
 
 def hybrid_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token windows of the documents that have a vector, each with its document's vector."""
-    docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    """Token windows of all documents, each with its document's vector; a document without one is found by its text only."""
+    docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
     made = docs.select("doc_id", "embedding", F.col("lang").alias("content_type"), F.col("source").alias("source_path"), F.posexplode(C.token_windows(F.col("text"), 50, 10)).alias("i", "content"))
     return made.select((F.col("doc_id") * 100000 + F.col("i")).alias("chunk_id"), "content", "content_type", "source_path", "embedding")
 
@@ -400,7 +516,7 @@ def _hybrid_sql(fused: str, keep: str = "true", fetch: int = 3 * TOP) -> str:
     text = bm25_sql([_tf("the"), _tf("with")], "f0 > 0 AND f1 > 0", source="SELECT chunk_id, text FROM ch", key="chunk_id").replace("round(", "(").replace(", 6) AS score", ") AS score").strip()
     return f"""
 WITH ch AS MATERIALIZED ({_CHUNKS}),
-v0 AS (SELECT chunk_id, {_METRIC['l2']} AS s FROM ch ORDER BY round({_METRIC['l2']}, 9) DESC, chunk_id LIMIT {inner}),
+v0 AS (SELECT chunk_id, {_METRIC['l2']} AS s FROM ch WHERE embedding IS NOT NULL ORDER BY round({_METRIC['l2']}, 9) DESC, chunk_id LIMIT {inner}),
 v AS (SELECT chunk_id, s FROM v0 JOIN ch USING (chunk_id) WHERE {keep} ORDER BY round(s, 9) DESC, chunk_id LIMIT {fetch}),
 t0 AS (SELECT chunk_id, score AS s FROM ({text}) ORDER BY round(score, 9) DESC, chunk_id LIMIT {inner}),
 t AS (SELECT chunk_id, s FROM t0 JOIN ch USING (chunk_id) WHERE {keep} ORDER BY round(s, 9) DESC, chunk_id LIMIT {fetch}),

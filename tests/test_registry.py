@@ -39,3 +39,75 @@ def test_entry_without_the_corpus_subpackage(monkeypatch):
 
     monkeypatch.setattr(entry, "_llm", lambda: None)
     assert set(entry.queries()) == set(registry.QUERIES) and set(entry.oracle_sql()) == set(registry.ORACLES)
+
+
+def test_a_missing_library_is_an_error(monkeypatch):
+    import importlib
+
+    import __spark_entry__ as entry
+
+    def missing(name):
+        raise ModuleNotFoundError("no", name=missing.name)
+
+    monkeypatch.setattr(importlib, "import_module", missing)
+    missing.name = "hybridspark.llm"
+    assert entry._llm() is None
+    missing.name = "ahocorasick"
+    with pytest.raises(ModuleNotFoundError):
+        entry._llm()
+
+
+def test_hashing_embedder_equals_brute_force(spark):
+    """embed_hashing has no SQL: every document's vector, token by token."""
+    import hashlib
+    import math
+    import re
+
+    texts = {r["doc_id"]: r["text"] for r in registry.read(spark, SF, "documents").collect()}
+    for r in registry.QUERIES["embed_hashing"](spark, SF).collect():
+        tokens = re.findall(r"\w+", " " + texts[r["doc_id"]].lower())
+        want = [0.0] * 64
+        for t in tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:])]:
+            h = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little")
+            want[(h >> 1) % 64] += 1 if h & 1 else -1
+        size = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert r["embedding"] == pytest.approx([x / size for x in want], abs=1e-6)
+
+
+def test_html_text_equals_brute_force(spark):
+    """html_text and chunk_rich have no SQL: pages of the tables by regular expressions."""
+    import html
+    import re
+
+    pages = {r["page_id"]: r["html"] for r in registry.read(spark, SF, "pages").collect()}
+    want = {}
+    for k, page in pages.items():
+        t = re.sub(r"(?is)<head>.*?</head>|<script.*?</script>|<style.*?</style>|<!--.*?-->|<!doctype[^>]*>", "", page)
+        t = re.sub(r"(?i)<br\s*/?>", "\n", t)
+        t = re.sub(r"(?i)<h([1-6])[^>]*>", lambda m: "\n\n" + "#" * int(m[1]) + " ", t)
+        t = re.sub(r"(?i)</?(?:p|div|li|ul|ol|tr|table|section|article|header|footer|nav|aside|blockquote|pre|h[1-6])(?:\s[^>]*)?>", "\n\n", t)
+        t = html.unescape(re.sub(r"<[^>]+>", "", t))
+        want[k] = re.sub(r"\s+", " ", t).strip()
+    for r in registry.QUERIES["html_text"](spark, SF).collect():
+        assert re.sub(r"\s+", " ", r["text"]).strip() == want[r["page_id"]]
+    chunks = {}
+    for r in registry.QUERIES["chunk_rich"](spark, SF).collect():
+        chunks.setdefault(r["page_id"], []).append(r["content"])
+    for k, parts in chunks.items():
+        words = " ".join(re.sub(r"\s+", " ", p) for p in parts)
+        assert all(w in want[k] for w in words.split()) and len(words) <= len(want[k])
+
+
+def test_stemmed_postings_equal_brute_force(spark):
+    """fts_postings_stemmed has no SQL: tokens and stems one by one; the stemmer itself is held against FTS5 elsewhere."""
+    import re
+
+    from hybridspark.functions.text import stem
+
+    texts = {r["doc_id"]: r["text"] for r in registry.read(spark, SF, "documents").collect()}
+    want = {}
+    for k, t in texts.items():
+        for i, w in enumerate(x for x in re.split(r"[^\w]|_", t.lower()) if x):
+            want.setdefault((k, stem(w)), []).append(i)
+    got = {(r["doc_id"], r["term"]): r["positions"] for r in registry.QUERIES["fts_postings_stemmed"](spark, SF).collect()}
+    assert got == want
