@@ -34,7 +34,7 @@ def sf(spark, tmp_path_factory):
 
 OPERATORS = {
     "quality": quality.scored,
-    "fingerprints": fingerprints.matches,
+    "fingerprints": lambda d: fingerprints.matches(d, every=1),
     "toxicity": lambda d: toxicity.scored(d, toxicity.LEXICON),
     "mixing": mixing.sample,
     "packing": packing.packed,
@@ -42,7 +42,8 @@ OPERATORS = {
     "secrets": secrets.scanned,
     "simhash": simhash_dedup.groups,
     "license": license_scan.scan,
-    "media": lambda d: media.sniffed(d.select(F.col("doc_id").alias("media_id"), F.col("text").cast("binary").alias("payload"), F.col("lang").alias("declared"))),
+    "media": lambda d: media.sniffed(d.select(F.col("doc_id").alias("media_id"), F.col("text").cast("binary").alias("payload"), F.col("lang").alias("declared"), "count", "`a.b`", F.lit(1).alias("offset"), F.lit(1).alias("embedded"))),
+    "carving": lambda d: media.carved(d.select(F.col("doc_id").alias("media_id"), F.col("text").cast("binary").alias("payload"), "count", F.lit(1).alias("offset"), F.lit(1).alias("type"))),
 }
 
 
@@ -78,7 +79,48 @@ def test_odd_rows(docs, name):
     if name == "license":
         assert rows == []
     if name == "mixing":
-        assert all(r["copies"] > 0 for r in rows)
+        assert all(r["copies"] > 0 for r in rows) and sum(r["copies"] for r in rows) == len(ROWS)
+    if name == "carving":
+        assert rows == []
+
+
+def test_long_texts_are_read_in_blocks(spark):
+    """One text of 24 MB, most of it in one line: no operator holds more than a few copies of it in a worker."""
+    words = " ".join(f"w{i % 70_001:x} of" for i in range(2_400_000))
+    text = "\n".join([PROSE, words, PROSE, "idiot moron scum", 'password = "p@ss!w0rd#x9$Q"', "Licensed under the Apache License, Version 2.0."])
+    docs = spark.createDataFrame([(1, text, "s", len(text)), (20, PROSE, "s", 90)], "doc_id bigint, text string, source string, n_chars bigint")
+    assert len(text) > 20_000_000
+    assert sorted((r["doc_id"], r["line"]) for r in line_dedup.repeats(docs).collect()) == [(1, 2), (20, 0)]
+    assert [r["group_id"] for r in simhash_dedup.groups(docs).orderBy("doc_id").collect()] == [1, 20]
+    assert toxicity.scored(docs, toxicity.LEXICON).filter("doc_id = 1").first()["hits"] == 3
+    assert [r["line"] for r in license_scan.scan(docs).collect()] == [5]
+    assert secrets.scanned(docs).filter("doc_id = 1 and length = 14").count() == 1
+    assert sum(r["tokens"] for r in packing.packed(docs).filter("doc_id = 1").collect()) == len(text.split())
+    assert fingerprints.matches(docs, every=1).filter("doc_id = 1").first()["filters"] > 100
+    assert quality.scored(docs).count() == 2
+
+
+def test_an_empty_pipeline(spark, tmp_path):
+    spark.createDataFrame([], DDL).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").collect() == []
+
+
+def test_the_pipeline_on_odd_rows(spark, docs, sf, tmp_path):
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"file://{tmp_path}/labels.parquet")
+    rows = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert max(r["bin_tokens"] for r in rows) <= packing.CAPACITY and {r["doc_id"] for r in rows} <= {None, 6, 7, 8}
+
+
+def test_a_shared_folder_is_needed_off_local_masters():
+    from types import SimpleNamespace
+
+    from hybridspark.llm import common
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        common.shared_dir(far)
 
 
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy."""
 
 import gzip
+import hashlib
 import io
 import math
 import random
@@ -58,6 +59,91 @@ def test_em_recovers_accuracies():
     assert np.abs(got - right).max() < 0.03
 
 
+def brute_votes(text):
+    """The labellers of one text, a word at a time; ASCII and Latin-1 texts."""
+    raw = text.encode()
+    spans = [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw)]
+    low = [raw[a:b].decode("utf-8", "replace").lower() for a, b in spans]
+    n, some = len(spans), max(1, len(spans))
+    ends = [a for a, _ in spans[1:]] + [len(raw)]
+    gaps = [raw[b:e].decode("utf-8", "replace") for (_, b), e in zip(spans, ends, strict=True)]
+    usual = {"", " ", "\n", ".", ". ", ".\n", ", ", ",\n", "; ", ": ", "? ", "! ", "-", "'", "\n\n", " - "}
+    odd = 1 - sum(g in usual for g in gaps) / some
+    known = sum(w in set(quality._FUNCTION) for w in low) / some
+    pairs = list(zip(low, low[1:]))
+    again = (len(pairs) - len(set(pairs))) / max(n - 1, 1)
+    distinct = len(set(low)) / min(some, 8 * math.sqrt(some)) if any(True for _ in low) else 1.0
+    visible = sum(33 <= b < 128 or 0xC2 <= b < 0xF5 for b in raw)
+    letters = sum(65 <= b <= 90 or 97 <= b <= 122 or 0xC3 <= b < 0xF5 for b in raw)
+    symbols = sum(chr(b) in "#$%&*|<>{}[]\\^~=_@+" for b in raw if b < 128) / max(visible, 1)
+    capitals = sum(65 <= b <= 90 for b in raw) / max(letters, 1)
+    bangs, stops = sum(b in b"!?" for b in raw) / some, raw.count(b".") / some
+    enough = n >= 8
+    rules = [
+        (False, n > 0 and symbols > 0.02), (False, enough and capitals > 0.3), (False, enough and bangs > 0.15), (n > 0 and odd < 0.2, enough and odd > 0.35), (enough and known > 0.1, enough and known < 0.03),
+        (False, enough and again > 0.25), (enough and distinct > 0.35, enough and distinct < 0.2), (enough and 0.02 < stops < 0.4, enough and (stops < 0.005 or stops > 0.5)), (enough and odd < 0.2 and again < 0.1 and capitals < 0.2, False),
+    ]
+    return "".join("b" if bad else "g" if good else "-" for good, bad in rules)
+
+
+def brute_em(votes, short):
+    """EM over documents, one at a time and in logarithms; the same start and smoothing."""
+    n = len(votes)
+    q = []
+    for v in votes:
+        good, bad = v.count("g"), v.count("b")
+        x = min(max((good + 0.5) / (good + bad + 1), 0.05), 0.95)
+        q.append(max(x, 0.9) if not bad else x)
+    for _ in range(200):
+        table = {(j, c, x): 0.5 for j in range(len(votes[0])) for c in (0, 1) for x in "bg-"}
+        for v, p, s in zip(votes, q, short, strict=True):
+            for j, x in enumerate(v):
+                if not s or j in quality.SHORT_TOO:
+                    table[j, 0, x] += 1 - p
+                    table[j, 1, x] += p
+        whole = {(j, c): sum(table[j, c, x] for x in "bg-") for j in range(len(votes[0])) for c in (0, 1)}
+        share = (sum(q) + 1) / (n + 2)
+        new = []
+        for v, s in zip(votes, short, strict=True):
+            log = [math.log(1 - share), math.log(share)]
+            for j, x in enumerate(v):
+                if not s or j in quality.SHORT_TOO:
+                    for c in (0, 1):
+                        log[c] += math.log(table[j, c, x] / whole[j, c])
+            new.append(1 / (1 + math.exp(min(max(log[0] - log[1], -50), 50))))
+        done = max(abs(a - b) for a, b in zip(new, q, strict=True)) < 1e-6
+        q = new
+        if done:
+            break
+    return q
+
+
+@here
+def test_quality_equals_brute_force(spark):
+    """The query itself on the smallest tables: votes and posteriors of every document one at a time, and scores of a trained model again."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op1_quality_classifier(spark, SF).collect()
+    assert {r["doc_id"] for r in rows} == set(texts)
+    votes = {d: brute_votes(t) for d, t in texts.items()}
+    assert {r["doc_id"]: r["votes"] for r in rows} == votes
+    order = sorted(texts)
+    short = [len(re.findall(rb"[0-9A-Za-z\x80-\xff]+", texts[d].encode())) < 8 for d in order]
+    want = dict(zip(order, brute_em([votes[d] for d in order], short), strict=True))
+    for r in rows:
+        assert r["posterior"] == pytest.approx(want[r["doc_id"]], abs=1e-4) and r["keep"] == (r["score"] >= quality.KEEP)
+
+
+def test_linear_scores_equal_brute_force():
+    r = np.random.default_rng(5)
+    w, off = r.normal(0, 1, quality.SLOTS + 1), np.array([0, 3, 3, 10])
+    slots = r.integers(0, quality.SLOTS, 10)
+    got = quality.score(slots, off, w)
+    for i in range(3):
+        own = slots[off[i] : off[i + 1]]
+        want = 1 / (1 + math.exp(-(sum(w[x] for x in own) / len(own) + w[-1]))) if len(own) else 0.0
+        assert got[i] == pytest.approx(want)
+
+
 # -- 2
 
 
@@ -695,6 +781,69 @@ def test_pipeline_places_what_its_stages_keep(spark):
     assert got == +want
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """All stages of the pipeline over a small corpus, each again by brute force on what the one before it gave."""
+    r = random.Random(77)
+    base = [prose(r, r.choice([30, 60, 120])) for _ in range(18)]
+    texts = base + [edited(r, x, 2) for x in base[:6]] + [x + "\n" + base[0] for x in base[6:9]] + ["you idiot and moron, " + prose(r, 20), "id\u200biot scum " + prose(r, 30)]
+    rows = [(i, t, "en", "s" + str(i % 3), len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    # 1: toxicity
+    now = {i: t for i, t, *_ in rows if not brute_score(t, toxicity.LEXICON)[3]}
+    assert set(range(len(texts))) - set(now) == {len(texts) - 2, len(texts) - 1}
+    # 2: lines
+    seen = [((i, k), x.split()) for i in sorted(now) for k, x in enumerate(now[i].split("\n"))]
+    root = list(range(len(seen)))
+    for i in range(len(seen)):
+        for j in range(i):
+            a, b = seen[i][1], seen[j][1]
+            if abs(len(a) - len(b)) <= 0.15 * max(len(a), len(b)) and lev(a, b) <= 0.15 * max(len(a), len(b)) + 1e-9:
+                x, y = sorted((root[i], root[j]))
+                root = [x if v == y else v for v in root]
+    lost = {seen[i][0] for i, v in enumerate(root) if v != i}
+    left = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in lost) for i, t in now.items()}
+    now = {i: t for i, t in left.items() if t.strip() or t == now[i]}
+    # 3: near duplicates, by all pairs of fingerprints
+    frame = spark.createDataFrame(list(now.items()), "doc_id bigint, text string")
+    prints = {x["doc_id"]: int.from_bytes(x["fp"], "little") for x in simhash_dedup.fingerprints(frame).collect()}
+    group = {i: i for i in now}
+    for i in sorted(now):
+        for j in sorted(now):
+            if i < j and (prints[i] ^ prints[j]).bit_count() <= simhash_dedup.MAX_BITS:
+                x, y = sorted((group[i], group[j]))
+                group = {k: x if v == y else v for k, v in group.items()}
+    now = {i: t for i, t in now.items() if group[i] == i}
+    # 4: the mixture, by sorting
+    chars = {i: len(t) for i, t in now.items()}
+    by = defaultdict(list)
+    for i in now:
+        by[f"s{i % 3}"].append(i)
+    share = {s: math.isqrt(sum(chars[i] for i in v) + 1) for s, v in by.items()}
+    goals = {s: len(now) * share[s] // sum(share.values()) for s in by}
+    for s in sorted(by, key=lambda s: (-(len(now) * share[s] % sum(share.values())), s))[: len(now) - sum(goals.values())]:
+        goals[s] += 1
+    copies = {}
+    for s, v in by.items():
+        z = {i: mixing.BASE + min(chars[i], mixing.CLIP) for i in v}
+        whole, odds = sum(z.values()), []
+        for i in v:
+            copies[i], p = goals[s] * z[i] // whole, goals[s] * z[i] % whole / whole
+            u = (int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            odds += [(u / (1 - u) / (p / (1 - p)), i)] if p else []
+        for _, i in sorted(odds)[: goals[s] - sum(copies[i] for i in v)]:
+            copies[i] += 1
+    # 5: the bins hold every piece of every copy, and no two of them fit together
+    got, fill = Counter(), Counter()
+    for x in corpus_pipeline.run(spark, f"file://{tmp_path}").collect():
+        got[x["doc_id"]] += x["tokens"]
+        fill[x["bin_id"]] += x["tokens"]
+    assert got == Counter({i: c * len(now[i].split()) for i, c in copies.items() if c})
+    small = sorted(fill.values())
+    assert small[-1] <= packing.CAPACITY and (len(small) == 1 or small[0] + small[1] > packing.CAPACITY)
+
+
 @here
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
