@@ -33,7 +33,7 @@ from . import kernels as K
 from .common import Shared, arrow, components, labels, sized
 
 MIN_WORDS, SIMILARITY = 1, 0.85
-BUCKETS, SLOTS = 16, 1 << 18
+BUCKETS, BAG, SLOTS = 16, 128, 1 << 18
 ENTRY = np.dtype([("pair", np.uint64), ("h", np.uint64), ("sketch", np.uint64), ("words", np.uint16)])
 #: A line's occurrence; ``null`` marks a null doc_id, which counts as the least.
 LINE = np.dtype([("h", np.uint64), ("doc", np.int64), ("rev", np.int64), ("line", np.int32), ("live", np.uint8)])
@@ -178,6 +178,23 @@ def may_be_near(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> n
     return ok
 
 
+def bags(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+    """How many words of each of ``n`` lines fall into each of BAG buckets, 255 at most: a wider sketch."""
+    many = np.bincount(line * BAG + (h >> K.U64(3)).astype(np.int64) % BAG, minlength=n * BAG)
+    return np.minimum(many, 255).astype(np.uint8).reshape(n, BAG)
+
+
+def bags_allow(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether lines of n and m words with the bags x and y can be near: an edit changes at most two buckets by one."""
+    out = np.empty(len(n), bool)
+    for lo in range(0, len(n), 1 << 14):
+        s = slice(lo, lo + (1 << 14))
+        a, b = x[s], y[s]
+        apart = (np.maximum(a, b) - np.minimum(a, b)).sum(1, dtype=np.int64)
+        out[s] = apart <= 2 * (np.maximum(n[s], m[s]) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    return out
+
+
 def met(docs: DataFrame) -> DataFrame:
     """Rows of MET: every occurrence of a line that has words, with the first one of the same h and how many there are; and the lines h of
     each cell, with the least of them that it may be near (else itself), its number of words and sketch.  Any two near lines are in one cell."""
@@ -442,7 +459,7 @@ def _myers(flat: np.ndarray, sa: np.ndarray, na: np.ndarray, sb: np.ndarray, nb:
 
 
 def sequences(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(h, seq): the words of ``lines`` (h, doc_id, rev, line), as numbers of 32 bits."""
+    """(h, seq, bag): the words of ``lines`` (h, doc_id, rev, line), as numbers of 32 bits, and their bag."""
     text = F.col("text").cast("string")
     asked = Shared(lines.groupBy("doc_id", "rev").agg(F.sort_array(F.collect_list(F.struct("line", "h"))).alias("asked")))
     given = docs.filter("text is not null").select(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64(text).alias("r"), text.alias("text"))
@@ -467,25 +484,32 @@ def sequences(lines: DataFrame, docs: DataFrame) -> DataFrame:
                     hashes, where, _ = line_words(whole[pick], edge)
                     raw = (4 * K.bounds(where, len(some))).astype(np.int32)
                     seq = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(raw), pa.py_buffer(np.ascontiguousarray(hashes.astype(np.uint32)))])
-                    yield pa.RecordBatch.from_arrays([pa.array(h[own][a:b]), seq], names=["h", "seq"])
+                    bag = pa.array([x.tobytes() for x in bags(hashes, where, len(some))], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(h[own][a:b]), seq, bag], names=["h", "seq", "bag"])
 
-    made = Shared(arrow(found, read, "h bigint, seq binary").groupBy("h").agg(F.first("seq").alias("seq")))  # rows that repeat give a line twice
+    made = Shared(arrow(found, read, "h bigint, seq binary, bag binary").dropDuplicates(["h"]))  # rows that repeat give a line twice
     asked.drop()
     return made
 
 
 def near_pairs(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) of lines that are near, by the words in ``seqs`` (h, seq)."""
+    """Those of ``pairs`` (a, b) of lines that are near, by the words in ``seqs`` (h, seq, bag)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (one, off), (two, more) = K.buffers(batch.column(2)), K.buffers(batch.column(3))
             flat = np.concatenate([one, two]).view(np.uint32).astype(np.int64)
-            n = len(batch)
-            hit = pa.array(close(flat, np.concatenate([off // 4, off[-1] // 4 + more[1:] // 4]), np.arange(n), np.arange(n) + n))
+            n, off = len(batch), np.concatenate([off // 4, off[-1] // 4 + more[1:] // 4])
+            size = np.diff(off)
+            bag = bags(flat.astype(np.uint64), np.repeat(np.arange(2 * n), size), 2 * n)
+            ok = np.flatnonzero(bags_allow(size[:n], bag[:n], size[n:], bag[n:]))
+            made = np.zeros(n, bool)
+            made[ok] = close(flat, off, ok, ok + n)
+            hit = pa.array(made)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], names=["a", "b"])
 
-    both = pairs.join(seqs.toDF("b", "sb"), "b").join(seqs.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
+    held = seqs.select("h", "seq")
+    both = pairs.join(held.toDF("b", "sb"), "b").join(held.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
     return arrow(both, run, "a bigint, b bigint")
 
 
@@ -498,16 +522,27 @@ def grouped(cells: DataFrame, seqs: DataFrame) -> DataFrame:
             return
         table = pa.Table.from_batches(parts)
         cell, h, root, words, sketch = (table[c].to_numpy() for c in ("cell", "h", "root", "words", "sketch"))
-        order = np.argsort(cell, kind="stable")
-        cell, h, root, words, sketch = cell[order], h[order], root[order], words[order].astype(np.int64), sketch[order].view(np.uint64)
+        bag = K.buffers(table["bag"])[0].reshape(-1, BAG)
+        order = np.lexsort((words, cell))
+        cell, h, root, words, sketch, bag = cell[order], h[order], root[order], words[order].astype(np.int64), sketch[order].view(np.uint64), bag[order]
         start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         for s, m in zip(start, np.diff(np.append(start, len(cell))), strict=True):
-            step = max(1, (1 << 18) // m)
-            for lo in range(0, m, step):
-                x, y = (z.ravel() for z in np.broadcast_arrays(np.arange(s + lo, s + min(lo + step, m))[:, None], np.arange(s, s + m)[None, :]))
-                other = (h[x] < h[y]) & (root[x] != root[y])
+            n = words[s : s + m]
+            upto = s + np.searchsorted(n, np.floor(n / SIMILARITY + 1e-9), "right")  # lines are in the order of length: those behind that are short enough
+            upto[n >= MANY] = s + m
+            many = np.maximum(upto - np.arange(s, s + m) - 1, 0)
+            total, lo = np.cumsum(many), 0
+            while lo < m:
+                hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 18), "right")))
+                size = many[lo:hi]
+                x = np.repeat(np.arange(s + lo, s + hi), size)
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+                lo = hi
+                other = root[x] != root[y]
                 x, y = x[other], y[other]
                 near = may_be_near(words[x], sketch[x], words[y], sketch[y])
+                x, y = x[near], y[near]
+                near = bags_allow(words[x], bag[x], words[y], bag[y]) | (words[x] >= MANY) | (words[y] >= MANY)
                 if near.any():
                     yield pa.RecordBatch.from_arrays([pa.array(h[x[near]]), pa.array(h[y[near]])], names=["a", "b"])
 
@@ -515,7 +550,7 @@ def grouped(cells: DataFrame, seqs: DataFrame) -> DataFrame:
     root = Shared(components(first.df))
     named = cells.drop("lead").join(sized(root.df.toDF("h", "root")), "h", "left").select("cell", "h", F.coalesce("root", "h").alias("root"), "words", "sketch")
     torn = Shared(named.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("cell"))
-    left = Shared(named.join(sized(torn.df), "cell"))
+    left = Shared(named.join(sized(torn.df), "cell").join(seqs.select("h", "bag"), "h"))
     # lines that may be near, but not by the first ones of their cells
     rest = arrow(left.df.repartition("cell"), cross, "a bigint, b bigint").distinct()
     second = Shared(near_pairs(rest, seqs), shuffled=True)
