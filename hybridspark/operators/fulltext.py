@@ -109,14 +109,23 @@ def _term_column(i: int, c: str) -> str:
 
 
 def _followed(starts: Column, then: Column, k: int) -> Column:
-    return F.filter(starts, lambda x: F.array_contains(then, x + k))
+    return F.array_intersect(starts, F.transform(then, lambda x: x - k))
 
 
-def _within(starts: Column, m: Column, width: int) -> Column:
-    return F.exists(starts, lambda y: (y <= m) & (y >= m - width))
+#: Widths up to which windows are laid out position by position, to be met by hash; wider ones are compared pair by pair.
+LAID_OUT = 64
+
+
+def _within(ends: Column, starts: Column, width: int) -> Column:
+    """Those of ``ends`` that are at most ``width`` behind one of ``starts``."""
+    if width <= LAID_OUT:
+        return F.array_intersect(ends, F.flatten(F.transform(starts, lambda y: F.sequence(y, y + width))))
+    return F.filter(ends, lambda m: F.exists(starts, lambda y: (y <= m) & (y >= m - width)))
 
 
 def _taking_part(starts: Column, ends: Column, width: int) -> Column:
+    if width <= LAID_OUT:
+        return F.array_intersect(starts, F.flatten(F.transform(ends, lambda m: F.sequence(m - width, m))))
     return F.filter(starts, lambda x: F.exists(ends, lambda m: (x <= m) & (x >= m - width)))
 
 
@@ -134,12 +143,9 @@ def _starts(p: Phrase, c: str, ids: dict[tuple[str, bool], int]) -> Column:
 def _near(n: Near, c: str, starts: list[Column]) -> list[Column]:
     """The starts of each phrase of a NEAR group that take part in a match: all within ``distance`` tokens of the last."""
     low = [n.distance + len(p.terms) for p in n.phrases]
-    union = F.array_distinct(F.flatten(F.array(*starts)))
-
-    def fits(m: Column) -> Column:
-        return reduce(lambda a, b: a & b, (_within(s, m, w) for s, w in zip(starts, low, strict=True)))
-
-    ends = F.filter(union, fits)
+    ends = F.array_distinct(F.flatten(F.array(*starts)))
+    for s, w in zip(starts, low, strict=True):
+        ends = _within(ends, s, w)
     return [_taking_part(s, ends, w) for s, w in zip(starts, low, strict=True)]
 
 
