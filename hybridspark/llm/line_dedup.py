@@ -487,8 +487,12 @@ def sequences(lines: DataFrame, docs: DataFrame) -> DataFrame:
                     bag = pa.array([x.tobytes() for x in bags(hashes, where, len(some))], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(h[own][a:b]), seq, bag], names=["h", "seq", "bag"])
 
-    made = Shared(arrow(found, read, "h bigint, seq binary, bag binary").dropDuplicates(["h"]))  # rows that repeat give a line twice
+    made = Shared(arrow(found, read, "h bigint, seq binary, bag binary"))
     asked.drop()
+    if made.df.count() > lines.count():  # rows that repeat give a line more than once
+        once = Shared(made.df.dropDuplicates(["h"]))
+        made.drop()
+        return once
     return made
 
 
