@@ -5,15 +5,17 @@ word are left alone.  Short lines are near only if equal: up to six words, an ed
 edit similarity of their word sequences, 1 - distance / longer length, is at least SIMILARITY.  Lines that chains of near lines
 connect form a group, of which the first occurrence (by doc_id, then line number) stays.
 
-Search.  k edits break at most 2k of a line's pairs of adjacent words, so two near lines share one of the 2k + 1 first pairs of
-each, in any one order of all pairs; k follows from the length.  The order puts pairs last that are frequent in the corpus (all are
-counted, in SLOTS slots), and of the others pairs of long words first, as these are rare in any language; it only keeps the lists
-of lines with a common pair short.  Lines of a list are linked if their lengths and the
-numbers of their words in BUCKETS buckets allow a distance within k; lines that links connect are a cell.  No near pair is lost by
+Search.  k edits break at most 2k of a line's pairs of adjacent words, fewer if the other line is longer (``most_broken``), so two
+near lines share one of the first pairs of each, one more than may be broken, in any one order of all pairs.  The order puts pairs
+last that are frequent in the corpus (all are counted, in SLOTS slots), and of the others pairs of long words first, as these are
+rare in any language; it only keeps the lists of lines with a common pair short, which a passage that many lines share would make
+long: they grow with the corpus, up to about the mean of a slot.  Lines of a list are linked if the places of
+the pair, their lengths and the numbers of their words in BUCKETS buckets allow a distance within k; lines that links connect are a
+cell.  (The first pair of all that no edit breaks is among the first ones of both lines and is at such places.)  No near pair is lost by
 any of these steps.  One pass over the texts sends both a hash of each line and its pairs, in packed blocks, to the tasks in which
-equal ones meet.  Only lines of cells are read again and compared word by word: first each with the first line of its cells, then
-the lines of a cell that are not in one component yet with each other.  So a cell of n near lines costs n comparisons, and the
-components of all near pairs are the groups.
+equal ones meet.  Only lines of cells are read again and compared word by word: first each with the first line of its cells, to
+which it is sent as it is read, then the lines of a cell that are not in one component yet with each other.  So a cell of n near
+lines costs n comparisons, and the components of all near pairs are the groups.
 
 SimHash and pigeonhole blocks, which this operator was meant to use, can't give these results: at a similarity of 0.85 the
 fingerprints of two lines differ in about a sixth of their bits, for which blocks of 64 bits have hardly any selectivity, and
@@ -33,12 +35,16 @@ from . import kernels as K
 from .common import Shared, arrow, components, labels, sized
 
 MIN_WORDS, SIMILARITY = 1, 0.85
-BUCKETS, BAG, SLOTS = 16, 128, 1 << 18
-ENTRY = np.dtype([("pair", np.uint64), ("h", np.uint64), ("sketch", np.uint64), ("words", np.uint16)])
+BUCKETS, BAG, SLOTS = 16, 128, 1 << 22
+#: Bytes of lines and entries that a task gathers before it packs and sends them.
+HELD = 8 << 20
+ENTRY = np.dtype([("pair", np.uint64), ("h", np.uint64), ("sketch", np.uint64), ("words", np.uint16), ("place", np.uint16)])
 #: A line's occurrence; ``null`` marks a null doc_id, which counts as the least.
 LINE = np.dtype([("h", np.uint64), ("doc", np.int64), ("rev", np.int64), ("line", np.int32), ("live", np.uint8)])
 #: A count of words from which on lengths and buckets aren't held against each other.
 MANY = 65_535
+#: The place of a pair that a line holds more than once, or of one in a line of MANY words.
+ANY = 65_535
 MET = "h bigint, doc_id bigint, rev bigint, line int, f_doc bigint, f_rev bigint, f_line int, n bigint, cell bigint, lead bigint, words int, sketch bigint"
 
 
@@ -90,18 +96,32 @@ def most_edits(words: np.ndarray) -> np.ndarray:
     return (np.floor(words / SIMILARITY + 1e-9) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
 
 
-def word_pairs(h: np.ndarray, at: np.ndarray, size: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, line) of the adjacent words of each line.  A pair's number orders all pairs: by how frequent its slot is, the longer its words the less, then by hash."""
+def most_broken(words: np.ndarray) -> np.ndarray:
+    """The most pairs of adjacent words of a line of so many words that edits break, which lead to any line near it.
+
+    An edit breaks two at most, an insertion one.  A line that is j words longer takes j insertions, so of k edits 2k - j are
+    broken; as k grows by at most one in six words, more than a few j never give the most."""
+    upto = np.floor(words / SIMILARITY + 1e-9).astype(np.int64)
+    most = np.zeros(len(words), np.int64)
+    for j in range(8):
+        broken = 2 * ((words + j) * (1 - SIMILARITY) + 1e-9).astype(np.int64) - j
+        most = np.where(words + j <= upto, np.maximum(most, broken), most)
+    return most
+
+
+def word_pairs(h: np.ndarray, at: np.ndarray, size: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, line, place of the first word) of the adjacent words of each line.  A pair's number orders all pairs: by how frequent its slot is, the longer its words the less, then by hash."""
     inside = np.flatnonzero(at[1:] == at[:-1])
     mixed = K.mix(h[inside] * K.U64(0x9FB21C651E98DF25) + K.mix(h[inside + 1]))
     length = np.minimum(size[inside], 31) + np.minimum(size[inside + 1], 31)
-    return often[(mixed % K.U64(SLOTS)).astype(np.int64)].astype(np.uint64) << K.U64(43) | (63 - length).astype(np.uint64) << K.U64(37) | mixed >> K.U64(27), at[inside]
+    return often[(mixed % K.U64(SLOTS)).astype(np.int64)].astype(np.uint64) << K.U64(42) | (63 - length).astype(np.uint64) << K.U64(36) | mixed >> K.U64(28), at[inside], inside - np.searchsorted(at, at)[inside]
 
 
 def frequency(docs: DataFrame) -> np.ndarray:
-    """For each of SLOTS slots of pairs 0 if it holds at most twice as many as the mean, else how many times twice that, 7 at most; over all texts.
+    """For each of SLOTS slots of pairs 0 if it holds at most 1.4 times as many as the mean, else one more for each factor of 1.4, 15 at most; over all texts.
 
-    A task gives its counts as CHUNKS packed blocks, so that what is shuffled is bounded by the tasks and the driver gets one table."""
+    A task gives its counts as packed blocks, their bytes by significance, most of which are 0 or few; a task for each of ``chunks`` ranges of slots adds
+    them and holds them against its own mean.  So what is shuffled is bounded by the tasks, and the driver gets a byte for each slot."""
     chunks = 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,41 +135,70 @@ def frequency(docs: DataFrame) -> np.ndarray:
                     h, at, _ = line_words(whole[lines[a] : lines[b]], lines[a : b + 1] - lines[a])
                     inside = np.flatnonzero(at[1:] == at[:-1])
                     mixed = K.mix(h[inside] * K.U64(0x9FB21C651E98DF25) + K.mix(h[inside + 1]))
-                    total += np.bincount((mixed % K.U64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([x.tobytes() for x in total.reshape(chunks, -1)], pa.binary())], names=["chunk", "counts"])
+                    np.add.at(total, (mixed % K.U64(SLOTS)).astype(np.int64), 1)
+        packed = [pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True) for x in total.reshape(chunks, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                made[c] = made.get(c, 0) + np.frombuffer(x.as_buffer(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([x.tobytes() for x in made.values()], pa.binary())], names=["chunk", "counts"])
+                bytes_ = np.frombuffer(pa.decompress(x.as_buffer(), SLOTS // chunks * 8, codec="zstd"), np.uint8).reshape(8, -1)
+                made[c] = made.get(c, 0) + np.ascontiguousarray(bytes_.T).view(np.int64)[:, 0]
+        level = [np.clip(2 * np.log2(np.maximum(x / max(x.mean(), 1.0), 1.0) / 1.4) + 1, 0, 15).astype(np.uint8) for x in made.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([x.tobytes() for x in level], pa.binary())], names=["chunk", "level"])
 
     text = docs.filter("text is not null").select(F.col("text").cast("string"))
-    found = arrow(arrow(text, run, "chunk int, counts binary").repartition(chunks, "chunk"), add, "chunk int, counts binary").toArrow()  # 2 MB
-    total = np.zeros(SLOTS)
-    for c, x in zip(found["chunk"].to_pylist(), found["counts"].to_pylist(), strict=True):
-        total.reshape(chunks, -1)[c] = np.frombuffer(x, np.int64)
-    return np.clip(np.log2(np.maximum(total / max(total.mean(), 1.0), 1.0)), 0, 7).astype(np.uint8)
-
-
-def first_pairs(pair: np.ndarray, line: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, line) of the ``most[line]`` first distinct pairs of each line, lines in order."""
-    out_pair, out_line = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    found = arrow(arrow(text, run, "chunk int, counts binary").repartition(chunks, "chunk"), add, "chunk int, level binary").toArrow()  # 4 MB
+    often = np.zeros((chunks, SLOTS // chunks), np.uint8)
+    for c, x in zip(found["chunk"].to_pylist(), found["level"].to_pylist(), strict=True):
+        often[c] = np.frombuffer(x, np.uint8)
+    return often.ravel()
+
+
+def pack(e: np.ndarray) -> bytes:
+    """Entries, sorted by pair, as their number and compressed columns: differences of pairs by bytes of like significance, lines, sketches, lengths, places."""
+    step = np.diff(e["pair"], prepend=K.U64(0))
+    by_byte = [np.ascontiguousarray(x).view(np.uint8).reshape(len(e), x.itemsize).T for x in (step, e["words"], e["place"])]
+    made = [by_byte[0][:6].tobytes(), e["h"].tobytes(), e["sketch"].tobytes(), by_byte[1].tobytes(), by_byte[2].tobytes()]
+    return np.uint32(len(e)).tobytes() + pa.compress(b"".join(made), codec="zstd", asbytes=True)
+
+
+def unpack(block: pa.Buffer) -> np.ndarray:
+    n = int(np.frombuffer(block, np.uint32, 1)[0])
+    if not n:
+        return np.zeros(0, ENTRY)
+    flat = np.frombuffer(pa.decompress(block.slice(4), (ENTRY.itemsize - 2) * n, codec="zstd"), np.uint8)
+    step, e = np.zeros((n, 8), np.uint8), np.empty(n, ENTRY)
+    step[:, :6] = flat[: 6 * n].reshape(6, n).T
+    e["pair"] = np.cumsum(step.view(np.uint64)[:, 0])
+    e["h"], e["sketch"] = flat[6 * n : 14 * n].view(np.uint64), flat[14 * n : 22 * n].view(np.uint64)
+    e["words"], e["place"] = (np.ascontiguousarray(flat[at * n : (at + 2) * n].reshape(2, n).T).view(np.uint16)[:, 0] for at in (22, 24))
+    return e
+
+
+def first_pairs(pair: np.ndarray, line: np.ndarray, place: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, line, place) of the ``most[line]`` first distinct pairs of each line, lines in order; ANY for the place of a pair that repeats."""
+    out_pair, out_line, out_place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     lo = 0
     while lo < len(line):  # a line takes 18 bits of a sort key, a pair 46
         base = line[lo]
         hi = int(np.searchsorted(line, base + (1 << 18)))
-        key = np.sort((line[lo:hi] - base).astype(np.uint64) << K.U64(46) | pair[lo:hi])
+        key = (line[lo:hi] - base).astype(np.uint64) << K.U64(46) | pair[lo:hi]
+        order = np.argsort(key)
+        key = key[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = key[1:] != key[:-1]
-        key = key[fresh]
+        first = np.flatnonzero(fresh)
+        once = np.diff(np.append(first, len(key))) == 1
+        key = key[first]
         own = (key >> K.U64(46)).astype(np.int64) + base
         take = np.arange(len(own)) - np.searchsorted(own, own) < most[own]
         out_pair.append(key[take] & K.U64((1 << 46) - 1))
         out_line.append(own[take])
+        out_place.append(np.where(once, np.minimum(place[lo:hi][order[first]], ANY), ANY)[take])
         lo = hi
-    return np.concatenate(out_pair), np.concatenate(out_line)
+    return np.concatenate(out_pair), np.concatenate(out_line), np.concatenate(out_place)
 
 
 def sketches(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
@@ -178,6 +227,13 @@ def may_be_near(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> n
     return ok
 
 
+def may_be_aligned(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether a pair at the places p and q of lines of n and m words can be the same one before and after the edits between near lines:
+    words before it and behind it take at least as many edits as their numbers differ."""
+    k = (np.maximum(n, m) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    return (np.abs(p - q) + np.abs((n - p) - (m - q)) <= k) | (p == ANY) | (q == ANY) | (n >= MANY) | (m >= MANY)
+
+
 def bags(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
     """How many words of each of ``n`` lines fall into each of BAG buckets, 255 at most: a wider sketch."""
     many = np.bincount(line * BAG + (h >> K.U64(3)).astype(np.int64) % BAG, minlength=n * BAG)
@@ -205,17 +261,18 @@ def met(docs: DataFrame) -> DataFrame:
         held: tuple[list, list] = [], []
         size = 0
 
-        def cut(rows: list[np.ndarray], kind: np.dtype, by: str) -> list[bytes]:
+        def cut(rows: list[np.ndarray], kind: np.dtype, by: str) -> list[np.ndarray]:
             all_ = np.concatenate(rows) if rows else np.zeros(0, kind)
-            part = (K.mix(all_[by]) % K.U64(parts)).astype(np.int64)
-            order = np.argsort(part.astype(np.int32), kind="stable")
-            packed, edge = all_[order], np.searchsorted(part[order], np.arange(parts + 1))
-            return [packed[edge[p] : edge[p + 1]].tobytes() for p in range(parts)]
+            part = (K.mix(all_[by]) % K.U64(parts)).astype(np.int32)
+            order = np.lexsort((all_[by], part)) if kind is ENTRY else np.argsort(part, kind="stable")
+            sent, edge = all_[order], np.searchsorted(part[order], np.arange(parts + 1))
+            return [sent[edge[p] : edge[p + 1]] for p in range(parts)]
 
         def out() -> pa.RecordBatch:
             lines, entries = cut(held[0], LINE, "h"), cut(held[1], ENTRY, "pair")
-            live = [p for p in range(parts) if lines[p] or entries[p]]
-            return pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([lines[p] for p in live], pa.binary()), pa.array([entries[p] for p in live], pa.binary())], names=["part", "lines", "entries"])
+            live = [p for p in range(parts) if len(lines[p]) or len(entries[p])]
+            packed = [pa.array([x.tobytes() for x in (lines[p] for p in live)], pa.binary()), pa.array([pack(entries[p]) for p in live], pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), *packed], names=["part", "lines", "entries"])
 
         for batch in batches:
             data, off = K.buffers(batch.column(2))
@@ -239,13 +296,14 @@ def met(docs: DataFrame) -> DataFrame:
                     once = np.zeros(len(row), bool)
                     once[np.unique(name, return_index=True)[1]] = True  # equal lines of a slice: once
                     live = ((k > 0) & once)[at]
-                    pair, line = first_pairs(*word_pairs(h[live], at[live], length[live], often), 2 * k + 1)
+                    pair, line, place = first_pairs(*word_pairs(h[live], at[live], length[live], often), most_broken(count) + 1)
                     entry = np.empty(len(pair), ENTRY)
                     entry["pair"], entry["h"], entry["words"], entry["sketch"] = pair, name[line], np.minimum(count[line], MANY), sketches(h, at, len(row))[line]
+                    entry["place"] = place
                     held[0].append(seen)
                     held[1].append(entry)
                     size += seen.nbytes + entry.nbytes
-                    if size >= 4 << 20:
+                    if size >= HELD:
                         yield out()
                         held, size = ([], []), 0
         if size:
@@ -255,8 +313,9 @@ def met(docs: DataFrame) -> DataFrame:
         by: dict[int, tuple[list, list]] = {}
         for batch in batches:
             for p, *blocks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                for to, kind, x in zip(by.setdefault(p, ([], [])), (LINE, ENTRY), blocks, strict=True):
-                    to.append(np.frombuffer(x.as_buffer(), kind))
+                lines, entries = by.setdefault(p, ([], []))
+                lines.append(np.frombuffer(blocks[0].as_buffer(), LINE))
+                entries.append(unpack(blocks[1].as_buffer()))
         for p in sorted(by):
             lines, entries = by.pop(p)
             yield from _first_occurrences(np.concatenate(lines))
@@ -312,7 +371,7 @@ def _edges(e: np.ndarray) -> Iterator[pa.RecordBatch]:
     start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
     size = np.diff(np.append(start, len(pair)))
     words, sketch = e["words"].astype(np.int64), e["sketch"].copy()
-    root = labels(*linked(start, size, words, sketch), len(pair))
+    root = labels(*linked(start, size, words, sketch, e["place"].astype(np.int64)), len(pair))
     inside = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
     if len(inside):
         inside = inside[np.argsort(root[inside], kind="stable")]
@@ -332,7 +391,7 @@ def _edges(e: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield _met(len(cell), h=pa.array(h), cell=pa.array(cell), lead=pa.array(lead), words=pa.array(words), sketch=pa.array(sketch.view(np.int64)))
 
 
-def linked(start: np.ndarray, size: np.ndarray, words: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def linked(start: np.ndarray, size: np.ndarray, words: np.ndarray, sketch: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs: all pairs of small runs that may be near, a walk through those of a large run."""
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for m in np.unique(size[(size > 1) & (size <= 512)]):
@@ -341,6 +400,8 @@ def linked(start: np.ndarray, size: np.ndarray, words: np.ndarray, sketch: np.nd
         step = max(1, (1 << 17) // len(i))
         for lo in range(0, len(first), step):
             x, y = ((first[lo : lo + step, None] + z).ravel() for z in (i, j))
+            hit = may_be_aligned(words[x], place[x], words[y], place[y])
+            x, y = x[hit], y[hit]
             hit = may_be_near(words[x], sketch[x], words[y], sketch[y])
             a.append(x[hit])
             b.append(y[hit])
@@ -350,7 +411,9 @@ def linked(start: np.ndarray, size: np.ndarray, words: np.ndarray, sketch: np.nd
             queue, left = [left[0]], left[1:]
             while queue and len(left):
                 at = queue.pop()
-                near = may_be_near(np.full(len(left), words[at]), np.full(len(left), sketch[at]), words[left], sketch[left])
+                near = may_be_aligned(words[at], place[at], words[left], place[left])
+                some = left[near]
+                near[near] = may_be_near(np.full(len(some), words[at]), np.full(len(some), sketch[at]), words[some], sketch[some])
                 if near.any():
                     hit, left = left[near], left[~near]
                     a.append(np.full(len(hit), at))
@@ -459,9 +522,9 @@ def _myers(flat: np.ndarray, sa: np.ndarray, na: np.ndarray, sb: np.ndarray, nb:
 
 
 def sequences(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(h, seq, bag): the words of ``lines`` (h, doc_id, rev, line), as numbers of 32 bits, and their bag."""
+    """(h, seq, bag, leads, leading): the words of ``lines`` (h, doc_id, rev, line, leads, leading), as numbers of 32 bits, and their bag."""
     text = F.col("text").cast("string")
-    asked = Shared(lines.groupBy("doc_id", "rev").agg(F.sort_array(F.collect_list(F.struct("line", "h"))).alias("asked")))
+    asked = Shared(lines.groupBy("doc_id", "rev").agg(F.sort_array(F.collect_list(F.struct("line", "h", "leads", "leading"))).alias("asked")))
     given = docs.filter("text is not null").select(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64(text).alias("r"), text.alias("text"))
     found = given.join(sized(asked.df), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("rev"))).select("text", "asked")
 
@@ -470,7 +533,8 @@ def sequences(lines: DataFrame, docs: DataFrame) -> DataFrame:
             data, off = K.buffers(batch.column(0))
             asked = batch.column(1)
             bound = asked.offsets.to_numpy() - asked.offsets[0].as_py()
-            line, h = (asked.flatten().field(i).to_numpy() for i in range(2))
+            line, h, leads, leading = (asked.flatten().field(i) for i in range(4))
+            line = line.to_numpy()
             for lo, hi in K.slices(off):
                 whole = data[off[lo] : off[hi]]
                 cuts, row = split_lines(whole, off[lo : hi + 1] - off[lo])
@@ -485,9 +549,10 @@ def sequences(lines: DataFrame, docs: DataFrame) -> DataFrame:
                     raw = (4 * K.bounds(where, len(some))).astype(np.int32)
                     seq = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(raw), pa.py_buffer(np.ascontiguousarray(hashes.astype(np.uint32)))])
                     bag = pa.array([x.tobytes() for x in bags(hashes, where, len(some))], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(h[own][a:b]), seq, bag], names=["h", "seq", "bag"])
+                    name, to, first = (x.slice(own.start + a, b - a) for x in (h, leads, leading))
+                    yield pa.RecordBatch.from_arrays([name, seq, bag, to, first], names=["h", "seq", "bag", "leads", "leading"])
 
-    made = Shared(arrow(found, read, "h bigint, seq binary, bag binary"))
+    made = Shared(arrow(found, read, "h bigint, seq binary, bag binary, leads array<bigint>, leading boolean"))
     asked.drop()
     if made.df.count() > lines.count():  # rows that repeat give a line more than once
         once = Shared(made.df.dropDuplicates(["h"]))
@@ -496,8 +561,8 @@ def sequences(lines: DataFrame, docs: DataFrame) -> DataFrame:
     return made
 
 
-def near_pairs(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) of lines that are near, by the words in ``seqs`` (h, seq, bag)."""
+def near_pairs(both: DataFrame) -> DataFrame:
+    """(a, b): those of the pairs ``both`` (a, b, sa, sb) of lines that are near, by their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -512,13 +577,11 @@ def near_pairs(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
             hit = pa.array(made)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], names=["a", "b"])
 
-    held = seqs.select("h", "seq")
-    both = pairs.join(held.toDF("b", "sb"), "b").join(held.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
-    return arrow(both, run, "a bigint, b bigint")
+    return arrow(both.select("a", "b", "sa", "sb"), run, "a bigint, b bigint")
 
 
 def grouped(cells: DataFrame, seqs: DataFrame) -> DataFrame:
-    """(node, root): the components of the near lines of each of ``cells`` (cell, lead, h, words, sketch)."""
+    """(node, root): the components of the near lines of each of ``cells`` (cell, h, words, sketch); their words and first lines are in ``seqs``."""
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if len(b)]
@@ -550,16 +613,19 @@ def grouped(cells: DataFrame, seqs: DataFrame) -> DataFrame:
                 if near.any():
                     yield pa.RecordBatch.from_arrays([pa.array(h[x[near]]), pa.array(h[y[near]])], names=["a", "b"])
 
-    first = Shared(near_pairs(cells.filter("lead <> h").select(F.col("lead").alias("a"), F.col("h").alias("b")).distinct(), seqs), shuffled=True)
+    to_lead = seqs.select(F.explode("leads").alias("a"), F.col("h").alias("b"), F.col("seq").alias("sb"))
+    first = Shared(near_pairs(to_lead.join(seqs.filter("leading").select(F.col("h").alias("a"), F.col("seq").alias("sa")), "a")), shuffled=True)
     root = Shared(components(first.df))
-    named = cells.drop("lead").join(sized(root.df.toDF("h", "root")), "h", "left").select("cell", "h", F.coalesce("root", "h").alias("root"), "words", "sketch")
+    named = cells.join(sized(root.df.toDF("h", "root")), "h", "left").select("cell", "h", F.coalesce("root", "h").alias("root"), "words", "sketch")
     torn = Shared(named.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("cell"))
     left = Shared(named.join(sized(torn.df), "cell").join(seqs.select("h", "bag"), "h"))
     # lines that may be near, but not by the first ones of their cells
-    rest = arrow(left.df.repartition("cell"), cross, "a bigint, b bigint").distinct()
-    second = Shared(near_pairs(rest, seqs), shuffled=True)
+    rest = Shared(arrow(left.df.repartition("cell"), cross, "a bigint, b bigint").distinct(), shuffled=True)
+    asked = Shared(rest.df.select(F.explode(F.array("a", "b")).alias("h")).distinct())
+    held = seqs.select("h", "seq").join(sized(asked.df), "h", "left_semi")
+    second = Shared(near_pairs(rest.df.join(held.toDF("b", "sb"), "b").join(held.toDF("a", "sa"), "a")), shuffled=True)
     out = components(first.df.unionByName(second.df))
-    for done in (first, root, torn, left, second):
+    for done in (first, root, torn, left, rest, asked, second):
         done.drop()
     return out
 
@@ -574,10 +640,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     seen = out.df.filter("cell is null").drop("cell", "lead", "words", "sketch")
     cells = Shared(out.df.filter("cell is not null").select("cell", "lead", "h", "words", "sketch").dropDuplicates(["cell", "h"]))
     first = F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("rev") == F.col("f_rev")) & (F.col("line") == F.col("f_line"))
-    asked = Shared(cells.df.select("h").distinct())
-    tied = Shared(seen.filter(first).join(sized(asked.df), "h").select("h", "doc_id", "rev", "line").distinct())
+    # each line with the first lines that it is held against, and whether others are held against it
+    led = cells.df.filter("lead <> h")
+    sides = cells.df.select("h", F.when(F.col("lead") != F.col("h"), F.col("lead")).alias("lead"), F.lit(False).alias("leading"))
+    sides = sides.unionByName(led.select(F.col("lead").alias("h"), F.lit(None).cast("bigint").alias("lead"), F.lit(True).alias("leading"))).distinct()
+    asked = Shared(sides.groupBy("h").agg(F.sort_array(F.collect_set("lead")).alias("leads"), F.max("leading").alias("leading")))
+    tied = Shared(seen.filter(first).join(sized(asked.df), "h").select("h", "doc_id", "rev", "line", "leads", "leading").distinct())
     seqs = sequences(tied.df, docs)
-    group = grouped(cells.df, seqs.df)
+    group = grouped(cells.df.drop("lead"), seqs.df)
     member = tied.df.join(sized(group.withColumnRenamed("node", "h")), "h").select("h", F.col("root").alias("member_of"), F.struct("doc_id", "rev", "line").alias("at"))
     kept = member.groupBy("member_of").agg(F.min("at").alias("kept"))
     fuzzy = Shared(member.select("h", "member_of").join(kept, "member_of").select("h", "kept"))

@@ -593,6 +593,62 @@ def test_large_groups_of_near_lines(spark):
     assert {x["doc_id"]: x["kept_doc_id"] for x in rows} == dict.fromkeys(range(1, 600), 0)
 
 
+def test_lines_that_share_a_passage_elsewhere_are_not_compared(spark):
+    r = random.Random(14)
+    fresh, lines = lambda n: [a + b for a, b in zip(prose(r, n).split(), prose(r, n).split(), strict=True)], []
+    for _ in range(60):
+        passage = fresh(75)
+        for at in (0, 12, 25):
+            own = fresh(25)
+            lines.append(" ".join(own[:at] + passage + own[at:]))
+    made = line_dedup.met(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string"))
+    assert made.filter("cell is not null").count() == 0
+
+
+def test_first_pairs_of_near_lines_meet(spark):
+    """Edits that break as many first pairs as they can leave one that both lines hold, at places that may be the same; fewer pairs than twice the edits on both sides."""
+    r, often = random.Random(15), np.zeros(line_dedup.SLOTS, np.uint8)
+
+    def firsts(words):
+        h, n = np.array(words, np.uint64), np.array([len(words)])
+        pair, _, place = line_dedup.first_pairs(*line_dedup.word_pairs(h, np.zeros(len(h), np.int64), np.full(len(h), 5), often), line_dedup.most_broken(n) + 1)
+        return dict(zip(pair.tolist(), place.tolist(), strict=True))
+
+    near = 0
+    for _ in range(3000):
+        n = r.choice([6, 7, 8, 13, 14, 20, 27, 40, 80])
+        a = [r.randrange(1, r.choice([8, 1 << 40])) for _ in range(n)]
+        b, grow = list(a), r.random()
+        for _ in range(int(0.15 * n / (0.85 if grow < 0.4 else 1))):
+            places = [x for x in firsts(b).values() if x < len(b)] if len(b) > 1 else [0]
+            at = min(r.choice(places or [0]) + r.randrange(2), len(b) - 1)
+            if grow < 0.4 or r.random() < 0.3:
+                b.insert(at, r.randrange(1, 1 << 40))
+            elif r.random() < 0.5 and len(b) > 2:
+                del b[at]
+            else:
+                b[at] = r.randrange(1, 1 << 40)
+        if lev(a, b) > 0.15 * max(len(a), len(b)) + 1e-9:
+            continue
+        near += 1
+        x, y = firsts(a), firsts(b)
+        assert any(line_dedup.may_be_aligned(np.array([len(a)]), np.array([x[c]]), np.array([len(b)]), np.array([y[c]]))[0] for c in x.keys() & y.keys())
+    words = np.arange(6, 300)
+    assert near > 1000 and (line_dedup.most_broken(words) <= 2 * line_dedup.most_edits(words)).all() and line_dedup.most_broken(words).sum() < 1.75 * line_dedup.most_edits(words).sum()
+
+
+def test_packed_entries():
+    r = np.random.default_rng(16)
+    for n in (0, 1, 5, 20_000):
+        e = np.empty(n, line_dedup.ENTRY)
+        for c in line_dedup.ENTRY.names:
+            e[c] = r.integers(0, 1 << 46 if c == "pair" else 200, n)
+        e["h"] = r.integers(0, 1 << 63, n).astype(np.uint64) * 2 + 1
+        e = e[np.argsort(e["pair"])]
+        block = line_dedup.pack(e)
+        assert (line_dedup.unpack(line_dedup.pa.py_buffer(block)) == e).all() and len(block) < 0.75 * e.nbytes + 100
+
+
 # -- 8
 
 
