@@ -46,6 +46,16 @@ def truncated(a: Column, dimension: int, unit: bool = True) -> Column:
     return normalized(cut) if unit else cut
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """As SQL engines round doubles in binary: half away from zero, and what is rounded to zero keeps its sign, which Spark's own function drops."""
+    scaled = x * F.lit(10.0**digits)
+    size = F.abs(scaled)
+    whole = F.floor(size).cast("double")
+    near = F.signum(x) * F.when(size - whole >= 0.5, whole + 1.0).otherwise(whole) / F.lit(10.0**digits)
+    # from 2 ** 52 on there are no fractions; what isn't finite stays
+    return F.when(size < 2.0**52, near).when(size < float("inf"), scaled / F.lit(10.0**digits)).otherwise(x)
+
+
 def score(metric: str, a: Column, b: Column) -> Column:
     """Higher is nearer: 1 - distance for l2, the similarity for cosine and dot."""
     if metric == "l2":

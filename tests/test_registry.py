@@ -111,3 +111,25 @@ def test_stemmed_postings_equal_brute_force(spark):
             want.setdefault((k, stem(w)), []).append(i)
     got = {(r["doc_id"], r["term"]): r["positions"] for r in registry.QUERIES["fts_postings_stemmed"](spark, SF).collect()}
     assert got == want
+
+
+def exactly(spark, name, folder, tables):
+    """Rows of a query and of its SQL over ``tables`` of DuckDB, by every bit of their numbers."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in tables:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    df = registry.QUERIES[name](spark, str(folder))
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({registry.ORACLES[name]})").fetchall()
+    whole = lambda rows: sorted(repr(tuple(list(v) if isinstance(v, list | tuple) else v for v in r)) for r in rows)
+    return whole(df.collect()), whole(want)
+
+
+def test_what_is_rounded_to_zero_keeps_its_sign(spark, tmp_path):
+    tiny = [1.0, -1e-7, 1e-7, -0.0, 0.1234565, -0.5] + [0.25] * 58
+    spark.createDataFrame([(0, tiny, 1), (1, [0.0] * 64, 1), (2, [-x for x in tiny], 2)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("mrl_truncate_normalize", "knn_dot"):
+        got, want = exactly(spark, name, tmp_path, ["embeddings"])
+        assert got == want
+    assert any("-0.0," in r for r in exactly(spark, "mrl_truncate_normalize", tmp_path, ["embeddings"])[0])
