@@ -92,19 +92,36 @@ _VOWELS = set("aeiou")
 _STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("logi", "log"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
 _STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
 _STEP4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic", "ou"]
+for _table in (_STEP2, _STEP3):
+    _table.sort(key=lambda x: -len(x[0]))
+_ENDS2, _ENDS3, _ENDS4 = tuple(x for x, _ in _STEP2), tuple(x for x, _ in _STEP3), (*_STEP4, "ion")
+
+
+#: Letters as v or c, but for y, which is a vowel behind a consonant.
+_KINDS = bytes(ord("v") if chr(c) in _VOWELS else ord("c") for c in range(256))
+
+
+def _kinds(w: str) -> str:
+    """A v for each vowel of ``w``, a c for each other letter."""
+    made = w.encode("latin-1", "replace").translate(_KINDS).decode("latin-1")
+    at = w.find("y", 1)
+    while at > 0:
+        if made[at - 1] == "c":
+            made = made[:at] + "v" + made[at + 1 :]
+        at = w.find("y", at + 1)
+    return made
 
 
 def _consonant(w: str, i: int) -> bool:
-    return w[i] not in _VOWELS and not (w[i] == "y" and i > 0 and _consonant(w, i - 1))
+    return _kinds(w)[i] == "c"
 
 
 def _measure(w: str) -> int:
-    kinds = [_consonant(w, i) for i in range(len(w))]
-    return sum(1 for a, b in zip(kinds, kinds[1:]) if not a and b)
+    return _kinds(w).count("vc")
 
 
 def _has_vowel(w: str) -> bool:
-    return any(not _consonant(w, i) for i in range(len(w)))
+    return "v" in _kinds(w)
 
 
 def _double(w: str) -> bool:
@@ -112,18 +129,17 @@ def _double(w: str) -> bool:
 
 
 def _cvc(w: str) -> bool:
-    n = len(w)
-    return n > 2 and _consonant(w, n - 1) and not _consonant(w, n - 2) and _consonant(w, n - 3) and w[-1] not in "wxy"
+    return w[-1:] not in "wxy" and _kinds(w)[-3:] == "cvc"
 
 
 def _replaced(w: str, table: list[tuple[str, str]]) -> str:
-    for end, to in sorted(table, key=lambda x: -len(x[0])):
+    for end, to in table:
         if w.endswith(end):
             return w[: -len(end)] + to if _measure(w[: -len(end)]) > 0 else w
     return w
 
 
-@functools.lru_cache(maxsize=1 << 18)
+@functools.lru_cache(maxsize=1 << 16)
 def porter(w: str) -> str:
     """The stem of a lower-case word; words under 3 or over 64 bytes and such with other than ASCII letters and digits in their rules stay."""
     if not 3 <= len(w.encode()) <= 64:
@@ -145,8 +161,9 @@ def porter(w: str) -> str:
                 w += "e"
     if w.endswith("y") and _has_vowel(w[:-1]):
         w = w[:-1] + "i"
-    w = _replaced(_replaced(w, _STEP2), _STEP3)
-    for end in _STEP4 + ["ion"]:
+    w = _replaced(w, _STEP2) if w.endswith(_ENDS2) else w
+    w = _replaced(w, _STEP3) if w.endswith(_ENDS3) else w
+    for end in _ENDS4 if w.endswith(_ENDS4) else ():
         if w.endswith(end):
             base = w[: -len(end)]
             if _measure(base) > 1 and (end != "ion" or base.endswith(("s", "t"))):
@@ -159,14 +176,14 @@ def porter(w: str) -> str:
     return w[:-1] if _measure(w) > 1 and _double(w) and w.endswith("l") else w
 
 
-@functools.lru_cache(maxsize=1 << 18)
+@functools.lru_cache(maxsize=1 << 14)
 def folded(term: str) -> str:
     """Without diacritics."""
     return "".join(c for c in unicodedata.normalize("NFD", term) if unicodedata.category(c) != "Mn") if not term.isascii() else term
 
 
 def stem(term: str) -> str:
-    return porter(folded(term))
+    return porter(term if term.isascii() else folded(term))
 
 
 @F.pandas_udf(T.StringType())

@@ -16,6 +16,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batches as A
 from ..functions import text as X
 from ..types import QueryError, SearchFilters
 from . import ftsquery as Q
@@ -26,24 +27,26 @@ K1, B, FLOOR, OVERFETCH = 1.2, 0.75, 1e-6, 5
 
 @dataclass
 class Index:
-    """Either ``tokens`` (key, a list of tokens for each of COLUMNS), one row for each chunk, or what is stored of it: ``stored_postings``
-    (key, term, col, positions) and ``stored_lengths`` (key, dl), one row for each (term, chunk, column) and each chunk."""
+    """Either ``tokens`` (key, a list of tokens for each of COLUMNS), one row for each chunk, with ``texts`` (key, the text of each of COLUMNS
+    in lower case), or what is stored of it: ``stored_postings`` (key, term, col, positions) and ``stored_lengths`` (key, dl), one row for
+    each (term, chunk, column) and each chunk."""
 
     key: str
     stemmed: bool
     tokens: DataFrame | None = None
     stored_postings: DataFrame | None = None
     stored_lengths: DataFrame | None = None
+    texts: DataFrame | None = None
 
     @property
     def postings(self) -> DataFrame:
-        return self.stored_postings if self.stored_postings is not None else _postings(self.tokens, self.key)
+        return self.stored_postings if self.stored_postings is not None else _postings(self.texts, self.key, self.stemmed)
 
     @property
     def lengths(self) -> DataFrame:
         if self.stored_lengths is not None:
             return self.stored_lengths
-        return self.tokens.select(self.key, reduce(lambda a, b: a + b, (F.size(c) for c in COLUMNS)).alias("dl"))
+        return _lengths(self.texts, self.key)
 
     def write(self, path: str) -> Index:
         """Stored, postings ranged and sorted by term and key: a query reads only the row groups of its terms, and a frequent term is spread over files."""
@@ -62,7 +65,10 @@ def index(chunks: DataFrame, key: str = "chunk_id", content: str = "content", na
     empty = F.array().cast("array<string>")
     of = {"content": F.coalesce(X.search_tokens(F.col(content)), empty), "name": F.coalesce(X.search_tokens(F.col(name)), empty) if name else empty}
     base = chunks.select(F.col(key), *(of[c].alias(c) for c in COLUMNS))
-    return Index(key, stemmed, _stemmed(base) if stemmed else base)
+    text = {"content": content, "name": name}
+    A.bounded(chunks.sparkSession)
+    texts = chunks.select(F.col(key), *((F.lower(text[c]) if text[c] else F.lit(None).cast("string")).alias(c) for c in COLUMNS))
+    return Index(key, stemmed, _stemmed(base) if stemmed else base, texts=texts)
 
 
 def _stemmed(tokens: DataFrame) -> DataFrame:
@@ -81,27 +87,61 @@ def _stemmed(tokens: DataFrame) -> DataFrame:
     return tokens.mapInArrow(run, tokens.schema)
 
 
-def _postings(tokens: DataFrame, key: str) -> DataFrame:
-    """(key, term, col, positions), grouped within each row: nothing is shuffled."""
-    kind = tokens.schema[key].dataType.simpleString()
+def _sliced(texts: DataFrame, run, ddl: str) -> DataFrame:
+    """``run(keys, column's name, tokens, number of each token's key)`` of each slice of each text column, in one task without a shuffle."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(1, batch.num_columns):
-                lists = batch.column(i)
-                size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                coded = lists.flatten().dictionary_encode()
-                code, row = coded.indices.to_numpy(), np.repeat(np.arange(len(batch)), size)
-                place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
-                order = np.lexsort((place, code, row))
-                code, row, place = code[order], row[order], place[order]
-                if len(code):
-                    start = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])]))
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(code)).astype(np.int32)), pa.array(place.astype(np.int32)))
-                    term = coded.dictionary.take(pa.array(code[start]))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[start])), term, pa.array([batch.schema.names[i]] * len(start)), lists], names=[key, "term", "col", "positions"])
-
-    return tokens.mapInArrow(run, f"`{key}` {kind}, term string, col string, positions array<int>")
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in batches:
+                for i in range(1, batch.num_columns):
+                    column = batch.column(i).fill_null("").to_pylist()
+                    for a, b in A.slices(column):
+                        yield from run(batch.column(0).slice(a, b - a), batch.schema.names[i], *A.runs(column[a:b], A.search_points()))
+        finally:
+            A.tidy()
+
+    return texts.mapInArrow(task, ddl)
+
+
+def _postings(texts: DataFrame, key: str, stemmed: bool) -> DataFrame:
+    """(key, term, col, positions), grouped within each row; a slice's distinct tokens are stemmed once."""
+
+    def run(keys: pa.Array, name: str, tokens: pa.StringArray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(tokens):
+            return
+        coded = tokens.dictionary_encode()
+        code, terms = coded.indices.to_numpy(), coded.dictionary
+        if stemmed:
+            stems = pa.array([X.stem(t) for t in terms.to_pylist()], pa.string()).dictionary_encode()
+            code, terms = stems.indices.to_numpy()[code], stems.dictionary
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        both = row * len(terms) + code
+        order = np.argsort(both, kind="stable")
+        both, place = both[order], place[order]
+        start = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(both)).astype(np.int32)), pa.array(place.astype(np.int32)))
+        at, term = np.divmod(both[start], len(terms))
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), terms.take(pa.array(term)), pa.array([name] * len(start)), lists], names=[key, "term", "col", "positions"])
+
+    return _sliced(texts, run, f"`{key}` {texts.schema[key].dataType.simpleString()}, term string, col string, positions array<int>")
+
+
+def _lengths(texts: DataFrame, key: str) -> DataFrame:
+    """(key, dl): the tokens of all columns of each row."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in batches:
+                dl = np.zeros(len(batch), np.int32)
+                for i in range(1, batch.num_columns):
+                    column = batch.column(i).fill_null("").to_pylist()
+                    for a, b in A.slices(column):
+                        dl[a:b] += np.bincount(A.runs(column[a:b], A.search_points())[1], minlength=b - a).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dl)], names=[key, "dl"])
+        finally:
+            A.tidy()
+
+    return texts.mapInArrow(task, f"`{key}` {texts.schema[key].dataType.simpleString()}, dl int")
 
 
 def _term_column(i: int, c: str) -> str:
