@@ -133,3 +133,62 @@ def test_what_is_rounded_to_zero_keeps_its_sign(spark, tmp_path):
         got, want = exactly(spark, name, tmp_path, ["embeddings"])
         assert got == want
     assert any("-0.0," in r for r in exactly(spark, "mrl_truncate_normalize", tmp_path, ["embeddings"])[0])
+
+
+#: Forms whose stem or unmarked letters are a word that is asked for, blank and missing texts.
+ODD = [(1, "und von", "en", "src1", 7), (2, "unde so", "de", "src0", 7), (3, "und\u0308 was vons", "de", "src0", 9), (4, " \n", "de", "src1", 2), (5, "", "de", "src2", 0), (6, None, "de", "src2", 0), (7, "ja ja und", "de", "src0", 9), (8, "nichts", "de", "src1", 6), (9, "gar nichts", "de", "src1", 9), (10, " \n", "fr", "src0", 2), (11, "nichts", "de", "src2", 6), (12, None, "en", "src1", 0)]
+
+
+def odd_documents(spark, folder):
+    spark.createDataFrame(ODD, "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+
+
+def test_the_service_finds_words_not_stems(spark, tmp_path):
+    odd_documents(spark, tmp_path)
+    got, want = exactly(spark, "service_fulltext", tmp_path, ["documents"])
+    assert got == want and len(got) == 2
+
+
+def test_repeated_words_are_hashed_once(monkeypatch):
+    import hashlib
+
+    from hybridspark.operators.embedding import HashingBackend
+    from hybridspark.types import EmbedInput
+
+    calls, real = [], hashlib.blake2b
+    monkeypatch.setattr(hashlib, "blake2b", lambda *a, **how: calls.append(a) or real(*a, **how))
+    HashingBackend(8).encode([EmbedInput(text="a b " * 1000)] * 20)
+    assert len(calls) == 4
+
+
+def test_postings_go_through_python_once_in_bounded_batches(spark):
+    from hybridspark.functions import batches
+    from hybridspark.operators import fulltext
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(1 << 30))
+    try:
+        docs = spark.createDataFrame([(i, f"w{i} runs running " * 3, f"n {i}" if i else None) for i in range(3)], "chunk_id bigint, content string, name string")
+        ix = fulltext.index(docs)
+        assert int(spark.conf.get(name)) <= batches.BATCH_BYTES
+        made = ix.postings
+        assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert {(r["chunk_id"], r["term"], r["col"]): r["positions"] for r in made.collect()}[(1, "run", "content")] == [1, 2, 4, 5, 7, 8]
+        assert {r["chunk_id"]: r["dl"] for r in ix.lengths.collect()} == {0: 9, 1: 11, 2: 11}
+    finally:
+        spark.conf.set(name, before)
+    assert list(batches.slices(["a" * batches.SLICE, "b", "c", "d" * batches.SLICE])) == [(0, 1), (1, 3), (3, 4)] and not list(batches.slices([]))
+
+
+def test_rich_chunks_take_bounded_batches(spark):
+    from hybridspark.functions import batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(1 << 30))
+    try:
+        registry.QUERIES["chunk_rich"](spark, SF)
+        assert int(spark.conf.get(name)) <= batches.BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)
