@@ -192,3 +192,16 @@ def test_rich_chunks_take_bounded_batches(spark):
         assert int(spark.conf.get(name)) <= batches.BATCH_BYTES
     finally:
         spark.conf.set(name, before)
+
+
+def test_ingest_of_blank_and_missing_texts(spark, tmp_path):
+    odd_documents(spark, tmp_path)
+    for name in ("ingest_rollup", "ingest_chunks"):
+        got, want = exactly(spark, name, tmp_path, ["documents"])
+        assert got == want
+
+
+def test_hybrid_search_computes_chunks_once(spark):
+    made = registry.QUERIES["search_hybrid_rrf"](spark, SF)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "Generate posexplode" not in plan
